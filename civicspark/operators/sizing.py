@@ -1,0 +1,24 @@
+"""Broadcast only behind a size check, with a shuffle join beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Catalog-sized inputs (municipalities, topics, plan cells of one run) stay
+# far below this; anything larger is joined by shuffle (and AQE may still
+# broadcast it from measured shuffle sizes).
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_rows(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows. Counts at most
+    ``max_rows + 1`` rows (a limit pushed into the scan), never the whole
+    input."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its row count is proven small, else ``df``
+    unchanged (sort-merge / shuffled-hash join chosen by the planner)."""
+    return F.broadcast(df) if bounded_rows(df, max_rows) else df
