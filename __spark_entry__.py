@@ -213,8 +213,7 @@ def q_schema_evolution_append(spark, d):
 
 def q_stamp_metadata(spark, d):
     landing = S.event_landing(spark, d).select("response_id", "url", "status", "body")
-    ok = N.classify_responses(landing).filter(F.col("response_class") == N.OK).drop("response_class")
-    rows = N.flatten_struct(N.json_rows(ok, keep=["response_id", "url"]))
+    rows = N.flatten_struct(N.json_rows(N.fetched_bodies(landing), keep=["response_id", "url"]))
     return C.stamp_metadata(rows, _event_plan(spark, d))
 
 
@@ -370,8 +369,7 @@ def q_price_outliers(spark, d):
     li = S.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.year("l_shipdate").alias("ano"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
-    out = IND.price_outliers(li, "l_partkey", ["ano"], "unit_price")
-    return out.withColumn("median_price", F.round("median_price", 2))
+    return IND.price_outliers(li, "l_partkey", ["ano"], "unit_price")
 
 
 def q_incremental_load(spark, d):
@@ -848,7 +846,7 @@ _SQL["price_outliers"] = """WITH u AS (
   SELECT l_orderkey, l_linenumber, l_partkey, CAST(year(l_shipdate) AS INTEGER) AS ano, l_extendedprice / l_quantity AS unit_price
   FROM lineitem),
 m AS (SELECT l_partkey, ano, median(unit_price) AS med FROM u GROUP BY ALL)
-SELECT u.*, round(m.med, 2) AS median_price FROM u JOIN m USING (l_partkey, ano) WHERE unit_price > 2 * m.med"""
+SELECT u.*, m.med AS median_price FROM u JOIN m USING (l_partkey, ano) WHERE unit_price > 2 * m.med"""
 _SQL["incremental_load"] = f"""WITH {CATALOG_CTE}, {EVENT_LANDING_CTE}
 SELECT i.url, i.event_id, i.user_id, i.event_type, i.value, i.props_k, i.part,
        p.topic, p.municipio, p.prefeitura, p.ano, p.mes

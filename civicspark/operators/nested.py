@@ -4,7 +4,7 @@ A landing table holds one row per fetched response (``url``, ``status``,
 ``body``). Bodies are parsed with Spark's JSON reader; the row schema is
 inferred once per call with ``schema_of_variant_agg`` (a single-row
 aggregate with partial aggregation), then every body is read with
-``from_json`` and exploded - no Python per row.
+``from_json`` and exploded - two parses per body, no Python per row.
 """
 
 from __future__ import annotations
@@ -38,6 +38,13 @@ def classify_responses(landing: DataFrame, status: str = "status", body: str = "
     return landing.withColumn(out, klass)
 
 
+def fetched_bodies(landing: DataFrame, status: str = "status", body: str = "body") -> DataFrame:
+    """Responses worth parsing: no HTTP error, non-blank body. Malformed
+    JSON needs no separate test here - it yields no rows when parsed."""
+    b = clean_body(body)
+    return landing.filter((F.col(status) < 400) & b.isNotNull() & (b != ""))
+
+
 def body_shape(body="body") -> Column:
     b = clean_body(body)
     return (F.when(b.startswith("["), F.lit("array"))
@@ -66,14 +73,35 @@ def variant_schema_to_ddl(schema: str) -> str:
     return ddl
 
 
+def _parsed(body="body") -> Column:
+    """The body parsed once into a VARIANT (objects wrapped into a list);
+    NULL when blank or not JSON."""
+    return F.try_parse_json(as_array_text(body))
+
+
+def infer_payload(responses: DataFrame, body: str = "body") -> tuple[str | None, bool]:
+    """One aggregate pass: the merged element type (DDL) of array-wrapped
+    bodies - None when no body holds objects - and whether any body is a
+    plain JSON value. Only this one row reaches the driver."""
+    shape = body_shape(body)
+    v = _parsed(body)
+    # lists of plain values give no rows (D10) and must not blur the merged
+    # object type into VARIANT, so only object lists feed the schema
+    object_list = (shape != "scalar") & F.schema_of_variant(v).startswith("ARRAY<OBJECT<")
+    row = responses.agg(
+        F.schema_of_variant_agg(F.when(object_list, v)).alias("s"),
+        F.max(F.when(shape == "scalar", v.isNotNull())).alias("has_scalar"),
+    ).first()
+    schema = row["s"] if row is not None else None
+    ddl = None
+    if schema is not None and schema.startswith("ARRAY<OBJECT<"):
+        ddl = variant_schema_to_ddl(schema)[len("ARRAY<"):-1]
+    return ddl, bool(row is not None and row["has_scalar"])
+
+
 def infer_rows_schema(responses: DataFrame, body: str = "body") -> str | None:
-    """Element type (DDL) of the array-wrapped bodies, merged over all
-    rows; None when no body holds objects. One aggregate row reaches the
-    driver."""
-    row = responses.agg(F.schema_of_variant_agg(F.try_parse_json(as_array_text(body))).alias("s")).first()
-    if row is None or row["s"] is None or not row["s"].startswith("ARRAY<OBJECT<"):
-        return None
-    return variant_schema_to_ddl(row["s"])[len("ARRAY<"):-1]
+    """Element type (DDL) of the array-wrapped bodies, merged over all rows."""
+    return infer_payload(responses, body)[0]
 
 
 def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None = None,
@@ -81,15 +109,16 @@ def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None =
     """Every object of a list (or a single object) becomes one row;
     keys are unioned over all responses, a missing key is NULL. Bodies that
     hold a list of plain scalars give no rows (D10); scalars go through
-    :func:`scalar_valor`. ``pos`` is the object's position in its response."""
+    :func:`scalar_valor`. ``pos`` is the object's position in its response.
+    Bodies that are not JSON give no rows (``from_json`` is permissive)."""
     keep = list(keep if keep is not None else [c for c in responses.columns if c != body])
     element_ddl = element_ddl or infer_rows_schema(responses, body)
     if element_ddl is None:
         schema = T.StructType([T.StructField(c, responses.schema[c].dataType) for c in keep]
                               + [T.StructField(pos, T.IntegerType())])
         return responses.sparkSession.createDataFrame([], schema)
-    shaped = responses.filter(body_shape(body) != "scalar")
-    parsed = shaped.select(*keep, F.from_json(as_array_text(body), f"ARRAY<{element_ddl}>").alias("__items"))
+    items = F.from_json(as_array_text(body), f"ARRAY<{element_ddl}>")
+    parsed = responses.filter(body_shape(body) != "scalar").select(*keep, items.alias("__items"))
     exploded = parsed.select(*keep, F.posexplode("__items").alias(pos, "__item"))
     return exploded.select(*keep, pos, "__item.*")
 
@@ -185,13 +214,17 @@ def zip_columns_to_rows(df: DataFrame, col: str, keep: list[str],
 
 def scan_json_payload(landing: DataFrame, body: str = "body", keep: list[str] | None = None,
                       index_arrays: bool = False) -> DataFrame:
-    """Landing responses -> flat typed rows. Classify (F2), keep the
-    ``ok`` bodies, explode lists/objects (J1/J6) and flatten (J2-J4);
-    plain-value bodies land in ``valor`` (J7)."""
+    """Landing responses -> flat typed rows: fetched, non-blank bodies
+    (F2's ``ok`` class: malformed ones yield nothing), lists/objects exploded
+    (J1/J6) and flattened (J2-J4); plain-value bodies land in ``valor``
+    (J7). Two passes over the landing table: one aggregate for the schema,
+    one to extract."""
     keep = list(keep if keep is not None else [c for c in landing.columns if c != body])
-    ok = classify_responses(landing, body=body).filter(F.col("response_class") == OK).drop("response_class")
-    rows = flatten_struct(json_rows(ok, body=body, keep=keep), index_arrays=index_arrays)
-    scalars = scalar_valor(ok, body=body, keep=keep)
-    if scalars.isEmpty():
+    ok = fetched_bodies(landing, body=body)
+    ddl, has_scalar = infer_payload(ok, body)
+    rows = flatten_struct(json_rows(ok, body=body, keep=keep, element_ddl=ddl), index_arrays=index_arrays)
+    if not has_scalar:
         return rows
-    return rows.unionByName(scalars.withColumn("pos", F.lit(0)), allowMissingColumns=True)
+    scalars = scalar_valor(ok, body=body, keep=keep)
+    scalars = scalars.filter(F.col("valor").isNotNull()).withColumn("pos", F.lit(0))
+    return rows.unionByName(scalars, allowMissingColumns=True)

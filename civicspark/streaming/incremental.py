@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from civicspark.operators.nested import OK, classify_responses, flatten_struct, json_rows
+from civicspark.operators.nested import fetched_bodies, flatten_struct, json_rows
 from civicspark.operators.schema import stamp_metadata
 from civicspark.plans.extraction import MONTH_CELL
 from civicspark.sources.tables import path_exists, read_evolving
@@ -28,9 +28,10 @@ LANDING_SCHEMA = "url STRING, status INT, body STRING, fetched_at TIMESTAMP_NTZ"
 
 def process_batch(batch: DataFrame, plan: DataFrame, target: str, epoch: int,
                   keys=MONTH_CELL, partition_by: tuple[str, ...] = ("ano",)) -> None:
-    """One micro-batch: F2 -> J1/J2 -> C9/C10 -> K1 guard -> S7."""
+    """One micro-batch: F2 (fetched, non-blank, JSON) -> J1/J2 -> C9/C10 ->
+    K1 guard -> S7."""
     spark = batch.sparkSession
-    ok = classify_responses(batch).filter(F.col("response_class") == OK).drop("response_class")
+    ok = fetched_bodies(batch)
     rows = flatten_struct(json_rows(ok, keep=["url"]))
     if "pos" in rows.columns:
         rows = rows.drop("pos")
