@@ -8,6 +8,7 @@ collapsed before the shuffle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -21,20 +22,65 @@ def multi_employment(payroll: DataFrame, person: str, employer: str,
     return counts.filter(F.col("n_employers") >= min_employers)
 
 
-def group_median(items: DataFrame, keys: list[str], value: str, out: str = "median_value") -> DataFrame:
-    """Exact median per group (even counts interpolate). Spark's percentile
-    buffer holds value->count maps merged map side, so a hot group costs
-    its number of *distinct* values, not its rows."""
-    return items.groupBy(*keys).agg(F.median(value).alias(out))
+def group_median(items: DataFrame, keys: list[str], value: str, out: str = "median_value",
+                 method: str = "ranked") -> DataFrame:
+    """Exact median per group; an even count interpolates the two middle
+    values with Spark's own percentile arithmetic.
+
+    ``method="aggregate"`` is Spark's ``median``: its buffer is a map of the
+    group's distinct values, merged in one task per group and held in
+    memory, so one huge group can exhaust an executor.
+
+    ``method="ranked"`` (default) never gathers a group: values are first
+    counted per (group, value) (map-side combined), range-partitioned by
+    (group, value) so a hot group spans many tasks, and each partition's
+    running counts plus the per-partition prefix of its group give every
+    distinct value its global rank; only the one or two middle values per
+    group are kept. Every window here is bounded by one range partition or
+    by the number of partitions."""
+    if method == "aggregate":
+        return items.groupBy(*keys).agg(F.median(value).alias(out))
+    n_parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = (items.filter(F.col(value).isNotNull())
+               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
+    ranged = counted.repartitionByRange(n_parts, *keys, value).withColumn("__pid", F.spark_partition_id())
+    # rows of the group that sit in earlier range partitions, and group size
+    pieces = ranged.groupBy("__pid", *keys).agg(F.sum("__c").alias("__pc"))
+    by_pid = Window.partitionBy(*keys).orderBy("__pid")
+    pieces = pieces.select(
+        "__pid", *keys,
+        F.coalesce(F.sum("__pc").over(by_pid.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.sum("__pc").over(Window.partitionBy(*keys)).alias("__n"))
+    # running count of the value inside its (partition, group) piece
+    in_piece = Window.partitionBy("__pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("__upto", F.sum("__c").over(in_piece))
+    ranked = local.join(pieces, ["__pid", *keys], "inner")
+    last = F.col("__before") + F.col("__upto") - 1          # 0-based rank of the value's last copy
+    first = last - F.col("__c") + 1
+    position = (F.col("__n") - 1) * F.lit(0.5)
+    lower, higher = F.floor(position), F.ceil(position)
+    hits = ranked.select(
+        *keys, value, "__n",
+        ((first <= lower) & (lower <= last)).alias("__is_lo"),
+        ((first <= higher) & (higher <= last)).alias("__is_hi"),
+    ).filter(F.col("__is_lo") | F.col("__is_hi"))
+    mid = hits.groupBy(*keys).agg(
+        F.max(F.when(F.col("__is_lo"), F.col(value))).alias("__lo"),
+        F.max(F.when(F.col("__is_hi"), F.col(value))).alias("__hi"),
+        F.max("__n").alias("__n"))
+    pos = (F.col("__n") - 1) * F.lit(0.5)
+    med = F.when(F.floor(pos) == F.ceil(pos), F.col("__lo")).otherwise(
+        (F.ceil(pos) - pos) * F.col("__lo") + (pos - F.floor(pos)) * F.col("__hi"))
+    return mid.select(*keys, med.alias(out))
 
 
 def price_outliers(items: DataFrame, item: str, period: list[str], price: str,
-                   k: float = 2.0, out: str = "median_price") -> DataFrame:
+                   k: float = 2.0, out: str = "median_price", method: str = "ranked") -> DataFrame:
     """Rows whose ``price`` is above ``k`` times the median price of the
     same item and period. The per-group medians are joined back by key
     (one row per group); AQE broadcasts them when measured small, or
     splits a skewed key of the large side."""
-    med = group_median(items, [item, *period], price, out)
+    med = group_median(items, [item, *period], price, out, method)
     return items.join(med, [item, *period], "inner").filter(F.col(price) > F.lit(k) * F.col(out))
 
 

@@ -149,3 +149,12 @@ def test_table_lookup_and_atomic_overwrite(spark):
     TB.overwrite_atomic(spark.range(5), path)
     TB.overwrite_atomic(spark.read.parquet(path).filter("id < 2"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_ranked_median_equals_spark_median_with_a_hot_group(spark):
+    from civicspark.operators.indicators import group_median
+    rows = [(0 if i % 3 == 0 else i % 17, float((i * 7919) % 101) / 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    a = {r[0]: r[1] for r in group_median(df, ["g"], "v", method="aggregate").collect()}
+    b = {r[0]: r[1] for r in group_median(df, ["g"], "v").collect()}
+    assert a == b and len(a) == 17
