@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicspark.functions.text import json_text, py_strip, strip_bom
+from civicspark.operators.sizing import spread
 
 # Response classes.
 OK, EMPTY, ERROR, INVALID = "ok", "empty", "error", "invalid"
@@ -82,21 +83,33 @@ def _parsed(body="body") -> Column:
 def infer_payload(responses: DataFrame, body: str = "body") -> tuple[str | None, bool]:
     """One aggregate pass: the merged element type (DDL) of array-wrapped
     bodies - None when no body holds objects - and whether any body is a
-    plain JSON value. Only this one row reaches the driver."""
+    plain JSON value. Only this one row reaches the driver.
+
+    Lists of plain values give no rows (D10) and must not blur the merged
+    object type into VARIANT: bodies whose text opens a list with an object
+    feed the schema (a cheap text test); only if some list still mixes
+    objects with other values is the exact per-row schema test used."""
+    responses = spread(responses)
     shape = body_shape(body)
     v = _parsed(body)
-    # lists of plain values give no rows (D10) and must not blur the merged
-    # object type into VARIANT, so only object lists feed the schema
-    object_list = (shape != "scalar") & F.schema_of_variant(v).startswith("ARRAY<OBJECT<")
-    row = responses.agg(
-        F.schema_of_variant_agg(F.when(object_list, v)).alias("s"),
-        F.max(F.when(shape == "scalar", v.isNotNull())).alias("has_scalar"),
-    ).first()
-    schema = row["s"] if row is not None else None
+    b = clean_body(body)
+    opens_objects = (shape == "object") | b.rlike(r"^\[\s*\{")
+
+    def run(feed):
+        row = responses.agg(
+            F.schema_of_variant_agg(F.when(feed, v)).alias("s"),
+            F.max(F.when(shape == "scalar", v.isNotNull())).alias("has_scalar"),
+        ).first()
+        return (row["s"] if row is not None else None), bool(row is not None and row["has_scalar"])
+
+    schema, has_scalar = run(opens_objects)
+    if schema is not None and not schema.startswith("ARRAY<OBJECT<"):
+        exact = (shape != "scalar") & F.schema_of_variant(v).startswith("ARRAY<OBJECT<")
+        schema, has_scalar = run(exact)
     ddl = None
     if schema is not None and schema.startswith("ARRAY<OBJECT<"):
         ddl = variant_schema_to_ddl(schema)[len("ARRAY<"):-1]
-    return ddl, bool(row is not None and row["has_scalar"])
+    return ddl, has_scalar
 
 
 def infer_rows_schema(responses: DataFrame, body: str = "body") -> str | None:
@@ -118,7 +131,7 @@ def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None =
                               + [T.StructField(pos, T.IntegerType())])
         return responses.sparkSession.createDataFrame([], schema)
     items = F.from_json(as_array_text(body), f"ARRAY<{element_ddl}>")
-    parsed = responses.filter(body_shape(body) != "scalar").select(*keep, items.alias("__items"))
+    parsed = spread(responses).filter(body_shape(body) != "scalar").select(*keep, items.alias("__items"))
     exploded = parsed.select(*keep, F.posexplode("__items").alias(pos, "__item"))
     return exploded.select(*keep, pos, "__item.*")
 

@@ -22,3 +22,16 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Dat
     """``broadcast(df)`` when its row count is proven small, else ``df``
     unchanged (sort-merge / shuffled-hash join chosen by the planner)."""
     return F.broadcast(df) if bounded_rows(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Parallelism floor for CPU-heavy row work (JSON parsing): when the
+    input arrives in fewer splits than the cluster has cores - a small
+    table stored as one Parquet row group is one task - spread it round
+    robin over ``defaultParallelism`` partitions. Inputs that already come
+    in enough splits (any large table) are returned unchanged, with no
+    shuffle. The check reads plan metadata only; no job runs."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
