@@ -213,8 +213,8 @@ def q_schema_evolution_append(spark, d):
 
 def q_stamp_metadata(spark, d):
     landing = S.event_landing(spark, d).select("response_id", "url", "status", "body")
-    rows = N.flatten_struct(N.json_rows(N.fetched_bodies(landing), keep=["response_id", "url"]))
-    return C.stamp_metadata(rows, _event_plan(spark, d))
+    stamped = C.stamp_responses(N.fetched_bodies(landing), _event_plan(spark, d))
+    return N.flatten_struct(N.json_rows(stamped, keep=["response_id", "url", "municipio", "prefeitura", "ano", "mes"]))
 
 
 def q_surrogate_id(spark, d):

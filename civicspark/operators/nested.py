@@ -123,6 +123,8 @@ def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None =
     keys are unioned over all responses, a missing key is NULL. Bodies that
     hold a list of plain scalars give no rows (D10); scalars go through
     :func:`scalar_valor`. ``pos`` is the object's position in its response.
+    Payload fields named like a ``keep`` column are dropped (C9), so stamps
+    attached to the responses beforehand win.
     Bodies that are not JSON give no rows (``from_json`` is permissive)."""
     keep = list(keep if keep is not None else [c for c in responses.columns if c != body])
     element_ddl = element_ddl or infer_rows_schema(responses, body)
@@ -133,7 +135,10 @@ def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None =
     items = F.from_json(as_array_text(body), f"ARRAY<{element_ddl}>")
     parsed = spread(responses).filter(body_shape(body) != "scalar").select(*keep, items.alias("__items"))
     exploded = parsed.select(*keep, F.posexplode("__items").alias(pos, "__item"))
-    return exploded.select(*keep, pos, "__item.*")
+    # Payload fields named like a kept column (the stamps) are dropped
+    taken = {c.lower() for c in (*keep, pos)}
+    fields = [f for f in exploded.schema["__item"].dataType.fieldNames() if f.lower() not in taken]
+    return exploded.select(*keep, pos, *[F.col("__item").getField(f).alias(f) for f in fields])
 
 
 def scalar_valor(responses: DataFrame, body: str = "body", keep: list[str] | None = None,

@@ -123,17 +123,24 @@ def evolve_union(existing: DataFrame, batch: DataFrame, case_sensitive: bool = T
     return existing.unionByName(batch, allowMissingColumns=True)
 
 
+def stamp_responses(responses: DataFrame, plan: DataFrame, key: str = "url",
+                    stamps: tuple[str, ...] = ("municipio", "prefeitura", "ano", "mes")) -> DataFrame:
+    """Attach municipality and period of the plan cell that produced
+    each response - an equi-join on the request URL at one row per
+    *response*, before payloads are exploded into rows. The plan side is
+    broadcast only when its size is checked small."""
+    cells = plan.select(key, *stamps).dropDuplicates([key])
+    return responses.join(small_side(cells), on=key, how="inner")
+
+
 def stamp_metadata(rows: DataFrame, plan: DataFrame, key: str = "url",
                    stamps: tuple[str, ...] = ("municipio", "prefeitura", "ano", "mes"),
                    reserved: tuple[str, ...] = RESERVED_STAMPS) -> DataFrame:
-    """C9 + C10 (+K6): drop payload columns named like the stamps, then
-    attach municipality and period from the plan cell that produced each
-    response (equi-join on the request URL; the plan side is broadcast only
-    when its size is checked small)."""
+    """C9 + C10 on rows that are already exploded: drop payload columns
+    named like the stamps, then attach the plan cell's stamps by URL.
+    Prefer :func:`stamp_responses` before exploding (fewer rows to join)."""
     drop = [c for c in rows.columns if c.lower() in {r.lower() for r in (*reserved, *stamps)}]
-    payload = rows.drop(*drop)
-    cells = plan.select(key, *stamps).dropDuplicates([key])
-    return payload.join(small_side(cells), on=key, how="inner")
+    return stamp_responses(rows.drop(*drop), plan, key, stamps)
 
 
 def surrogate_id(df: DataFrame, source_col: str = "url", pos_col: str = "pos",

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from civicspark.operators.nested import fetched_bodies, flatten_struct, json_rows
-from civicspark.operators.schema import stamp_metadata
+from civicspark.operators.schema import stamp_responses
 from civicspark.plans.extraction import MONTH_CELL
 from civicspark.sources.tables import path_exists, read_evolving
 
@@ -31,11 +31,10 @@ def process_batch(batch: DataFrame, plan: DataFrame, target: str, epoch: int,
     """One micro-batch: F2 (fetched, non-blank, JSON) -> J1/J2 -> C9/C10 ->
     K1 guard -> S7."""
     spark = batch.sparkSession
-    ok = fetched_bodies(batch)
-    rows = flatten_struct(json_rows(ok, keep=["url"]))
-    if "pos" in rows.columns:
-        rows = rows.drop("pos")
-    stamped = stamp_metadata(rows, plan.select("url", *keys), stamps=tuple(keys))
+    ok = stamp_responses(fetched_bodies(batch), plan, stamps=tuple(keys))
+    stamped = flatten_struct(json_rows(ok, keep=["url", *keys]))
+    if "pos" in stamped.columns:
+        stamped = stamped.drop("pos")
     loaded = _loaded_cells(spark, target, keys)
     if loaded is not None:
         stamped = stamped.join(loaded, list(keys), "left_anti")
