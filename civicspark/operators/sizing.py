@@ -31,7 +31,9 @@ def spread(df: DataFrame) -> DataFrame:
     robin over ``defaultParallelism`` partitions. Inputs that already come
     in enough splits (any large table) are returned unchanged, with no
     shuffle. The check reads plan metadata only; no job runs."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without an RDD view: keep the input as is
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)

@@ -111,3 +111,22 @@ def resume_plan(ledger: DataFrame, catalog: DataFrame, end: tuple[int, int],
     marks = high_water_mark(ledger, [vendor_col, "topic"])
     cells = resume_months(marks, catalog, end, vendor_col)
     return pending_cells(cells, ledger, keys)
+
+
+def resume_years(marks: DataFrame, catalog: DataFrame, topics: DataFrame, last_year: int,
+                 vendor_col: str = "empresa", topic_col: str = "assunto",
+                 template_col: str = "parametros") -> DataFrame:
+    """I2 (yearly vendor): cells from each topic's last loaded year **+ 1**
+    through ``last_year`` with their templated URLs; ``marks`` holds
+    (vendor, topic, ano) from :func:`high_water_mark` with ``mes=None``."""
+    years = F.sequence(F.col("ano") + 1, F.lit(last_year))
+    todo = (marks.filter(F.col("ano") + 1 <= F.lit(last_year))
+            .select(vendor_col, F.col("topic").alias(topic_col), F.explode(years).alias("ano"))
+            .join(topics.select(vendor_col, topic_col, template_col), [vendor_col, topic_col], "inner"))
+    cells = catalog.join(small_side(todo), vendor_col, "inner")
+    unit = F.col("unidadegestora").cast("bigint").cast("string")
+    return cells.select(
+        F.col(topic_col).alias("topic"), "municipio", "prefeitura", unit.alias("unidadegestora"),
+        vendor_col, "ano",
+        template_url(F.col("url"), F.col(topic_col), F.col(template_col), unit, F.col("ano")).alias("url"),
+    )

@@ -158,3 +158,20 @@ def test_ranked_median_equals_spark_median_with_a_hot_group(spark):
     a = {r[0]: r[1] for r in group_median(df, ["g"], "v", method="aggregate").collect()}
     b = {r[0]: r[1] for r in group_median(df, ["g"], "v").collect()}
     assert a == b and len(a) == 17
+
+
+def test_yearly_plan_and_resume_from_next_year(spark):
+    cat = spark.createDataFrame([(9, "P", "m", "http://ws.x.gov/api/", "tectrilha", 3)],
+                                "id long, prefeitura string, municipio string, url string, empresa string, unidadegestora int")
+    topics = spark.createDataFrame([("tectrilha", "contratos", "?unidadeGestoraId={unidadeGestoraId}&exercicio={exercicio}"),
+                                    ("tectrilha", "bensImoveis", " ")], "empresa string, assunto string, parametros string")
+    plan = X.yearly_plan(cat, topics, 2023, 2024)
+    urls = sorted(r["url"] for r in plan.collect())
+    assert urls == ["http://ws.x.gov/api/bensImoveis", "http://ws.x.gov/api/bensImoveis",
+                    "http://ws.x.gov/api/contratos?unidadeGestoraId=3&exercicio=2023",
+                    "http://ws.x.gov/api/contratos?unidadeGestoraId=3&exercicio=2024"]
+    ledger = spark.createDataFrame([("tectrilha", "contratos", 2023), ("tectrilha", "bensImoveis", 2024)],
+                                   "empresa string, topic string, ano int")
+    marks = X.high_water_mark(ledger, ["empresa", "topic"], mes=None)
+    todo = sorted((r["topic"], r["ano"]) for r in X.resume_years(marks, cat, topics, 2024).collect())
+    assert todo == [("contratos", 2024)]
