@@ -213,8 +213,11 @@ def q_schema_evolution_append(spark, d):
 
 def q_stamp_metadata(spark, d):
     landing = S.event_landing(spark, d).select("response_id", "url", "status", "body")
-    stamped = C.stamp_responses(N.fetched_bodies(landing), _event_plan(spark, d))
-    return N.flatten_struct(N.json_rows(stamped, keep=["response_id", "url", "municipio", "prefeitura", "ano", "mes"]))
+    ok = N.fetched_bodies(landing)
+    ddl = N.infer_rows_schema(ok)
+    stamped = C.stamp_responses(ok, _event_plan(spark, d))
+    keep = ["response_id", "url", "municipio", "prefeitura", "ano", "mes"]
+    return N.flatten_struct(N.json_rows(stamped, keep=keep, element_ddl=ddl))
 
 
 def q_surrogate_id(spark, d):

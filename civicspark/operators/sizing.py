@@ -24,16 +24,30 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if bounded_rows(df, max_rows) else df
 
 
+SPLIT_BYTES = 128 * 1024 * 1024  # Spark's default file split size
+
+
+def input_splits(df: DataFrame, enough: int) -> int:
+    """Lower bound on the scan splits of ``df``'s input files, from file
+    metadata only (no stage runs). Stops counting at ``enough``."""
+    files = df.inputFiles()
+    if len(files) >= enough:
+        return len(files)
+    from civicspark.session import file_sizes
+    total = sum(file_sizes(df.sparkSession, files))
+    return max(len(files), total // SPLIT_BYTES)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Parallelism floor for CPU-heavy row work (JSON parsing): when the
-    input arrives in fewer splits than the cluster has cores - a small
-    table stored as one Parquet row group is one task - spread it round
-    robin over ``defaultParallelism`` partitions. Inputs that already come
-    in enough splits (any large table) are returned unchanged, with no
-    shuffle. The check reads plan metadata only; no job runs."""
+    """Parallelism floor for CPU-heavy row work (JSON parsing, profiling):
+    when the input files give fewer splits than the cluster has cores - a
+    small table stored as one Parquet row group is one task - spread the
+    rows round robin over ``defaultParallelism`` partitions. Inputs read
+    from enough files or bytes (any large table) are returned unchanged,
+    with no shuffle. Decided from file metadata; no job runs."""
     try:
         want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without an RDD view: keep the input as is
+        have = input_splits(df, want)
+    except Exception:  # sessions without file metadata access: keep as is
         return df
     return df if have >= want else df.repartition(want)

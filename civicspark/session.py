@@ -56,3 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     unlike a local checkpoint)."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def file_sizes(spark: SparkSession, paths: list[str]) -> list[int]:
+    """Byte sizes of files, from the file system's metadata."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        out.append(int(path.getFileSystem(conf).getFileStatus(path).getLen()))
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from civicspark.operators.nested import fetched_bodies, flatten_struct, json_rows
+from civicspark.operators.nested import fetched_bodies, flatten_struct, infer_rows_schema, json_rows
 from civicspark.operators.schema import stamp_responses
 from civicspark.plans.extraction import MONTH_CELL
 from civicspark.sources.tables import path_exists, read_evolving
@@ -31,8 +31,12 @@ def process_batch(batch: DataFrame, plan: DataFrame, target: str, epoch: int,
     """One micro-batch: F2 (fetched, non-blank, JSON) -> J1/J2 -> C9/C10 ->
     K1 guard -> S7."""
     spark = batch.sparkSession
-    ok = stamp_responses(fetched_bodies(batch), plan, stamps=tuple(keys))
-    stamped = flatten_struct(json_rows(ok, keep=["url", *keys]))
+    ok = fetched_bodies(batch)
+    ddl = infer_rows_schema(ok)
+    if ddl is None:
+        return
+    stamped = stamp_responses(ok, plan, stamps=tuple(keys))
+    stamped = flatten_struct(json_rows(stamped, keep=["url", *keys], element_ddl=ddl))
     if "pos" in stamped.columns:
         stamped = stamped.drop("pos")
     loaded = _loaded_cells(spark, target, keys)
@@ -60,12 +64,16 @@ def incremental_load(spark: SparkSession, landing: str, plan: DataFrame, target:
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(landing)
-    query = (stream.writeStream
-             .foreachBatch(lambda df, epoch: process_batch(df, plan, target, epoch, keys))
-             .option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True)
-             .start())
-    query.awaitTermination()
+    cells = plan.select("url", *keys).dropDuplicates(["url"]).persist()  # catalog-sized, reused by every batch
+    try:
+        query = (stream.writeStream
+                 .foreachBatch(lambda df, epoch: process_batch(df, cells, target, epoch, keys))
+                 .option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True)
+                 .start())
+        query.awaitTermination()
+    finally:
+        cells.unpersist()
 
 
 def read_loaded(spark: SparkSession, target: str) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicspark.operators.sizing import spread
+
 BOM = "\ufeff"
 
 
@@ -19,6 +21,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A driver table whose rows feed string-heavy stand-ins: the test
+    tables are single Parquet row groups (one task), so spread them."""
+    return spread(table(spark, d, name))
+
+
 # --- municipalities, topics, ledger ------------------------------------------
 
 # A municipality per nation; vendor = region name; the base URL comes in
@@ -89,7 +97,7 @@ def event_landing(spark, d) -> DataFrame:
     Status 500 on ``event_id % 11 = 0``; blank body on ``% 13``; truncated
     JSON on ``% 17``; otherwise a one-object list, a bare object, or a
     BOM-prefixed two-object list whose second object has other keys."""
-    e, n = table(spark, d, "events"), table(spark, d, "nation")
+    e, n = spread_table(spark, d, "events"), table(spark, d, "nation")
     j = e.join(n, (e.user_id % 25) == n.n_nationkey)
     full = (f"CASE event_id % 3 WHEN 0 THEN concat('[', {EVENT_OBJ}, ']') WHEN 1 THEN {EVENT_OBJ} "
             f"ELSE concat('{BOM}[', {EVENT_OBJ}, ',', {EVENT_PART}, ']') END")
@@ -108,7 +116,7 @@ def event_landing(spark, d) -> DataFrame:
 def flat_landing(spark, d) -> DataFrame:
     """Bodies without nesting: a bare object on even ids, a two-object list
     (second object with other keys) on odd ids."""
-    e = table(spark, d, "events")
+    e = spread_table(spark, d, "events")
     obj = ("concat('{\"event_id\":', event_id, ',\"user_id\":', user_id, ',\"event_type\":\"', event_type, "
            "'\",\"value\":', cast(value AS string), '}')")
     body = f"CASE WHEN event_id % 2 = 0 THEN {obj} ELSE concat('[', {obj}, ',', {EVENT_PART}, ']') END"
@@ -327,7 +335,7 @@ def indexed_lines(spark, d) -> DataFrame:
 def columnar_orders(spark, d) -> DataFrame:
     """Columnar payload per order ``{"linha": [...], "valor": [...]}`` with
     ``1 + o_orderkey % 4`` entries; ``valor`` one short on ``% 19 = 0``."""
-    o = table(spark, d, "orders")
+    o = spread_table(spark, d, "orders")
     linha = "sequence(1, 1 + cast(o_orderkey % 4 AS int))"
     valor = f"transform({linha}, i -> o_totalprice * i)"
     valor = f"CASE WHEN o_orderkey % 19 = 0 THEN slice({valor}, 1, cast(o_orderkey % 4 AS int)) ELSE {valor} END"
