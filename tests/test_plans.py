@@ -40,3 +40,21 @@ def test_scan_prunes_columns(spark):
 def test_dedup_aggregates_partially_before_the_shuffle(spark):
     text = plan_text(E.q_dedup_by_key(spark, SF_SMALL))
     assert "partial_min" in text
+
+
+def test_merge_splits_full_outer_into_skew_splittable_joins(spark):
+    text = plan_text(E.q_merge_outer_common(spark, SF_SMALL))
+    assert "FullOuter" not in text
+    assert "LeftAnti" in text and "Inner" in text
+
+
+def test_spread_is_a_noop_for_many_split_inputs(spark):
+    from civicspark.operators.sizing import spread
+    from civicspark.session import scratch_path
+    path = scratch_path(spark, "many-files")
+    spark.range(10000).repartition(12).write.parquet(path)
+    many = spark.read.parquet(path)
+    assert spread(many) is many
+    one = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert "RoundRobinPartitioning" in spread(one)._jdf.queryExecution().executedPlan().toString() \
+        or spark.sparkContext.defaultParallelism <= 1
