@@ -169,7 +169,9 @@ def q_sink_errors(spark, d):
                       F.concat(F.lit("500 Server Error for url: "), F.col("url")).alias("message"))
     TB.append_errors(failed.filter("length(url) % 2 = 0"), path)
     TB.append_errors(failed.filter("length(url) % 2 = 1"), path)
-    return CAT.read_error_log(spark, path).drop("logged_at")
+    logged = CAT.read_error_log(spark, path)
+    stamp_ok = F.col("logged_at").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")  # X15 format
+    return logged.withColumn("logged_at_format_ok", stamp_ok).drop("logged_at")
 
 
 def q_rename_columns(spark, d):
@@ -714,7 +716,8 @@ _SQL["sink_ctas"] = """SELECT *, CASE WHEN processo IS NOT NULL AND anoprocesso
 FROM (SELECT *, CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN NULL ELSE CAST(l_orderkey AS DOUBLE) END AS processo,
              CAST(year(l_shipdate) AS DOUBLE) AS anoprocesso FROM lineitem)"""
 _SQL["sink_ctas"] = f"SELECT * EXCLUDE (processo, anoprocesso) FROM ({_SQL['sink_ctas']})"
-_SQL["sink_errors"] = """SELECT url, 'HTTPError' AS error_type, '500 Server Error for url: ' || url AS message
+_SQL["sink_errors"] = """SELECT url, 'HTTPError' AS error_type, '500 Server Error for url: ' || url AS message,
+       TRUE AS logged_at_format_ok
 FROM pages WHERE page_id % 4 = 0"""
 _SQL["rename_columns"] = "SELECT n_nationkey, n_name AS municipio, n_regionkey AS regiao FROM nation"
 _SQL["rename_swap"] = "SELECT n_nationkey, n_regionkey AS n_name, n_name AS n_regionkey FROM nation"
