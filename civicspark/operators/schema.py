@@ -129,8 +129,16 @@ def stamp_responses(responses: DataFrame, plan: DataFrame, key: str = "url",
     each response - an equi-join on the request URL at one row per
     *response*, before payloads are exploded into rows. The plan side is
     broadcast only when its size is checked small."""
-    cells = plan.select(key, *stamps).dropDuplicates([key])
-    return responses.join(small_side(cells), on=key, how="inner")
+    return responses.join(small_side(cells_by_url(plan, key, stamps)), on=key, how="inner")
+
+
+def cells_by_url(plan: DataFrame, key: str = "url",
+                 stamps: tuple[str, ...] = ("municipio", "prefeitura", "ano", "mes")) -> DataFrame:
+    """One plan cell per request URL. A URL shared by several cells (a
+    yearly template without the year) maps to its first cell in stamp order,
+    deterministically."""
+    first = plan.groupBy(key).agg(F.min(F.struct(*[F.col(_q(c)) for c in stamps])).alias("__cell"))
+    return first.select(key, *[F.col("__cell").getField(c).alias(c) for c in stamps])
 
 
 def stamp_metadata(rows: DataFrame, plan: DataFrame, key: str = "url",

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from civicspark.operators.nested import fetched_bodies, flatten_struct, infer_rows_schema, json_rows
-from civicspark.operators.schema import stamp_responses
+from civicspark.operators.schema import cells_by_url, stamp_responses
 from civicspark.plans.extraction import MONTH_CELL
 from civicspark.sources.tables import path_exists, read_evolving
 
@@ -64,7 +64,7 @@ def incremental_load(spark: SparkSession, landing: str, plan: DataFrame, target:
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(landing)
-    cells = plan.select("url", *keys).dropDuplicates(["url"]).persist()  # catalog-sized, reused by every batch
+    cells = cells_by_url(plan, "url", tuple(keys)).persist()  # catalog-sized, reused by every batch
     try:
         query = (stream.writeStream
                  .foreachBatch(lambda df, epoch: process_batch(df, cells, target, epoch, keys))

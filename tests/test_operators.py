@@ -175,3 +175,11 @@ def test_yearly_plan_and_resume_from_next_year(spark):
     marks = X.high_water_mark(ledger, ["empresa", "topic"], mes=None)
     todo = sorted((r["topic"], r["ano"]) for r in X.resume_years(marks, cat, topics, 2024).collect())
     assert todo == [("contratos", 2024)]
+
+
+def test_shared_url_stamps_first_cell(spark):
+    plan = spark.createDataFrame([("u", "m", "p", 2024, 1), ("u", "m", "p", 2023, 1), ("v", "m", "p", 2024, 2)],
+                                 "url string, municipio string, prefeitura string, ano int, mes int")
+    resp = spark.createDataFrame([("u", "[1]"), ("v", "[2]")], "url string, body string")
+    got = sorted((r["url"], r["ano"], r["mes"]) for r in C.stamp_responses(resp, plan).collect())
+    assert got == [("u", 2023, 1), ("v", 2024, 2)]
