@@ -2,8 +2,8 @@
 
 Native: DataFrame functions only. Paths from leaves to roots come from
 self-joins with doubling steps: level k joins every path row to the ancestor
-2^k steps up, so a tree of depth d takes log2(d) joins, and the rows made are
-those of the paths themselves. Branches are ranked by the sum of their nodes'
+2^k steps up, so a tree of depth d takes log2(d) joins, and each level adds
+only new path rows. Branches are ranked by the sum of their nodes'
 scores, and each chosen path becomes one conversation.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside texts
@@ -62,16 +62,13 @@ def paths(keys: DataFrame) -> DataFrame:
     same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv"))
     step = materialize(keys.alias("c").join(keys.alias("p"), same("c", "p") & (F.col("c.parent") == F.col("p.node")), "left_semi")
                        .select("conv", "node", F.col("parent").alias("top")), "chat-step")
-    out = keys.alias("k").join(step.alias("s"), same("k", "s") & (F.col("k.node") == F.col("s.top")), "left_anti").select(
-        "conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    out = materialize(keys.alias("k").join(step.alias("s"), same("k", "s") & (F.col("k.node") == F.col("s.top")), "left_anti").select(
+        "conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "chat-paths")
     largest = keys.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     reach = 1
     while reach < largest and not step.isEmpty():
-        both = F.array(F.struct(F.col("p.node").alias("node"), F.col("p.up").alias("up")),
-                       F.when(F.col("s.top").isNotNull(), F.struct(F.col("s.top").alias("node"), (F.col("p.up") + reach).alias("up"))))
-        out = (out.alias("p").join(step.alias("s"), same("p", "s") & (F.col("p.node") == F.col("s.node")), "left")
-               .select(F.col("p.conv").alias("conv"), F.col("p.leaf").alias("leaf"), F.explode(F.array_compact(both)).alias("x"))
-               .select("conv", "leaf", "x.node", "x.up"))
+        more = out.alias("p").join(step.alias("s"), same("p", "s") & (F.col("p.node") == F.col("s.node")))
+        out = out.unionByName(materialize(more.select("p.conv", "p.leaf", F.col("s.top").alias("node"), (F.col("p.up") + reach).alias("up")), "chat-paths"))
         step = materialize(step.alias("a").join(step.alias("b"), same("a", "b") & (F.col("a.top") == F.col("b.node")))
                            .select(F.col("a.conv").alias("conv"), F.col("a.node").alias("node"), F.col("b.top").alias("top")), "chat-step")
         reach *= 2
@@ -83,7 +80,7 @@ def format_chats(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     ``branches`` best paths of each conversation (None: all of them), from
     (conv, node, parent, role, text, score); ties go to the smaller leaf."""
     nodes = materialize(nodes, "chat-nodes")
-    way = materialize(paths(nodes.select("conv", "node", "parent")), "chat-paths")
+    way = paths(nodes.select("conv", "node", "parent"))
     same = F.col("w.conv").eqNullSafe(F.col("n.conv")) & (F.col("w.node") == F.col("n.node"))
     ranked = (way.alias("w").join(nodes.select("conv", "node", "parent", "score").alias("n"), same)
               .groupBy(F.col("w.conv").alias("conv"), "leaf")

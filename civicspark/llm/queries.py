@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from civicspark.llm import chat, quality, url_rules
+from civicspark.llm import chat, html_text, packing, quality, token_counts, url_rules
 
 
 def table(spark, sf_dir, name):
@@ -26,6 +27,19 @@ def op4_url_filters(spark, d):
     return url_rules.url_verdicts(table(spark, d, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op5_token_counts(spark, d):
+    return token_counts.token_counts(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_html_extraction(spark, d):
+    return html_text.page_texts(table(spark, d, "pages").select("page_id", "url", "html"))
+
+
+def op10_packing(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return packing.pieces(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -42,7 +56,7 @@ def op7_chat_formatting(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op7_chat_formatting)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_token_counts, op7_chat_formatting, op8_html_extraction, op10_packing)}
 
 
 def oracle_sql():
