@@ -23,8 +23,11 @@ are packed each; null document ids stay null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +41,25 @@ from civicspark.llm.common import q
 WINDOW, SENTENCE, HARD, BLOCK = 4096, 16, 256, 1 << 20
 KNOWN, SLICE_CHARS = 300_000, 1 << 20
 STOPS = (".", "!", "?", "…", "。")
+MARKS = ".,;:!?"
 
 
 class Words:
-    """Ids of words, kept in one flat array."""
+    """Ids of words, kept in one flat array. Words of lower-case letters in
+    composed form are one pre-token, which the library's model is asked for
+    itself; with one mark behind, they are that and the mark. All other words
+    take the library's whole pipeline."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-        self.model, self.end_id = Tokenizer.from_file(path), end_id
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.whole, self.end_id = Tokenizer.from_file(path), end_id
+        self.model, self.bytes = self.whole.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs: dict[str, str] = {}
+        self.marks = {m: self.pipeline([m])[0] for m in MARKS}
+        probes = ["a", "word", "zażółć", "straße", "éà", "abcdefghijklmnop"]
+        self.direct = all(self.letters(w) == ids for w, ids in zip(probes, self.pipeline(probes))) and all(
+            self.letters("word") + ids == both for ids, both in zip(self.marks.values(), self.pipeline([f"word{m}" for m in MARKS])))
         self.reset()
 
     def reset(self):
@@ -54,10 +68,34 @@ class Words:
         self.ids, self.start, self.size = np.array([self.end_id], np.uint32), np.array([0, 0, 0]), np.array([1, 0, 0])
         self.stop = np.array([2, 1, 0], np.uint8)
 
+    def pipeline(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letters(self, word: str) -> list[int]:
+        if not word.isascii():
+            for c in word:
+                if c not in self.signs:
+                    self.signs[c] = self.bytes.pre_tokenize_str(c)[0][0]
+            word = "".join(map(self.signs.__getitem__, word))
+        return [t.id for t in self.model.tokenize(word)]
+
+    def made(self, words: list[str]) -> list[list[int]]:
+        out, rest = [], []
+        for w in words:
+            mark = self.marks.get(w[-1])
+            base = w if mark is None else w[:-1]
+            if self.direct and base.isalpha() and base.islower() and (base.isascii() or is_normalized("NFC", base)):
+                out.append(self.letters(base) if mark is None else self.letters(base) + mark)
+            else:
+                out.append(None)
+                rest.append(w)
+        others = iter(self.pipeline(rest))
+        return [next(others) if ids is None else ids for ids in out]
+
     def learn(self, words: list[str]):
-        made = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        made = self.made(words)
         size = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
         self.index.update(zip(words, range(len(self.size), len(self.size) + len(words))))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
@@ -83,8 +121,12 @@ class Words:
 
 
 def _words(text: str) -> Iterator[list[str]]:
-    """Words and line ends of a text, in slices cut at spaces."""
+    """Words and line ends of a text, in slices cut at spaces. A-Z are
+    lower-cased at once where that changes no composed or special string."""
     at = 0
+    low = text.encode().lower().decode()
+    if "<|" not in text and is_normalized("NFC", text) and is_normalized("NFC", low):
+        text = low
     while True:
         cut = text.find(" ", at + SLICE_CHARS) if len(text) - at > SLICE_CHARS else -1
         part = text[at:cut] if cut >= 0 else text[at:]
