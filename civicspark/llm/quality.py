@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import fresh, materialize, q
+from civicspark.llm.common import bind, fresh, materialize, q
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPREAD, MIN_GROUP = 6, 200
@@ -63,11 +63,6 @@ def repeated_words(words: Column) -> Column:
     return bind(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(F.lit(0).cast("long")))
 
 
-def bind(value: Column, body) -> Column:
-    """``body`` of a value that is computed once for each row."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def add_measures(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words and base_failed (each name after ``prefix``)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from civicspark.llm import chat, html_text, packing, quality, token_counts, url_rules
+from civicspark.llm import chat, decontaminate, html_text, packing, quality, token_counts, url_rules
 
 
 def table(spark, sf_dir, name):
@@ -40,6 +40,12 @@ def op10_packing(spark, d):
     return packing.pieces(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_decontamination(spark, d):
+    r = decontaminate.report(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -56,7 +62,7 @@ def op7_chat_formatting(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_token_counts, op7_chat_formatting, op8_html_extraction, op10_packing)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op10_packing)}
 
 
 def oracle_sql():
