@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from civicspark.llm import chat, decontaminate, html_text, packing, quality, token_counts, url_rules
+from civicspark.llm import chat, decontaminate, html_text, ngram_join, packing, quality, token_counts, url_rules
 
 
 def table(spark, sf_dir, name):
@@ -35,6 +35,10 @@ def op8_html_extraction(spark, d):
     return html_text.page_texts(table(spark, d, "pages").select("page_id", "url", "html"))
 
 
+def op9_ngram_jaccard(spark, d):
+    return ngram_join.classes(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return packing.pieces(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -62,7 +66,7 @@ def op7_chat_formatting(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op10_packing)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing)}
 
 
 def oracle_sql():
