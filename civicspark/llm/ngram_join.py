@@ -38,7 +38,7 @@ from civicspark.llm.graph import components
 from civicspark.llm.textnum import Hasher, chunks, digest, row_sets, shingles, text_bytes
 
 SPACE = (0x20, *range(0x09, 0x0E))
-SKETCH_BITS, SLICE = 20, 4096
+SKETCH_BITS, SLICE = 22, 4096
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, size: int, hasher: Hasher | None = None):
@@ -59,13 +59,13 @@ def sketch(texts: DataFrame, size: int, bits: int = SKETCH_BITS) -> bytes:
             total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         parts = total.reshape(-1, SLICE)
         full = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([parts[k].astype("<i4").tobytes() for k in full], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([_narrow(parts[k]) for k in full], pa.binary())], names=["slice", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(c, "<i4").astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(c, f"<u{len(c) // SLICE}").astype(np.int64)
         logs = [(8 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(logs, pa.binary())], names=["slice", "logs"])
 
@@ -76,6 +76,11 @@ def sketch(texts: DataFrame, size: int, bits: int = SKETCH_BITS) -> bytes:
     return bytes(out)
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u8").tobytes()
+
+
 def shingle_sets(docs: DataFrame, size: int, threshold: int, order: bytes, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, mark, n, node, prefix): the text's digest, set size, 16-byte digest of the set, and
     the prefix as a sorted array. ``threshold``: per cent."""
@@ -180,12 +185,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     verify = Verifier(docs, nodes.select("node", "stand"), size, threshold)
 
     rep = nodes.filter(F.col("node") == F.col("grp")).select("n", "grp", F.explode("prefix").alias("token"))
-    by_token = Window.partitionBy("token").orderBy("n", "grp")
-    tokens = materialize(rep.select("token", "n", "grp", F.first("grp").over(by_token).alias("star"), F.first("n").over(by_token).alias("star_n"),
-                                    F.lag("grp").over(by_token).alias("before"), F.lag("n").over(by_token).alias("before_n"),
-                                    F.lead("grp").over(by_token).alias("after")).filter(F.col("before").isNotNull() | F.col("after").isNotNull()), "tokens")
+    by_token = Window.partitionBy("token")
+    tokens = materialize(rep.withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1").select("token", "n", "grp"), "tokens")
+    # the member with the most shared shingles is tried against all others of its bucket
+    weight = small(tokens.groupBy("grp").agg(F.count(F.lit(1)).alias("weight")), 32)
+    by_weight = by_token.orderBy(F.desc("weight"), "n", "grp")
+    stars = tokens.join(weight, "grp").select("token", "n", "grp", F.first("grp").over(by_weight).alias("star"), F.first("n").over(by_weight).alias("star_n"),
+                                              F.lag("grp").over(by_weight).alias("before"), F.lag("n").over(by_weight).alias("before_n"))
     near = lambda a, b: 100 * F.least(a, b) >= threshold * F.greatest(a, b)
-    tries = tokens.filter("before is not null").select("grp", "n", F.explode(F.array_distinct(F.array(
+    tries = stars.filter("before is not null").select("grp", "n", F.explode(F.array_distinct(F.array(
         F.struct(F.col("star").alias("g"), F.col("star_n").alias("m")), F.struct(F.col("before").alias("g"), F.col("before_n").alias("m"))))).alias("o"))
     tries = tries.filter(near(F.col("n"), F.col("o.m"))).groupBy(F.col("o.g").alias("a"), F.col("grp").alias("b"), "n", F.col("o.m").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
     first = tries.filter(F.col("shared") + prefix_rest(F.greatest("n", "m"), threshold) >= least_shared(F.col("n"), F.col("m"), threshold)).select("a", "b")

@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from civicspark.llm import chat, decontaminate, html_text, ngram_join, packing, quality, token_counts, url_rules
+from civicspark.llm import chat, decontaminate, html_text, line_dedup, lm_score, ngram_join, packing, quality, token_counts, url_rules
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark, d):
+    return lm_score.lm_scores(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def op2_line_dedup(spark, d):
+    return line_dedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     measured = quality.materialize(quality.add_measures(docs).drop("text"), "quality")
@@ -66,7 +74,7 @@ def op7_chat_formatting(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing)}
 
 
 def oracle_sql():
