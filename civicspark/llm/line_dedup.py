@@ -25,6 +25,7 @@ and, where whole rows are equal, in all of them, since they have one place.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +43,22 @@ SHINGLE, BANDS, ROWS, THRESHOLD, SEEN = 7, 10, 4, 80, 200_000
 
 def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all lines on end, and the lines' offsets."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    code = np.concatenate([code, np.zeros(size, np.uint64)])
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     count = np.maximum(length - size + 1, 1)
     begin = np.cumsum(length) - length
     rows = np.concatenate([[0], np.cumsum(count)])
-    at = np.repeat(begin, count) + np.arange(int(rows[-1])) - np.repeat(rows[:-1], count)
-    stop = np.repeat(begin + length, count)
-    h = np.zeros(len(at), np.uint64)
-    padded = np.concatenate([code + np.uint64(1), np.zeros(size, np.uint64)])
+    base = np.uint64(0x9E3779B97F4A7C15)
+    every = np.zeros(len(code) - size, np.uint64)
     for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(at + k < stop, padded[at + k], np.uint64(0))
+        every = every * base + code[k:k + len(every)]
+    h = every[np.repeat(begin, count) + np.arange(int(rows[-1])) - np.repeat(rows[:-1], count)]
+    short = np.flatnonzero(length < size)
+    part = np.zeros(len(short), np.uint64)
+    for k in range(size):
+        part = part * base + np.where(k < length[short], code[begin[short] + k], np.uint64(0))
+    h[rows[short]] = part
     return mix(h), rows
 
 
@@ -156,13 +162,17 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.string())], names=["node", "said"])
 
     def check(batches):
+        @lru_cache(2048)
+        def parts(line):
+            return frozenset(line[k:k + shingle] for k in range(max(1, len(line) - shingle + 1)))
+
         for b in batches:
-            a, c, good = b.column(2).to_pylist(), b.column(3).to_pylist(), []
-            for x, y in zip(a, c):
-                x, y = np.unique(_hashes([x], shingle)[0]), np.unique(_hashes([y], shingle)[0])
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= threshold * (len(both) - shared))
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = parts(x), parts(y)
+                fits = 100 * min(len(x), len(y)) >= threshold * max(len(x), len(y))
+                shared = len(x & y) if fits else 0
+                good.append(fits and 100 * shared >= threshold * (len(x) + len(y) - shared))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
