@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm.common import materialize, q
-from civicspark.llm.textnum import Hasher, mix, text_bytes
+from civicspark.llm.textnum import Hasher, chunks, mix, text_bytes
 
 SPACE = (0x20, *range(0x09, 0x0E))
 ORDER, LEAST, ALPHA, BLOCK_BYTES = 2, 2, 0.4, 16 << 20
@@ -39,7 +39,12 @@ def _grams(column, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the hashes of the n-grams ending at each word (0 where
     the document has too few words before), and the documents' offsets."""
     raw, off = text_bytes(column)
-    words, rows = Hasher(SPACE).words(raw, off)
+    hasher, parts, ends = Hasher(SPACE), [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for lo, hi in chunks(off):  # the hasher's own arrays are many times the text
+        w, r = hasher.words(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+        parts.append(w)
+        ends.append(r[1:] + ends[-1][-1])
+    words, rows = np.concatenate(parts), np.concatenate(ends)
     place = np.arange(len(words)) - np.repeat(rows[:-1], np.diff(rows))
     out = []
     for k in range(1, order + 1):

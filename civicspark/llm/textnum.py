@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 M64 = (1 << 64) - 1
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
