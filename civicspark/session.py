@@ -1,13 +1,12 @@
 """Session settings and shared-storage locations.
 
 Scratch data (staged writes, lineage cuts, stream checkpoints) lives under
-the shared folder the cluster names in ``spark.checkpoint.dir``; a folder of
-our own is set only when the session has none (local runs and tests).
+the shared folder the cluster names in ``spark.checkpoint.dir``; where the
+session names none, a folder under the warehouse is set.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="civicspark-")
+        # the warehouse is shared too, unlike a machine's temporary folder
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -7,11 +7,11 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_check import compare
 
-KEYS = sorted(E.queries())
+KEYS = sorted(E._QUERIES)
 
 
 def test_every_key_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(E._QUERIES) - set(E.oracle_sql())
     assert missing == set()
 
 

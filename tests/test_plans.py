@@ -23,7 +23,7 @@ def test_no_cross_or_nested_loop_joins(spark, key):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(E._QUERIES))
 def test_no_python_in_the_plan(spark, key):
     if key == "incremental_load":
         pytest.skip("runs its own stream; its batches use the same operators")
