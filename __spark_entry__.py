@@ -62,7 +62,27 @@ def q_loaded_cells(spark, d):
 
 def q_portal_coverage(spark, d):
     return IND.portal_coverage(_order_plan(spark, d), S.order_ledger(spark, d),
-                               list(X.MONTH_CELL), ["municipio", "topic"])
+                               list(X.MONTH_CELL), ["municipio", "topic"], S.catalog_with_uncovered(spark, d))
+
+
+def _yearly_plan(spark, d) -> DataFrame:
+    return X.yearly_plan(S.nation_catalog(spark, d), S.yearly_topics(spark, d), 1995, 1999)
+
+
+def q_yearly_plan(spark, d):
+    return _yearly_plan(spark, d)
+
+
+def q_yearly_pending(spark, d):
+    return X.pending_cells(_yearly_plan(spark, d), S.yearly_ledger(spark, d), X.YEAR_CELL)
+
+
+def q_validate_years(spark, d):
+    return PR.validate_years(S.year_requests(spark, d), "ano_inicio", "ano_fim", 2008)
+
+
+def q_payload_errors(spark, d):
+    return N.payload_errors(S.columnar_orders(spark, d).withColumn("status", F.lit(200)), keep=["o_orderkey"])
 
 
 def q_month_range(spark, d):
@@ -78,7 +98,8 @@ def q_high_water_mark(spark, d):
 
 
 def q_resume_plan(spark, d):
-    return X.resume_plan(S.order_ledger(spark, d), S.nation_catalog(spark, d), end=(2002, 2))
+    return X.resume_plan(S.order_ledger(spark, d), S.nation_catalog(spark, d), end=(2002, 2),
+                         topics=S.topics_with_unloaded(spark, d), first=(2001, 11))
 
 
 def q_build_month_url(spark, d):
@@ -150,7 +171,7 @@ def q_sink_overwrite(spark, d):
     path = scratch_path(spark, "overwrite")
     TB.overwrite_atomic(S.table(spark, d, "orders"), path)
     current = spark.read.parquet(path)
-    TB.overwrite_atomic(current.filter(F.col("o_orderstatus") == "F"), path)
+    TB.overwrite_atomic(current.withColumn("o_orderstatus", F.lower("o_orderstatus")), path)
     return spark.read.parquet(path)
 
 
@@ -164,7 +185,7 @@ def q_sink_ctas(spark, d):
 
 def q_sink_errors(spark, d):
     path = scratch_path(spark, "errors")
-    p = S.table(spark, d, "pages").filter("page_id % 4 = 0")
+    p = S.table(spark, d, "pages")
     failed = p.select(F.current_timestamp().alias("ts"), "url", F.lit("HTTPError").alias("error_type"),
                       F.concat(F.lit("500 Server Error for url: "), F.col("url")).alias("message"))
     TB.append_errors(failed.filter("length(url) % 2 = 0"), path)
@@ -373,7 +394,7 @@ def q_multi_employment(spark, d):
 def q_price_outliers(spark, d):
     li = S.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.year("l_shipdate").alias("ano"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
+        F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"))
     return IND.price_outliers(li, "l_partkey", ["ano"], "unit_price")
 
 
@@ -382,12 +403,12 @@ def q_incremental_load(spark, d):
     landing, target, cp = f"{base}/landing", f"{base}/table", f"{base}/_checkpoint"
     resp = S.event_landing(spark, d)
     cols = ["url", "status", "body", "fetched_at"]
-    resp.repartition(5, "topic").select(*cols).write.parquet(landing)
+    resp.repartition(5).select(*cols).write.parquet(landing)
     plan = _event_plan(spark, d)
     INC.incremental_load(spark, landing, plan, target, cp, max_files_per_trigger=2)
     INC.incremental_load(spark, landing, plan, target, cp)          # replay: no new files
     resp.filter(F.col("event_id") % 2 == 0).select(*cols).write.mode("append").parquet(landing)
-    INC.incremental_load(spark, landing, plan, target, cp)          # late copies: cells already loaded
+    INC.incremental_load(spark, landing, plan, target, cp)          # late copies of loaded responses
     return INC.read_loaded(spark, target)
 
 
@@ -425,6 +446,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_responses": q_classify_responses,
     "retry_eligible": q_retry_eligible,
     "validate_periods": q_validate_periods,
+    "validate_years": q_validate_years,
     # 2.4 scalar functions
     "normalize_url": q_normalize_url,
     "strip_api_chars": q_strip_api_chars,
@@ -444,13 +466,16 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_indexed": q_flatten_indexed,
     "zip_columns_to_rows": q_zip_columns_to_rows,
     "json_scalar_valor": q_json_scalar_valor,
+    "payload_errors": q_payload_errors,
     # 2.6 generators
     "month_range": q_month_range,
     "year_range": q_year_range,
     "extraction_plan": q_extraction_plan,
+    "yearly_plan": q_yearly_plan,
     # 2.7 joins
     "pending_cells": q_pending_cells,
     "loaded_cells": q_loaded_cells,
+    "yearly_pending": q_yearly_pending,
     "retry_lookup": q_retry_lookup,
     "retry_unmatched": q_retry_unmatched,
     "merge_outer_common": q_merge_outer_common,
@@ -629,7 +654,36 @@ _SQL["portal_coverage"] = f"""WITH {ORDER_PLAN_CTES},
 hits AS (SELECT DISTINCT topic, municipio, prefeitura, ano, mes FROM ledger)
 SELECT p.municipio, p.topic, count(*) AS planned_cells, count(h.topic) AS filled_cells,
        round(count(h.topic) / count(*), 4) AS coverage
-FROM plan p LEFT JOIN hits h USING (topic, municipio, prefeitura, ano, mes) GROUP BY p.municipio, p.topic"""
+FROM plan p LEFT JOIN hits h USING (topic, municipio, prefeitura, ano, mes) GROUP BY p.municipio, p.topic
+UNION ALL SELECT lower(r_name), NULL, 0, 0, 0.0 FROM region"""
+_YEAR_PLAN_CTE = f"""{CATALOG_CTE},
+ytopics AS (SELECT r_name AS empresa, lower(p_name) AS assunto, {_TEMPLATE} AS parametros
+            FROM part JOIN region ON p_partkey % 5 = r_regionkey),
+ycells AS (SELECT t.assunto AS topic, c.municipio, c.prefeitura, CAST(c.unidadegestora AS VARCHAR) AS unidadegestora, c.empresa,
+                  CAST(y.ano AS INTEGER) AS ano, c.url AS base, parametros
+           FROM nation_catalog c JOIN ytopics t ON c.empresa = t.empresa, (SELECT unnest(generate_series(1995, 1999)) AS ano) y),
+yfilled AS (SELECT *, {_strip("replace(replace(replace(coalesce(parametros, ''), '{unidadeGestoraId}', unidadegestora), '{exercicio}', CAST(ano AS VARCHAR)), '{periodo}', '')")} AS t
+            FROM ycells),
+yplan AS (SELECT topic, municipio, prefeitura, unidadegestora, empresa, ano, rtrim({_norm('base')}, '/api') || '/api/' || topic ||
+                 CASE WHEN t = '' THEN '' ELSE replace(CASE WHEN starts_with(t, '?') THEN t ELSE '?' || t END, ' ', '') END AS url
+          FROM yfilled)"""
+_SQL["yearly_plan"] = f"WITH {_YEAR_PLAN_CTE} SELECT * FROM yplan"
+_SQL["yearly_pending"] = f"""WITH {_YEAR_PLAN_CTE},
+done AS (SELECT DISTINCT lower(p_name) AS topic, lower(n_name) AS municipio, CAST(n_nationkey + 1 AS VARCHAR) AS unidadegestora,
+                unnest(generate_series(1996, 1996 + p_size % 3)) AS ano
+         FROM part JOIN nation ON p_partkey % 25 = n_nationkey)
+SELECT * FROM yplan p WHERE NOT EXISTS (
+  SELECT 1 FROM done l WHERE l.topic = p.topic AND l.municipio = p.municipio AND l.unidadegestora = p.unidadegestora AND l.ano = p.ano)"""
+_Y1 = "CAST(year(o_orderdate) + 6 - CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END AS VARCHAR)"
+_Y2 = "' ' || CAST(year(o_orderdate) + 8 AS VARCHAR)"
+_SQL["validate_years"] = f"""WITH r AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN 'abcd' WHEN o_orderkey % 5 = 0 THEN {_Y2} ELSE {_Y1} END AS ano_inicio,
+         CASE WHEN o_orderkey % 5 = 0 THEN {_Y1} ELSE {_Y2} END AS ano_fim FROM orders),
+p AS (SELECT *, TRY_CAST(trim(ano_inicio) AS INTEGER) AS y1, TRY_CAST(trim(ano_fim) AS INTEGER) AS y2 FROM r)
+SELECT o_orderkey, ano_inicio, ano_fim, reason, reason IS NULL AS valid FROM (
+  SELECT *, CASE WHEN y1 IS NULL OR y2 IS NULL THEN 'format' WHEN y1 > y2 THEN 'order'
+                 WHEN least(y1, y2) < 2000 OR greatest(y1, y2) > 2008 THEN 'year' END AS reason FROM p)"""
+_SQL["payload_errors"] = "SELECT o_orderkey, 'lists of one response differ in length' AS error FROM orders WHERE o_orderkey % 19 = 0"
 _SQL["month_range"] = """SELECT CAST(year(d) AS INTEGER) AS ano, CAST(month(d) AS INTEGER) AS mes
 FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)),
                                     INTERVAL 1 MONTH)) AS d FROM orders)"""
@@ -640,7 +694,8 @@ SELECT empresa, topic, CAST(floor(max(ano * 12 + mes - 1) / 12) AS INTEGER) AS a
        CAST(max(ano * 12 + mes - 1) % 12 + 1 AS INTEGER) AS mes
 FROM ledger GROUP BY empresa, topic"""
 _SQL["resume_plan"] = f"""WITH {CATALOG_CTE}, {LEDGER_CTE},
-marks AS (SELECT empresa, topic, max(make_date(ano, mes, 1)) AS start_month FROM ledger GROUP BY empresa, topic),
+marks AS (SELECT empresa, topic, max(make_date(ano, mes, 1)) AS start_month FROM ledger GROUP BY empresa, topic
+          UNION ALL SELECT r_name, 'NEVER', DATE '2001-11-01' FROM region),
 cells AS (
   SELECT m.topic, c.municipio, c.prefeitura, c.empresa, CAST(year(d) AS INTEGER) AS ano, CAST(month(d) AS INTEGER) AS mes,
          c.url AS base
@@ -709,7 +764,7 @@ _SQL["scan_json_payload"] = f"""WITH {CATALOG_CTE}, {EVENT_LANDING_CTE}
 SELECT response_id, url, pos, event_id, user_id, event_type, value, ano, props_k, part FROM ev_items"""
 _SQL["scan_table_ignore_case"] = "SELECT * FROM orders"
 _SQL["sink_append"] = "SELECT *, CAST(year(o_orderdate) AS INTEGER) AS ano FROM orders"
-_SQL["sink_overwrite"] = "SELECT * FROM orders WHERE o_orderstatus = 'F'"
+_SQL["sink_overwrite"] = "SELECT * REPLACE (lower(o_orderstatus) AS o_orderstatus) FROM orders"
 _SQL["sink_ctas"] = """SELECT *, CASE WHEN processo IS NOT NULL AND anoprocesso IS NOT NULL
        THEN replace(CAST(processo AS VARCHAR), '.0', '') || '/' || replace(CAST(anoprocesso AS VARCHAR), '.0', '') END
        AS processo_formatado
@@ -718,7 +773,7 @@ FROM (SELECT *, CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN NULL ELSE CAS
 _SQL["sink_ctas"] = f"SELECT * EXCLUDE (processo, anoprocesso) FROM ({_SQL['sink_ctas']})"
 _SQL["sink_errors"] = """SELECT url, 'HTTPError' AS error_type, '500 Server Error for url: ' || url AS message,
        TRUE AS logged_at_format_ok
-FROM pages WHERE page_id % 4 = 0"""
+FROM pages"""
 _SQL["rename_columns"] = "SELECT n_nationkey, n_name AS municipio, n_regionkey AS regiao FROM nation"
 _SQL["rename_swap"] = "SELECT n_nationkey, n_regionkey AS n_name, n_name AS n_regionkey FROM nation"
 _SQL["retype_columns"] = """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey,
@@ -739,7 +794,7 @@ _SQL["surrogate_id"] = "SELECT count(*) AS n_rows, count(*) AS n_distinct_ids FR
 _SQL["classify_responses"] = f"""WITH {CATALOG_CTE}, {EVENT_LANDING_CTE}
 SELECT response_id, status, response_class FROM ev_classified"""
 _SQL["run_metrics"] = f"""WITH {CATALOG_CTE}, {EVENT_LANDING_CTE}
-SELECT topic, response_class, count(*) AS n FROM ev_classified GROUP BY topic, response_class"""
+SELECT topic, response_class, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY topic) AS share FROM ev_classified GROUP BY topic, response_class"""
 _SQL["retry_eligible"] = f"""WITH {FAILED_API_CTE}
 SELECT page_id, contains(u, '?') AS eligible_tp, contains(u, '?') AND endpoint IS NOT NULL AS eligible_te FROM endpoints"""
 _SQL["path_after_marker"] = f"WITH {FAILED_API_CTE} SELECT page_id, endpoint FROM endpoints"
@@ -817,9 +872,9 @@ _SQL["json_scalar_valor"] = """SELECT response_id, json_extract_string(body, '$'
 _SQL["retry_lookup"] = f"WITH {CATALOG_PAGES_CTE} SELECT * FROM best"
 _SQL["retry_unmatched"] = f"WITH {CATALOG_PAGES_CTE} SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM best)"
 _SQL["merge_outer_common"] = """WITH l AS (
-  SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END AS nationkey FROM customer WHERE c_nationkey < 15),
+  SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END AS nationkey FROM customer),
 r AS (
-  SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS nationkey FROM supplier WHERE s_nationkey >= 5)
+  SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey + 10 END AS nationkey FROM supplier)
 SELECT coalesce(l.nationkey, r.nationkey) AS nationkey, c_custkey, c_name, s_suppkey, s_name
 FROM l FULL OUTER JOIN r ON l.nationkey IS NOT DISTINCT FROM r.nationkey"""
 _SQL["concat_disjoint"] = """SELECT r_regionkey, r_name, NULL::BIGINT AS doc_id, NULL::INTEGER AS quality, NULL::INTEGER AS toxic FROM region
@@ -849,7 +904,7 @@ _SQL["multi_employment"] = """SELECT l_partkey AS person, CAST(year(l_shipdate)
        count(DISTINCT l_suppkey) AS n_employers
 FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2"""
 _SQL["price_outliers"] = """WITH u AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, CAST(year(l_shipdate) AS INTEGER) AS ano, l_extendedprice / l_quantity AS unit_price
+  SELECT l_orderkey, l_linenumber, l_partkey, CAST(year(l_shipdate) AS INTEGER) AS ano, l_extendedprice / nullif(l_quantity, 0) AS unit_price
   FROM lineitem),
 m AS (SELECT l_partkey, ano, median(unit_price) AS med FROM u GROUP BY ALL)
 SELECT u.*, m.med AS median_price FROM u JOIN m USING (l_partkey, ano) WHERE unit_price > 2 * m.med"""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 # Fixed values from the reference's data formats.
 BOM = "\ufeff"                      # UTF-8 byte-order mark as decoded text
+BLANKS = " \t\n\x0b\f\r"
 ERROR_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"  # timestamp text on error-log lines
 
 # A number as pandas.to_numeric accepts it: optional blanks and sign,
@@ -26,7 +27,7 @@ def _c(c) -> Column:
 def py_strip(c) -> Column:
     """Python ``str.strip()`` on ASCII whitespace (Spark ``trim`` only
     removes spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(BLANKS))
 
 
 def strip_bom(c) -> Column:

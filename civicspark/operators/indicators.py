@@ -31,47 +31,67 @@ def group_median(items: DataFrame, keys: list[str], value: str, out: str = "medi
     group's distinct values, merged in one task per group and held in
     memory, so one huge group can exhaust an executor.
 
-    ``method="ranked"`` (default) never gathers a group: values are first
-    counted per (group, value) (map-side combined), range-partitioned by
-    (group, value) so a hot group spans many tasks, and each partition's
-    running counts plus the per-partition prefix of its group give every
-    distinct value its global rank; only the one or two middle values per
-    group are kept. Every window here is bounded by one range partition or
-    by the number of partitions."""
+    ``method="ranked"`` (default) never gathers a group: values are counted
+    per (group, value) (map-side combined), then per order-preserving bucket
+    of the value, first by its logarithm, then by its place between the
+    bucket's ends. Only the buckets that hold a middle rank are ranked
+    exactly. Buckets are expressions of the value alone, so the answer does
+    not depend on partitions. NULL values are ignored, NaN is largest, and
+    NULL group keys form a group."""
     if method == "aggregate":
         return items.groupBy(*keys).agg(F.median(value).alias(out))
-    n_parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.struct(*[F.col(k) for k in keys])  # structs compare NULL fields as equal
     counted = (items.filter(F.col(value).isNotNull())
-               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    ranged = counted.repartitionByRange(n_parts, *keys, value).withColumn("__pid", F.spark_partition_id())
-    # rows of the group that sit in earlier range partitions, and group size
-    pieces = ranged.groupBy("__pid", *keys).agg(F.sum("__c").alias("__pc"))
-    by_pid = Window.partitionBy(*keys).orderBy("__pid")
-    pieces = pieces.select(
-        "__pid", *keys,
-        F.coalesce(F.sum("__pc").over(by_pid.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__pc").over(Window.partitionBy(*keys)).alias("__n"))
-    # running count of the value inside its (partition, group) piece
-    in_piece = Window.partitionBy("__pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("__upto", F.sum("__c").over(in_piece))
-    ranked = local.join(pieces, ["__pid", *keys], "inner")
-    last = F.col("__before") + F.col("__upto") - 1          # 0-based rank of the value's last copy
-    first = last - F.col("__c") + 1
-    position = (F.col("__n") - 1) * F.lit(0.5)
-    lower, higher = F.floor(position), F.ceil(position)
-    hits = ranked.select(
-        *keys, value, "__n",
-        ((first <= lower) & (lower <= last)).alias("__is_lo"),
-        ((first <= higher) & (higher <= last)).alias("__is_hi"),
-    ).filter(F.col("__is_lo") | F.col("__is_hi"))
-    mid = hits.groupBy(*keys).agg(
-        F.max(F.when(F.col("__is_lo"), F.col(value))).alias("__lo"),
-        F.max(F.when(F.col("__is_hi"), F.col(value))).alias("__hi"),
-        F.max("__n").alias("__n"))
+               .groupBy(group.alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+               .withColumn("__b", _log_bucket(F.col("__v"))))
+    coarse = _middle(counted.withColumn("__from", F.lit(0)), ["__g"], "__b", None)
+    inside = counted.join(coarse, ["__g", "__b"])
+    width = F.col("__hi") - F.col("__lo")
+    place = F.when(width > 0, F.floor((F.col("__v") - F.col("__lo")) / width * F.lit(FINE))).otherwise(F.lit(0))
+    inside = inside.select("__g", "__b", "__v", "__c", "__from", "__n", place.cast("long").alias("__f"))
+    fine = _middle(inside, ["__g", "__b"], "__f", "__n").select("__g", "__b", "__f", "__from", "__n")
+    last_step = inside.select("__g", "__b", "__f", "__v", "__c").join(fine, ["__g", "__b", "__f"])
+    order = Window.partitionBy("__g", "__b", "__f").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = last_step.withColumn("__to", F.col("__from") + F.sum("__c").over(order))
+    low, high = _middle_ranks(F.col("__n"))
+    holds = lambda r: (F.col("__to") - F.col("__c") <= r) & (r < F.col("__to"))
+    mid = ranked.groupBy("__g").agg(F.max(F.when(holds(low), F.col("__v"))).alias("__lo"),
+                                    F.max(F.when(holds(high), F.col("__v"))).alias("__hi"), F.max("__n").alias("__n"))
     pos = (F.col("__n") - 1) * F.lit(0.5)
     med = F.when(F.floor(pos) == F.ceil(pos), F.col("__lo")).otherwise(
         (F.ceil(pos) - pos) * F.col("__lo") + (pos - F.floor(pos)) * F.col("__hi"))
-    return mid.select(*keys, med.alias(out))
+    return mid.select("__g.*", med.alias(out))
+
+
+FINE = 4096  # places between the ends of a logarithmic bucket
+
+
+def _log_bucket(v):
+    """16 buckets for each doubling of the absolute value, in the order of the values."""
+    size = F.floor(F.log2(F.abs(v)) * 16) + 20_000
+    top = F.lit(90_000)
+    return (F.when(F.isnan(v), top + 1).when(F.abs(v) == F.lit(float("inf")), F.when(v > 0, top).otherwise(-top))
+            .when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)).cast("long")
+
+
+def _middle_ranks(n):
+    """0-based ranks of the two middle values (one rank twice for odd ``n``)."""
+    return F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
+
+
+def _middle(rows: DataFrame, group: list[str], bucket: str, total: str | None) -> DataFrame:
+    """The buckets that hold a middle rank, with the count of values before
+    them, the group's count and the bucket's least and largest value."""
+    agg = [F.sum("__c").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.max("__from").alias("__from")]
+    sums = rows.groupBy(*group, bucket).agg(*agg, *([F.max(total).alias("__n")] if total else []))
+    if not total:
+        sums = sums.withColumn("__n", F.sum("__c").over(Window.partitionBy(*group)))
+    order = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("__to", F.col("__from") + F.sum("__c").over(order))
+    low, high = _middle_ranks(F.col("__n"))
+    before = F.col("__to") - F.col("__c")
+    held = ((before <= low) & (low < F.col("__to"))) | ((before <= high) & (high < F.col("__to")))
+    return sums.filter(held).select(*group, bucket, before.alias("__from"), "__n", "__lo", "__hi")
 
 
 def price_outliers(items: DataFrame, item: str, period: list[str], price: str,
@@ -85,11 +105,20 @@ def price_outliers(items: DataFrame, item: str, period: list[str], price: str,
 
 
 def portal_coverage(plan: DataFrame, loaded: DataFrame, cell_keys: list[str],
-                    by: list[str]) -> DataFrame:
+                    by: list[str], catalog: DataFrame | None = None) -> DataFrame:
     """Filled cells / planned cells per ``by`` group. Loaded rows are
-    reduced to distinct cells (map-side) before the join."""
+    reduced to distinct cells (map-side) before the join. Entries of
+    ``catalog`` without a planned cell (their vendor has no topics, D14) come
+    with zero cells; ``by`` columns the catalog lacks are NULL there."""
     hits = loaded.select(*cell_keys).distinct().withColumn("__hit", F.lit(1))
     joined = plan.join(hits, cell_keys, "left")
     agg = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("planned_cells"),
                                   F.count("__hit").alias("filled_cells"))
-    return agg.withColumn("coverage", F.round(F.col("filled_cells") / F.col("planned_cells"), 4))
+    agg = agg.withColumn("coverage", F.round(F.col("filled_cells") / F.col("planned_cells"), 4))
+    if catalog is None:
+        return agg
+    known = [c for c in by if c in catalog.columns]
+    bare = catalog.select(*known).distinct().join(plan.select(*known).distinct(), known, "left_anti")
+    zero = F.lit(0).cast("long")
+    return agg.unionByName(bare.select("*", zero.alias("planned_cells"), zero.alias("filled_cells"), F.lit(0.0).alias("coverage")),
+                           allowMissingColumns=True)

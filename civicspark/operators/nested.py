@@ -15,16 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicspark.functions.text import json_text, py_strip, strip_bom
-from civicspark.operators.sizing import spread
+from civicspark.functions.text import BLANKS, BOM, json_text
 
 # Response classes.
 OK, EMPTY, ERROR, INVALID = "ok", "empty", "error", "invalid"
-ZIP_LENGTH_ERROR = "All arrays must be of the same length"
+ZIP_LENGTH_ERROR = "lists of one response differ in length"
+
+# Stamp columns: a payload field of the same name gives way to the stamp.
+STAMPS = ("municipio", "prefeitura", "unidadegestora", "ano", "mes")
+SAME = "\x01"  # marks a struct field whose name repeats an earlier one in another case
 
 
 def clean_body(body="body") -> Column:
-    return py_strip(strip_bom(F.col(body) if isinstance(body, str) else body))
+    """The body without blanks and byte-order marks at its ends (one trim
+    over characters)."""
+    return F.btrim(F.col(body) if isinstance(body, str) else body, F.lit(BLANKS + BOM))
 
 
 def classify_responses(landing: DataFrame, status: str = "status", body: str = "body",
@@ -40,10 +45,11 @@ def classify_responses(landing: DataFrame, status: str = "status", body: str = "
 
 
 def fetched_bodies(landing: DataFrame, status: str = "status", body: str = "body") -> DataFrame:
-    """Responses worth parsing: no HTTP error, non-blank body. Malformed
-    JSON needs no separate test here - it yields no rows when parsed."""
-    b = clean_body(body)
-    return landing.filter((F.col(status) < 400) & b.isNotNull() & (b != ""))
+    """Responses worth parsing, bodies cleaned: no HTTP error (a missing
+    status is none, as in :func:`classify_responses`), non-blank body.
+    Malformed JSON needs no separate test here - it yields no rows."""
+    cleaned = landing.withColumn(body, clean_body(body))
+    return cleaned.filter((F.coalesce(F.col(status), F.lit(0)) < 400) & (F.col(body) != ""))
 
 
 def body_shape(body="body") -> Column:
@@ -60,18 +66,22 @@ def as_array_text(body="body") -> Column:
     return F.when(b.startswith("{"), F.concat(F.lit("["), b, F.lit("]"))).otherwise(b)
 
 
-_DECIMAL = re.compile(r"DECIMAL\(\d+,\s*\d+\)")
+_TYPE_TEXT = re.compile(r"`(?:[^`]|``)*`|(\w+)(?=: )|OBJECT<|DECIMAL\(\d+,\s*\d+\)|\bVARIANT\b|\bVOID\b")
 
 
 def variant_schema_to_ddl(schema: str) -> str:
     """Turn ``schema_of_variant`` text into a ``from_json`` DDL type: objects
     become structs, decimals doubles (pandas floats), and VARIANT (mixed
-    types) / VOID (only nulls) become STRING."""
-    ddl = schema.replace("OBJECT<", "STRUCT<")
-    ddl = _DECIMAL.sub("DOUBLE", ddl)
-    ddl = re.sub(r"\bVARIANT\b", "STRING", ddl)
-    ddl = re.sub(r"\bVOID\b", "STRING", ddl)
-    return ddl
+    types) / VOID (only nulls) become STRING. Field names stay as they are."""
+    def word(m):
+        text = m.group(0)
+        if text.startswith("`"):
+            return text
+        if m.group(1):
+            return f"`{text}`"
+        return "STRUCT<" if text == "OBJECT<" else "DOUBLE" if text.startswith("DECIMAL") else "STRING"
+
+    return _TYPE_TEXT.sub(word, schema)
 
 
 def _parsed(body="body") -> Column:
@@ -89,7 +99,6 @@ def infer_payload(responses: DataFrame, body: str = "body") -> tuple[str | None,
     object type into VARIANT: bodies whose text opens a list with an object
     feed the schema (a cheap text test); only if some list still mixes
     objects with other values is the exact per-row schema test used."""
-    responses = spread(responses)
     shape = body_shape(body)
     v = _parsed(body)
     b = clean_body(body)
@@ -117,14 +126,38 @@ def infer_rows_schema(responses: DataFrame, body: str = "body") -> str | None:
     return infer_payload(responses, body)[0]
 
 
+def _told_apart(dtype: T.DataType) -> T.DataType:
+    """The struct type with a mark on fields that repeat a name in another case."""
+    if not isinstance(dtype, T.StructType):
+        return dtype
+    times: dict[str, int] = {}
+    fields = []
+    for f in dtype.fields:
+        k = times.get(f.name.lower(), 0)
+        times[f.name.lower()] = k + 1
+        fields.append(T.StructField(f.name + SAME * k, _told_apart(f.dataType)))
+    return T.StructType(fields)
+
+
+def _first_present(cols: list[tuple[Column, T.DataType]]) -> Column:
+    """The first present value; as text where the types differ."""
+    if len(cols) == 1:
+        return cols[0][0]
+    if any(t != cols[0][1] for _, t in cols):
+        return F.coalesce(*[json_text(c, t).cast("string") for c, t in cols])
+    return F.coalesce(*[c for c, _ in cols])
+
+
 def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None = None,
               element_ddl: str | None = None, pos: str = "pos") -> DataFrame:
     """Every object of a list (or a single object) becomes one row;
-    keys are unioned over all responses, a missing key is NULL. Bodies that
-    hold a list of plain scalars give no rows (D10); scalars go through
-    :func:`scalar_valor`. ``pos`` is the object's position in its response.
-    Payload fields named like a ``keep`` column are dropped (C9), so stamps
-    attached to the responses beforehand win.
+    keys are unioned over all responses, a missing key is NULL. Names that
+    differ only in case are one column, the first present value wins (D9).
+    Bodies that hold a list of plain scalars give no rows (D10); scalars go
+    through :func:`scalar_valor`. ``pos`` is the object's position in its
+    response. A payload field named like a kept stamp (:data:`STAMPS`) is
+    dropped (C9); one named like another kept column, or like ``pos``, gets
+    the prefix ``payload_``.
     Bodies that are not JSON give no rows (``from_json`` is permissive)."""
     keep = list(keep if keep is not None else [c for c in responses.columns if c != body])
     element_ddl = element_ddl or infer_rows_schema(responses, body)
@@ -133,12 +166,25 @@ def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None =
                               + [T.StructField(pos, T.IntegerType())])
         return responses.sparkSession.createDataFrame([], schema)
     items = F.from_json(as_array_text(body), f"ARRAY<{element_ddl}>")
-    parsed = spread(responses).filter(body_shape(body) != "scalar").select(*keep, items.alias("__items"))
-    exploded = parsed.select(*keep, F.posexplode("__items").alias(pos, "__item"))
-    # Payload fields named like a kept column (the stamps) are dropped
+    parsed = responses.filter(body_shape(body) != "scalar").select(*keep, items.alias("__items"))
+    element = _told_apart(parsed.schema["__items"].dataType.elementType)
+    exploded = parsed.select(*keep, F.posexplode(F.col("__items").cast(T.ArrayType(element))).alias(pos, "__item"))
+    columns: dict[str, tuple[str, list]] = {}
+    for f in element.fields:
+        name = f.name.rstrip(SAME)
+        columns.setdefault(name.lower(), (name, []))[1].append((F.col("__item").getField(f.name), f.dataType))
+    stamps = {c.lower() for c in keep if c.lower() in STAMPS}
     taken = {c.lower() for c in (*keep, pos)}
-    fields = [f for f in exploded.schema["__item"].dataType.fieldNames() if f.lower() not in taken]
-    return exploded.select(*keep, pos, *[F.col("__item").getField(f).alias(f) for f in fields])
+    out = []
+    for low, (name, found) in columns.items():
+        if low in stamps:
+            continue
+        while name.lower() in taken:
+            name = f"payload_{name}"
+            if name.lower() in columns:
+                taken.add(name.lower())
+        out.append(_first_present(found).alias(name))
+    return exploded.select(*keep, pos, *out)
 
 
 def scalar_valor(responses: DataFrame, body: str = "body", keep: list[str] | None = None,
@@ -180,13 +226,13 @@ def flatten_struct(df: DataFrame, sep: str = "_", index_arrays: bool = False,
                            for i, (_, c) in enumerate(paths)]).first()
             widths = {name: int(row[f"w{i}"]) for i, (name, _) in enumerate(paths)}
 
-    out: list[Column] = []
-    seen: set[str] = set()
+    found: dict[str, tuple[str, list]] = {}
 
-    def emit(c: Column, name: str):
-        if name.lower() not in seen:
-            seen.add(name.lower())
-            out.append(c.alias(name))
+    def emit(c: Column, name: str, dtype: T.DataType):
+        plain = name.replace(SAME, "")
+        cols = found.setdefault(plain.lower(), (plain, []))[1]
+        if not cols or SAME in name:
+            cols.append((c, dtype))
 
     def walk(c: Column, dtype: T.DataType, name: str):
         if isinstance(dtype, T.StructType):
@@ -199,15 +245,15 @@ def flatten_struct(df: DataFrame, sep: str = "_", index_arrays: bool = False,
                 walk(F.get(c, i), dtype.elementType, f"{name}{sep}{i}")
             if shown < width:
                 rest = F.slice(c, shown + 1, F.greatest(F.size(c) - shown, F.lit(0)))
-                emit(json_text(rest, dtype), f"{name}{sep}rest")
+                emit(json_text(rest, dtype), f"{name}{sep}rest", T.StringType())
         elif isinstance(dtype, (T.ArrayType, T.MapType)):
-            emit(json_text(c, dtype), name)
+            emit(json_text(c, dtype), name, T.StringType())
         else:
-            emit(c, name)
+            emit(c, name, dtype)
 
     for f in df.schema.fields:
         walk(F.col(f"`{f.name}`"), f.dataType, f.name)
-    return df.select(out)
+    return df.select([_first_present(cols).alias(name) for name, cols in found.values()])
 
 
 def zip_columns_to_rows(df: DataFrame, col: str, keep: list[str],
@@ -230,19 +276,56 @@ def zip_columns_to_rows(df: DataFrame, col: str, keep: list[str],
     return rows, errors
 
 
-def scan_json_payload(landing: DataFrame, body: str = "body", keep: list[str] | None = None,
-                      index_arrays: bool = False) -> DataFrame:
-    """Landing responses -> flat typed rows: fetched, non-blank bodies
-    (F2's ``ok`` class: malformed ones yield nothing), lists/objects exploded
-    (J1/J6) and flattened (J2-J4); plain-value bodies land in ``valor``
-    (J7). Two passes over the landing table: one aggregate for the schema,
-    one to extract."""
+def unpack_columnar(responses: DataFrame, body: str = "body", uneven: str = "uneven") -> DataFrame:
+    """J5 on raw bodies: an object whose values are all lists becomes the
+    text of a list of objects, one per index; other bodies stay. ``uneven``
+    is true, and the body NULL, where the lists differ in length."""
+    b = clean_body(body)
+    first_is_list = b.rlike(r'^\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\[')
+    parsed = responses.withColumn("__lists", F.when(first_is_list, F.from_json(b, "map<string,array<variant>>")))
+    names, lists = F.map_keys("__lists"), F.map_values("__lists")
+    columnar = (F.coalesce(F.size("__lists") > 0, F.lit(False)) & F.forall(lists, lambda x: x.isNotNull())
+                & (F.size(F.array_distinct(names)) == F.size(names)))
+    sizes = F.transform(lists, lambda x: F.size(x))
+    last = F.array_max(sizes)
+    objects = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.map_from_arrays(names, F.transform(lists, lambda x: F.get(x, i))))
+    parsed = parsed.withColumn(uneven, F.coalesce(columnar & (last != F.array_min(sizes)), F.lit(False)))
+    text = (F.when(F.col(uneven), F.lit(None).cast("string"))
+            .when(columnar, F.when(last > 0, F.to_json(objects)).otherwise("[]")).otherwise(F.col(body)))
+    return parsed.withColumn(body, text).drop("__lists")
+
+
+def payload_errors(landing: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """The fetched responses whose columnar payload cannot be unpacked."""
     keep = list(keep if keep is not None else [c for c in landing.columns if c != body])
-    ok = fetched_bodies(landing, body=body)
+    return (unpack_columnar(fetched_bodies(landing, body=body), body, "__uneven").filter("__uneven")
+            .select(*keep, F.lit(ZIP_LENGTH_ERROR).alias("error")))
+
+
+def payload_table(ok: DataFrame, body: str, keep: list[str], index_arrays: bool = False, pos: str = "pos") -> DataFrame:
+    """Flat rows of bodies that were fetched and unpacked: objects (J1/J6,
+    J2-J4) and plain values in ``valor`` (J7); a ``valor`` of both kinds with
+    different types is text."""
     ddl, has_scalar = infer_payload(ok, body)
-    rows = flatten_struct(json_rows(ok, body=body, keep=keep, element_ddl=ddl), index_arrays=index_arrays)
+    rows = flatten_struct(json_rows(ok, body=body, keep=keep, element_ddl=ddl, pos=pos), index_arrays=index_arrays)
     if not has_scalar:
         return rows
-    scalars = scalar_valor(ok, body=body, keep=keep)
-    scalars = scalars.filter(F.col("valor").isNotNull()).withColumn("pos", F.lit(0))
+    name = next((c for c in rows.columns if c.lower() == "valor"), "valor")
+    scalars = scalar_valor(ok, body=body, keep=keep, out=name)
+    scalars = scalars.filter(F.col(name).isNotNull()).withColumn(pos, F.lit(0))
+    if name in rows.columns:
+        rows = rows.withColumn(name, F.col(name).cast("string"))
     return rows.unionByName(scalars, allowMissingColumns=True)
+
+
+def scan_json_payload(landing: DataFrame, body: str = "body", keep: list[str] | None = None,
+                      index_arrays: bool = False) -> DataFrame:
+    """Landing responses -> flat typed rows: fetched, non-blank bodies
+    (F2's ``ok`` class: malformed ones yield nothing), columnar ones unpacked
+    (J5; :func:`payload_errors` gives those that cannot be), lists/objects
+    exploded (J1/J6) and flattened (J2-J4); plain-value bodies land in
+    ``valor`` (J7). Two passes over the landing table: one aggregate for the
+    schema, one to extract."""
+    keep = list(keep if keep is not None else [c for c in landing.columns if c != body])
+    ok = unpack_columnar(fetched_bodies(landing, body=body), body, "__uneven").filter("NOT __uneven")
+    return payload_table(ok, body, keep, index_arrays)

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicspark.operators.sizing import spread
-
 
 def table_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """A1: one row per column - position, name, type, rows, non-NULL count,
     distinct count - from a single aggregate pass (partial aggregation map
     side). ``exact=False`` uses HyperLogLog sketches, which keep the
     shuffle at a few KB per column however large the table."""
-    df = spread(df)  # the distinct counts expand every row once per column
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
@@ -31,6 +28,6 @@ def table_profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def run_metrics(classified: DataFrame, by: list[str], klass: str = "response_class") -> DataFrame:
-    """A3: responses per class (and group), with the success share."""
+    """A3: responses per class and group, with the class's share of its group (class ``ok``: the success share)."""
     per = classified.groupBy(*by, klass).agg(F.count(F.lit(1)).alias("n"))
-    return per
+    return per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))

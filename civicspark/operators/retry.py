@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.functions.urls import base_of, normalize_url, repair_retry_url, url_part
-from civicspark.operators.sizing import small_side
 
 
 def url_prefixes(url: Column) -> Column:
@@ -50,7 +49,7 @@ def retry_lookup(failed: DataFrame, catalog: DataFrame, failed_id: str, failed_u
         cat_sel.append(F.col(catalog_unit).cast("string").alias("__unit"))
     c = catalog.select(*cat_sel).filter(F.col("__prefix").isNotNull())
     on = ["__prefix"] + (["__unit"] if failed_unit is not None and catalog_unit else [])
-    cand = f.join(small_side(c), on, "inner")
+    cand = f.join(c, on, "inner")
     best = cand.groupBy(failed_id).agg(F.min(F.struct(
         (-F.length("__prefix")).alias("neg_len"), F.col("__cid").alias("cid"),
         F.col("__prefix").alias("base"), *[F.col(f"__cat_{x}").alias(x) for x in catalog_cols])).alias("__b"))

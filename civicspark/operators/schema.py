@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.errors import SchemaError
-from civicspark.operators.sizing import small_side
 
 log = logging.getLogger(__name__)
 
@@ -127,9 +126,9 @@ def stamp_responses(responses: DataFrame, plan: DataFrame, key: str = "url",
                     stamps: tuple[str, ...] = ("municipio", "prefeitura", "ano", "mes")) -> DataFrame:
     """Attach municipality and period of the plan cell that produced
     each response - an equi-join on the request URL at one row per
-    *response*, before payloads are exploded into rows. The plan side is
-    broadcast only when its size is checked small."""
-    return responses.join(small_side(cells_by_url(plan, key, stamps)), on=key, how="inner")
+    *response*, before payloads are exploded into rows. AQE picks the join
+    from measured sizes."""
+    return responses.join(cells_by_url(plan, key, stamps), on=key, how="inner")
 
 
 def cells_by_url(plan: DataFrame, key: str = "url",
@@ -153,9 +152,8 @@ def stamp_metadata(rows: DataFrame, plan: DataFrame, key: str = "url",
 
 def surrogate_id(df: DataFrame, source_col: str = "url", pos_col: str = "pos",
                  out: str = "row_id") -> DataFrame:
-    """C11: a key stable on replay without a global sort: 64-bit hash of
-    the source (response URL) plus the row position inside that response.
-    Distinct rows get distinct ids unless two source URLs share a 64-bit
-    hash."""
-    rid = F.concat_ws(":", F.lower(F.hex(F.xxhash64(F.col(source_col)))), F.col(pos_col).cast("string"))
+    """C11: a key stable on replay without a global sort: SHA-256 of
+    the source (response URL; NULL: empty) plus the row position inside
+    that response."""
+    rid = F.concat_ws(":", F.sha2(F.coalesce(F.col(source_col), F.lit("")), 256), F.col(pos_col).cast("string"))
     return df.withColumn(out, rid)

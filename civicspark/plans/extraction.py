@@ -8,7 +8,7 @@ is a single anti join against the distinct loaded cells.
 Municipalities and topics are paired inside their vendor (an equi-join on
 the vendor column; topic lists are per vendor in the reference), and the
 periods are generated inside each row with ``sequence`` - the plan never
-uses a cross join. Both catalogs are size-checked before broadcast.
+uses a cross join. AQE picks the joins from measured sizes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from civicspark.errors import EmptySelection
 from civicspark.functions.urls import month_url, normalize_url, template_url
-from civicspark.operators.sizing import small_side
 from civicspark.plans.periods import month_cells, months_between_dates
 
 MONTH_CELL = ("topic", "municipio", "prefeitura", "ano", "mes")
@@ -39,7 +38,7 @@ def monthly_plan(catalog: DataFrame, topics: DataFrame, start: tuple[int, int],
                  vendor_col: str = "empresa", topic_col: str = "topic") -> DataFrame:
     """G3 (monthly vendors) + X4: one row per (topic, municipality, month)
     with its request URL ``base/topic?ano=Y&mes=MM``."""
-    pairs = catalog.join(small_side(topics.select(vendor_col, topic_col)), vendor_col, "inner")
+    pairs = catalog.join(topics.select(vendor_col, topic_col), vendor_col, "inner")
     cells = pairs.select("*", F.explode(month_cells(start, end)).alias("__m"))
     return cells.select(
         F.col(topic_col).alias("topic"), "municipio", "prefeitura", vendor_col,
@@ -53,7 +52,7 @@ def yearly_plan(catalog: DataFrame, topics: DataFrame, first_year: int, last_yea
                 template_col: str = "parametros") -> DataFrame:
     """G3 (yearly vendor) + G2 + X5: one row per (topic, municipality/unit,
     year) with its templated request URL."""
-    pairs = catalog.join(small_side(topics.select(vendor_col, topic_col, template_col)), vendor_col, "inner")
+    pairs = catalog.join(topics.select(vendor_col, topic_col, template_col), vendor_col, "inner")
     years = F.when(F.lit(first_year) <= F.lit(last_year), F.sequence(F.lit(first_year), F.lit(last_year)))
     cells = pairs.select("*", F.explode(years).alias("ano"))
     unit = F.col("unidadegestora").cast("bigint").cast("string")
@@ -97,7 +96,7 @@ def resume_months(marks: DataFrame, catalog: DataFrame, end: tuple[int, int],
     start = F.make_date(F.col("ano"), F.col("mes"), F.lit(1))
     stop = F.make_date(F.lit(end[0]), F.lit(end[1]), F.lit(1))
     months = marks.select(vendor_col, topic_col, F.explode(months_between_dates(start, stop)).alias("__m"))
-    cells = catalog.join(small_side(months), vendor_col, "inner")
+    cells = catalog.join(months, vendor_col, "inner")
     return cells.select(F.col(topic_col).alias("topic"), "municipio", "prefeitura", vendor_col,
                         F.year("__m").alias("ano"), F.month("__m").alias("mes"),
                         month_url(normalize_url(F.col("url")), F.col(topic_col), F.year("__m"),
@@ -105,10 +104,16 @@ def resume_months(marks: DataFrame, catalog: DataFrame, end: tuple[int, int],
 
 
 def resume_plan(ledger: DataFrame, catalog: DataFrame, end: tuple[int, int],
-                vendor_col: str = "empresa", keys=MONTH_CELL) -> DataFrame:
+                vendor_col: str = "empresa", keys=MONTH_CELL, topics: DataFrame | None = None,
+                first: tuple[int, int] | None = None) -> DataFrame:
     """A6 -> G1 -> K1. High-water mark per (vendor, topic) from the
-    ledger, months from there (inclusive) to ``end``, minus loaded cells."""
+    ledger, months from there (inclusive) to ``end``, minus loaded cells.
+    With ``topics`` (vendor, topic) and ``first`` (ano, mes), topics without
+    a loaded row are planned from ``first``."""
     marks = high_water_mark(ledger, [vendor_col, "topic"])
+    if topics is not None:
+        marks = topics.select(vendor_col, "topic").distinct().join(marks, [vendor_col, "topic"], "left").select(
+            vendor_col, "topic", F.coalesce("ano", F.lit(first[0])).alias("ano"), F.coalesce("mes", F.lit(first[1])).alias("mes"))
     cells = resume_months(marks, catalog, end, vendor_col)
     return pending_cells(cells, ledger, keys)
 
@@ -123,7 +128,7 @@ def resume_years(marks: DataFrame, catalog: DataFrame, topics: DataFrame, last_y
     todo = (marks.filter(F.col("ano") + 1 <= F.lit(last_year))
             .select(vendor_col, F.col("topic").alias(topic_col), F.explode(years).alias("ano"))
             .join(topics.select(vendor_col, topic_col, template_col), [vendor_col, topic_col], "inner"))
-    cells = catalog.join(small_side(todo), vendor_col, "inner")
+    cells = catalog.join(todo, vendor_col, "inner")
     unit = F.col("unidadegestora").cast("bigint").cast("string")
     return cells.select(
         F.col(topic_col).alias("topic"), "municipio", "prefeitura", unit.alias("unidadegestora"),

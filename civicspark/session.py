@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings the operators rely on (semantics first, then scale).
 SESSION_CONF = {
@@ -49,21 +49,3 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused folder under the shared root."""
     return f"{shared_root(spark)}/civicspark/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss,
-    unlike a local checkpoint)."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def file_sizes(spark: SparkSession, paths: list[str]) -> list[int]:
-    """Byte sizes of files, from the file system's metadata."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        out.append(int(path.getFileSystem(conf).getFileStatus(path).getLen()))
-    return out

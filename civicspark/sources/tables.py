@@ -61,10 +61,13 @@ def read_evolving(spark: SparkSession, path: str) -> DataFrame:
 
 def overwrite_atomic(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Replace a table. The new version is written completely to a
-    staging folder first, then swapped in by rename, so readers never see a
-    half-written table and ``df`` may read the table it replaces."""
+    staging folder (hidden from :func:`list_tables`) first, then swapped in
+    by two renames, so readers never see a half-written table and ``df`` may
+    read the table it replaces. Between the renames there is no table; after
+    a crash there the old one lies in ``_replaced-<name>-...``."""
     spark = df.sparkSession
-    stage = f"{path.rstrip('/')}.__staging-{uuid.uuid4().hex}"
+    root, name = path.rstrip("/").rsplit("/", 1)
+    stage = f"{root}/_staging-{name}-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -72,7 +75,7 @@ def overwrite_atomic(df: DataFrame, path: str, partition_by: tuple[str, ...] = (
     fs, target = _fs(spark, path)
     _, staged = _fs(spark, stage)
     if fs.exists(target):
-        _, old = _fs(spark, f"{path.rstrip('/')}.__replaced-{uuid.uuid4().hex}")
+        _, old = _fs(spark, f"{root}/_replaced-{name}-{uuid.uuid4().hex}")
         if not fs.rename(target, old):
             raise IOError(f"could not move {path} aside")
         if not fs.rename(staged, target):
@@ -92,9 +95,11 @@ def create_table_as(df: DataFrame, name: str, path: str) -> DataFrame:
 
 def error_lines(errors: DataFrame, ts: str = "ts", url: str = "url",
                 error_type: str = "error_type", message: str = "message") -> DataFrame:
-    """``yyyy-MM-dd HH:mm:ss|url|type|message`` text rows."""
-    return errors.select(F.concat_ws("|", error_timestamp(F.col(ts)), F.col(url), F.col(error_type),
-                                     F.coalesce(F.col(message), F.lit(""))).alias("value"))
+    """``yyyy-MM-dd HH:mm:ss|url|type|message`` text rows. A NULL
+    is an empty field; line breaks become the two characters ``\\n``."""
+    fields = [F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n|\r|\n", r"\\\\n")
+              for c in (error_timestamp(F.col(ts)), F.col(url), F.col(error_type), F.col(message))]
+    return errors.select(F.concat_ws("|", *fields).alias("value"))
 
 
 def append_errors(errors: DataFrame, path: str, **cols) -> None:

@@ -3,57 +3,131 @@
 The landing folder receives response files from any fetcher. A stream
 over it (``trigger(availableNow=True)``) processes only files it has not
 seen (the checkpoint records them) and, per micro-batch: classifies the
-responses, parses and flattens the good ones, stamps municipality and
-period from the plan, skips cells already in the table (the reference's
-existence check, as one anti join) and appends.
+responses, stamps the good ones with their plan cell, leaves out responses
+loaded before, parses and flattens, and writes.
 
-Each micro-batch writes its own ``batch_id=<n>`` folder with overwrite, so
-a batch re-run after a failure replaces its own output instead of
-duplicating it; the file-source checkpoint makes a replay add nothing.
+A response is known by its URL and the SHA-256 of its body. Which cells are
+already loaded is a question for planning (``pending_cells``), never for the
+load: a cell whose responses lie in several files or micro-batches is loaded
+whole, so the rows do not depend on the layout of the files.
+
+Layout of the target, each part in folders ``batch_id=<n>`` that a re-run of
+the micro-batch overwrites (a batch never looks at its own folders):
+
+* ``rows/version=<v>``: the table. New columns only add to a version; a
+  column that changes its type (BIGINT with DOUBLE: DOUBLE, else STRING)
+  opens the next version, and reading casts all versions to the last.
+* ``schema``: the schemas of all versions after the batch, so that neither a
+  batch nor a reader opens file footers to learn them.
+* ``ledger``: one row per loaded response (url, body_sha).
+* ``errors``: one row per response without rows: HTTP errors, blank and
+  malformed bodies, URLs outside the plan, lists of different lengths.
+
+One checkpoint belongs to one target: batch numbers come from it.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
-from civicspark.operators.nested import fetched_bodies, flatten_struct, infer_rows_schema, json_rows
-from civicspark.operators.schema import cells_by_url, stamp_responses
+from civicspark.operators.nested import OK, ZIP_LENGTH_ERROR, clean_body, classify_responses, payload_table, unpack_columnar
+from civicspark.operators.schema import cells_by_url
 from civicspark.plans.extraction import MONTH_CELL
-from civicspark.sources.tables import path_exists, read_evolving
+from civicspark.sources.tables import list_tables, path_exists
 
 LANDING_SCHEMA = "url STRING, status INT, body STRING, fetched_at TIMESTAMP_NTZ"
+LEDGER_SCHEMA = "url STRING, body_sha STRING, batch_id LONG"
+ERROR_SCHEMA = "fetched_at TIMESTAMP_NTZ, url STRING, error_type STRING, message STRING, batch_id LONG"
 
 
 def process_batch(batch: DataFrame, plan: DataFrame, target: str, epoch: int,
                   keys=MONTH_CELL, partition_by: tuple[str, ...] = ("ano",)) -> None:
-    """One micro-batch: F2 (fetched, non-blank, JSON) -> J1/J2 -> C9/C10 ->
-    K1 guard -> S7."""
-    spark = batch.sparkSession
-    ok = fetched_bodies(batch)
-    ddl = infer_rows_schema(ok)
-    if ddl is None:
-        return
-    stamped = stamp_responses(ok, plan, stamps=tuple(keys))
-    stamped = flatten_struct(json_rows(stamped, keep=["url", *keys], element_ddl=ddl))
-    if "pos" in stamped.columns:
-        stamped = stamped.drop("pos")
-    loaded = _loaded_cells(spark, target, keys)
-    if loaded is not None:
-        stamped = stamped.join(loaded, list(keys), "left_anti")
-    (stamped.write.mode("overwrite").partitionBy(*partition_by)
-     .parquet(f"{target.rstrip('/')}/batch_id={epoch}"))
-
-
-def _loaded_cells(spark: SparkSession, target: str, keys) -> DataFrame | None:
-    """Distinct cells already in the table; None while it holds no rows."""
-    if not path_exists(spark, target):
-        return None
+    """One micro-batch: F2 -> C10 (stamps) -> guard per response -> J5, J1/J2,
+    J7 -> C6, S7, S10. ``plan``: (url, *keys), one row per URL."""
+    spark, root = batch.sparkSession, target.rstrip("/")
+    known = plan.select("url", *keys, F.lit(True).alias("__planned"))
+    responses = (classify_responses(batch).withColumn("body_sha", F.sha2(F.coalesce("body", F.lit("")), 256))
+                 .join(known, "url", "left"))
+    good = responses.filter((F.col("response_class") == OK) & F.col("__planned"))
+    new = good.dropDuplicates(["url", "body_sha"])
+    earlier = ledger(spark, root)
+    if earlier is not None:
+        new = new.join(earlier.filter(F.col("batch_id") != epoch), ["url", "body_sha"], "left_anti")
+    new = unpack_columnar(new.withColumn("body", clean_body("body")), "body", "__uneven").persist()
     try:
-        return read_evolving(spark, target).select(*keys).distinct()
-    except AnalysisException:  # folders exist but no batch has written rows yet
-        return None
+        rows = payload_table(new.filter("NOT __uneven"), "body", ["url", *keys], pos="__pos").drop("__pos")
+        versions = stored_versions(spark, root, before=epoch)
+        rows, versions = conform(rows, versions)
+        (rows.write.mode("overwrite").partitionBy(*partition_by)
+         .parquet(f"{root}/rows/version={len(versions) - 1}/batch_id={epoch}"))
+        bad = responses.filter((F.col("response_class") != OK) | F.col("__planned").isNull()).select(
+            "fetched_at", "url",
+            F.when(F.col("response_class") != OK, F.col("response_class")).otherwise("unplanned").alias("error_type"),
+            F.concat_ws(" ", F.lit("status"), F.col("status").cast("string")).alias("message"))
+        uneven = new.filter("__uneven").select("fetched_at", "url", F.lit("uneven").alias("error_type"), F.lit(ZIP_LENGTH_ERROR).alias("message"))
+        bad.unionByName(uneven).write.mode("overwrite").parquet(f"{root}/errors/batch_id={epoch}")
+        text = json.dumps([v.json() for v in versions])
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/schema/batch_id={epoch}")
+        new.select("url", "body_sha").write.mode("overwrite").parquet(f"{root}/ledger/batch_id={epoch}")
+    finally:
+        new.unpersist()
+
+
+def ledger(spark: SparkSession, target: str) -> DataFrame | None:
+    """(url, body_sha, batch_id) of every loaded response; None before the first batch."""
+    path = f"{target.rstrip('/')}/ledger"
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path) if path_exists(spark, path) else None
+
+
+def read_errors(spark: SparkSession, target: str) -> DataFrame:
+    """The responses that gave no rows, with the reason."""
+    return spark.read.schema(ERROR_SCHEMA).parquet(f"{target.rstrip('/')}/errors").drop("batch_id")
+
+
+def stored_versions(spark: SparkSession, target: str, before: int | None = None) -> list[T.StructType]:
+    """Schemas of the table's versions after the last batch (``before`` this one)."""
+    path = f"{target.rstrip('/')}/schema"
+    if not path_exists(spark, path):
+        return []
+    done = [int(n.split("=")[1]) for n in list_tables(spark, path)]
+    done = [n for n in done if before is None or n < before]
+    if not done:
+        return []
+    text = spark.read.text(f"{path}/batch_id={max(done)}").first()[0]
+    return [T.StructType.fromJson(json.loads(v)) for v in json.loads(text)]
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    if a == b:
+        return a
+    numbers = (T.IntegerType, T.LongType, T.DoubleType)
+    return T.DoubleType() if isinstance(a, numbers) and isinstance(b, numbers) else T.StringType()
+
+
+def conform(rows: DataFrame, versions: list[T.StructType]) -> tuple[DataFrame, list[T.StructType]]:
+    """``rows`` with the table's spelling and types, and the versions after
+    it: the last one with new columns, or one more if a type changed."""
+    if not versions:
+        return rows, [rows.schema]
+    last = versions[-1]
+    place = {f.name.lower(): k for k, f in enumerate(last.fields)}
+    fields, out, changed = list(last.fields), [], False
+    for f in rows.schema.fields:
+        k = place.get(f.name.lower())
+        if k is None:
+            fields.append(T.StructField(f.name, f.dataType))
+            out.append(F.col(f"`{f.name}`"))
+            continue
+        wide = _wider(fields[k].dataType, f.dataType)
+        changed |= wide != fields[k].dataType
+        fields[k] = T.StructField(fields[k].name, wide)
+        out.append(F.col(f"`{f.name}`").cast(wide).alias(fields[k].name))
+    now = T.StructType(fields)
+    return rows.select(out), [*versions, now] if changed else [*versions[:-1], now]
 
 
 def incremental_load(spark: SparkSession, landing: str, plan: DataFrame, target: str,
@@ -77,5 +151,17 @@ def incremental_load(spark: SparkSession, landing: str, plan: DataFrame, target:
 
 
 def read_loaded(spark: SparkSession, target: str) -> DataFrame:
-    """The loaded table without the micro-batch folder column."""
-    return read_evolving(spark, target).drop("batch_id")
+    """The loaded table, all versions in the types of the last."""
+    versions = stored_versions(spark, target)
+    if not versions:
+        return spark.createDataFrame([], "url STRING")
+    last, table = versions[-1], None
+    for k, schema in enumerate(versions):
+        path = f"{target.rstrip('/')}/rows/version={k}"
+        if not path_exists(spark, path):
+            continue
+        part = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+        have = {c.lower() for c in schema.fieldNames()}
+        part = part.select([(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in last.fields])
+        table = part if table is None else table.unionByName(part)
+    return table

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicspark.operators.sizing import spread
-
 BOM = "\ufeff"
 
 
@@ -21,12 +19,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A driver table whose rows feed string-heavy stand-ins: the test
-    tables are single Parquet row groups (one task), so spread them."""
-    return spread(table(spark, d, name))
-
-
 # --- municipalities, topics, ledger ------------------------------------------
 
 # A municipality per nation; vendor = region name; the base URL comes in
@@ -71,6 +63,49 @@ def order_topics(spark, d) -> DataFrame:
     return order_ledger(spark, d).select("empresa", "topic").distinct()
 
 
+def catalog_with_uncovered(spark, d) -> DataFrame:
+    """The catalog and, per region, a municipality whose vendor has no topics."""
+    r = table(spark, d, "region")
+    bare = r.select((F.col("r_regionkey") + 1000).cast("bigint").alias("id"), F.concat(F.lit("Prefeitura "), "r_name").alias("prefeitura"),
+                    F.lower("r_name").alias("municipio"), F.lit("https://bare.example").alias("url"), F.lit("none").alias("empresa"),
+                    F.lit(None).cast("int").alias("unidadegestora"))
+    return nation_catalog(spark, d).unionByName(bare)
+
+
+def topics_with_unloaded(spark, d) -> DataFrame:
+    """The topic lists and, per vendor, a topic that was never loaded."""
+    r = table(spark, d, "region")
+    return order_topics(spark, d).unionByName(r.select(F.col("r_name").alias("empresa"), F.lit("NEVER").alias("topic")))
+
+
+def yearly_topics(spark, d) -> DataFrame:
+    """Topics with URL templates, one per part, for the vendor of a region."""
+    p, r = table(spark, d, "part"), table(spark, d, "region")
+    return p.join(r, (p.p_partkey % 5) == r.r_regionkey).select(
+        F.col("r_name").alias("empresa"), F.lower("p_name").alias("assunto"), F.expr(TEMPLATE).alias("parametros"))
+
+
+def yearly_ledger(spark, d) -> DataFrame:
+    """Loaded rows of the yearly vendor: topic of the part, municipality
+    ``p_partkey % 25``, 1996 to 1996 + p_size % 3."""
+    p, n = table(spark, d, "part"), table(spark, d, "nation")
+    return p.join(n, (p.p_partkey % 25) == n.n_nationkey).select(
+        F.lower("p_name").alias("topic"), F.lower("n_name").alias("municipio"),
+        F.concat(F.lit("Prefeitura de "), F.col("n_name")).alias("prefeitura"),
+        (F.col("n_nationkey") + 1).cast("string").alias("unidadegestora"),
+        F.explode(F.expr("sequence(1996, 1996 + p_size % 3)")).alias("ano"))
+
+
+def year_requests(spark, d) -> DataFrame:
+    """Year pairs from order dates: ten years early on ``% 7 = 0``, text on
+    ``% 23 = 0``, swapped on ``% 5 = 0``."""
+    y = "cast(year(o_orderdate) + 6 - CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END AS string)"
+    e = "concat(' ', cast(year(o_orderdate) + 8 AS string))"
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.expr(f"CASE WHEN o_orderkey % 23 = 0 THEN 'abcd' WHEN o_orderkey % 5 = 0 THEN {e} ELSE {y} END").alias("ano_inicio"),
+        F.expr(f"CASE WHEN o_orderkey % 5 = 0 THEN {y} ELSE {e} END").alias("ano_fim"))
+
+
 def month_bounds(df: DataFrame, col: str) -> tuple[tuple[int, int], tuple[int, int]]:
     """The requested period (a user parameter in the reference): first and
     last month present in a date column - one aggregate row."""
@@ -97,7 +132,7 @@ def event_landing(spark, d) -> DataFrame:
     Status 500 on ``event_id % 11 = 0``; blank body on ``% 13``; truncated
     JSON on ``% 17``; otherwise a one-object list, a bare object, or a
     BOM-prefixed two-object list whose second object has other keys."""
-    e, n = spread_table(spark, d, "events"), table(spark, d, "nation")
+    e, n = table(spark, d, "events"), table(spark, d, "nation")
     j = e.join(n, (e.user_id % 25) == n.n_nationkey)
     full = (f"CASE event_id % 3 WHEN 0 THEN concat('[', {EVENT_OBJ}, ']') WHEN 1 THEN {EVENT_OBJ} "
             f"ELSE concat('{BOM}[', {EVENT_OBJ}, ',', {EVENT_PART}, ']') END")
@@ -116,7 +151,7 @@ def event_landing(spark, d) -> DataFrame:
 def flat_landing(spark, d) -> DataFrame:
     """Bodies without nesting: a bare object on even ids, a two-object list
     (second object with other keys) on odd ids."""
-    e = spread_table(spark, d, "events")
+    e = table(spark, d, "events")
     obj = ("concat('{\"event_id\":', event_id, ',\"user_id\":', user_id, ',\"event_type\":\"', event_type, "
            "'\",\"value\":', cast(value AS string), '}')")
     body = f"CASE WHEN event_id % 2 = 0 THEN {obj} ELSE concat('[', {obj}, ',', {EVENT_PART}, ']') END"
@@ -260,14 +295,15 @@ def part_template_cells(spark, d) -> DataFrame:
 
 
 def merge_sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Customers of nations < 15 and suppliers of nations >= 5; the shared
-    ``nationkey`` is NULL when the own key is a multiple of 7."""
-    c = table(spark, d, "customer").filter("c_nationkey < 15").select(
+    """All customers and all suppliers; the shared ``nationkey`` is NULL when
+    the own key is a multiple of 7, and 10 higher on the supplier side, so
+    either side has keys of its own."""
+    c = table(spark, d, "customer").select(
         "c_custkey", "c_name",
         F.expr("CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END").alias("nationkey"))
-    s = table(spark, d, "supplier").filter("s_nationkey >= 5").select(
+    s = table(spark, d, "supplier").select(
         "s_suppkey", "s_name",
-        F.expr("CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END").alias("nationkey"))
+        F.expr("CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey + 10 END").alias("nationkey"))
     return c, s
 
 
@@ -335,7 +371,7 @@ def indexed_lines(spark, d) -> DataFrame:
 def columnar_orders(spark, d) -> DataFrame:
     """Columnar payload per order ``{"linha": [...], "valor": [...]}`` with
     ``1 + o_orderkey % 4`` entries; ``valor`` one short on ``% 19 = 0``."""
-    o = spread_table(spark, d, "orders")
+    o = table(spark, d, "orders")
     linha = "sequence(1, 1 + cast(o_orderkey % 4 AS int))"
     valor = f"transform({linha}, i -> o_totalprice * i)"
     valor = f"CASE WHEN o_orderkey % 19 = 0 THEN slice({valor}, 1, cast(o_orderkey % 4 AS int)) ELSE {valor} END"

@@ -183,3 +183,39 @@ def test_shared_url_stamps_first_cell(spark):
     resp = spark.createDataFrame([("u", "[1]"), ("v", "[2]")], "url string, body string")
     got = sorted((r["url"], r["ano"], r["mes"]) for r in C.stamp_responses(resp, plan).collect())
     assert got == [("u", 2023, 1), ("v", 2024, 2)]
+
+
+def test_payload_names_types_and_shapes(spark):
+    from civicspark.operators import nested as N
+    land = spark.createDataFrame([(1, 200, '[{"Valor":1,"VOID":null,"pos":5}]'), (2, 200, '{"valor":"s","VARIANT":2,"o":{"k":1,"K":"z"}}'),
+                                  (3, 200, '"sem dados"'), (4, 200, '{"valor":[1.5,2],"VARIANT":[3,4]}')], "id long, status int, body string")
+    rows = {(r["id"], r["pos"]): r.asDict() for r in N.scan_json_payload(land, keep=["id"]).collect()}
+    name = next(n for n in rows[1, 0] if n.lower() == "valor")
+    assert {k: r[name] for k, r in rows.items()} == {(1, 0): "1", (2, 0): "s", (3, 0): "sem dados", (4, 0): "1.5", (4, 1): "2"}
+    assert rows[1, 0]["payload_pos"] == 5 and rows[2, 0]["VARIANT"] == 2 and rows[4, 1]["VARIANT"] == 4
+    assert rows[2, 0]["o_K"] == "z"
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_median_does_not_depend_on_settings(spark, reuse, adaptive):
+    import math
+    import statistics
+    from civicspark.operators import indicators as IND
+    rows = [(None if k % 3 == 0 else k % 3, math.sin(k) * 10 ** (k % 5) if k % 11 else None) for k in range(3000)]
+    rows += [(7, 0.0), (7, -1.0), (8, 5.0), (9, 2.0), (9, 2.0), (10, float("inf")), (10, 1.0), (10, 0.5)]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.createDataFrame(rows, "g int, v double").repartition(7)
+        got = {r.g: r.m for r in IND.group_median(df, ["g"], "v", "m").collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[g], statistics.median(v), rel_tol=1e-12) for g, v in want.items())

@@ -48,13 +48,6 @@ def test_merge_splits_full_outer_into_skew_splittable_joins(spark):
     assert "LeftAnti" in text and "Inner" in text
 
 
-def test_spread_is_a_noop_for_many_split_inputs(spark):
-    from civicspark.operators.sizing import spread
-    from civicspark.session import scratch_path
-    path = scratch_path(spark, "many-files")
-    spark.range(10000).repartition(12).write.parquet(path)
-    many = spark.read.parquet(path)
-    assert spread(many) is many
-    one = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    assert "RoundRobinPartitioning" in spread(one)._jdf.queryExecution().executedPlan().toString() \
-        or spark.sparkContext.defaultParallelism <= 1
+@pytest.mark.parametrize("key", ["json_rows", "scan_json_payload", "zip_columns_to_rows", "stamp_metadata", "table_profile"])
+def test_no_round_robin(spark, key):
+    assert "RoundRobinPartitioning" not in plan_text(E.queries()[key](spark, SF_SMALL))
