@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from civicspark.llm import chat, decontaminate, html_text, line_dedup, lm_score, ngram_join, packing, quality, token_counts, url_rules
+from civicspark.llm.common import LOWER, UPPER
 
 
 def table(spark, sf_dir, name):
@@ -77,5 +78,46 @@ def queries():
     return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing)}
 
 
+def _lower(text):
+    return f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+
+
+def _site(rule):
+    host, _, path = rule.partition("/")
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
+
+
+def _op4_sql():
+    rules = sorted(SITE_RULES, key=lambda r: -len(r[1]))
+    words = [(r.name, rf"(^|[^a-z0-9]){r.tokens[0]}([^a-z0-9]|$)") for r in url_rules.PATTERNS if r.name == "~" + "".join(r.tokens)]
+    others = [("~pixel-image", r"/pixel[^/]*\.(gif|png)"), ("~click-redirect", "[?&](url|redirect|goto)=http")]
+    first = ", ".join(f"CASE WHEN regexp_matches(lu, '{r}') THEN '{n}' END" for n, r in words + others)
+    return f"""WITH p AS (
+  SELECT page_id, {_lower('url')} AS lu, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, lu, {_lower("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+j AS (SELECT *, CASE {' '.join(f"WHEN {_site(r)} THEN '{r}'" for _, r in rules)} END AS rule,
+             CASE {' '.join(f"WHEN {_site(r)} THEN '{a}'" for a, r in rules)} END AS action,
+             list_min([{first}]) AS pattern FROM h)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern FROM j"""
+
+
+def _op6_sql():
+    words = rf"list_filter(regexp_split_to_array({_lower('text')}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    n = decontaminate.SIZE
+    return f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, w[i : i + n - 1] AS win, n
+       FROM (SELECT item, w, least(len(w), {n}) AS n, unnest(range(1, len(w) - least(len(w), {n}) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT rid, i, n, w[i : i + n - 1] AS win
+       FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT DISTINCT dw.rid, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.win = bw.win),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS ids FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(ids, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
+
+
 def oracle_sql():
-    return {}
+    return {"op4_url_filters": _op4_sql(), "op6_decontamination": _op6_sql()}

@@ -57,7 +57,7 @@ def word_rule(action: str, word: str) -> Rule:
 PATTERNS = (
     *[word_rule("block", w) for w in ("ad", "ads", "adserver", "banner", "tracker", "casino", "porn", "xxx", "login", "signin", "cart", "checkout")],
     Rule("~pixel-image", "block", r"/pixel[^/]*\.(gif|png)", ()),
-    Rule("~click-redirect", "block", r"[?&](url|redirect|goto)=https?", ("http",)),
+    *[Rule("~click-redirect", "block", rf"[?&]{w}=http", (w,)) for w in ("url", "redirect", "goto")],
 )
 
 
