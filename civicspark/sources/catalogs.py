@@ -15,8 +15,6 @@ from civicspark.functions.text import py_strip, strip_bom
 CATALOG_SCHEMA = ("id BIGINT, prefeitura STRING, municipio STRING, url STRING, "
                   "empresa STRING, unidadegestora INT")
 TOPIC_SCHEMA = "id INT, assunto STRING, parametros STRING"
-# Vendors with an extractor in the reference, spelled as in the catalog.
-VENDORS = ("portaltp", "tectrilha", "Agape", "Alphatec")
 
 
 def read_catalog_csv(spark: SparkSession, path: str, schema: str = CATALOG_SCHEMA) -> DataFrame:
