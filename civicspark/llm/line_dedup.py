@@ -2,7 +2,7 @@
 
 A line's set is that of its ``SHINGLE``-character shingles after white space
 is turned into single spaces (shorter lines: the line itself). Signatures
-come from one hash of each shingle: its low bits choose one of
+come from one hash of each shingle: its high bits choose one of
 ``BANDS * ROWS`` bins, the bin keeps its least value, and empty bins borrow
 from the next filled one. Lines that agree in a whole band are candidates; at
 a similarity of 0.8 a pair meets in some band with a chance of 0.995.
@@ -25,10 +25,11 @@ and, where whole rows are equal, in all of them, since they have one place.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,24 +37,29 @@ from pyspark.sql import Window
 
 from civicspark.llm.common import fresh, materialize, q, small
 from civicspark.llm.graph import components
-from civicspark.llm.textnum import mix
+from civicspark.llm.textnum import mix, row_sets
 
-SHINGLE, BANDS, ROWS, THRESHOLD, SEEN = 7, 10, 4, 80, 200_000
+SHINGLE, BANDS, ROWS, THRESHOLD, SEEN, CHUNK = 7, 10, 4, 80, 200_000, 1 << 17
 
 
 def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all lines on end, and the lines' offsets."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code += np.uint64(1)
     code = np.concatenate([code, np.zeros(size, np.uint64)])
     length = np.fromiter(map(len, lines), np.int64, len(lines))
-    count = np.maximum(length - size + 1, 1)
-    begin = np.cumsum(length) - length
-    rows = np.concatenate([[0], np.cumsum(count)])
+    end = np.cumsum(length)
+    begin = end - length
+    rows = np.concatenate([[0], np.cumsum(np.maximum(length - size + 1, 1))])
     base = np.uint64(0x9E3779B97F4A7C15)
     every = np.zeros(len(code) - size, np.uint64)
     for k in range(size):
-        every = every * base + code[k:k + len(every)]
-    h = every[np.repeat(begin, count) + np.arange(int(rows[-1])) - np.repeat(rows[:-1], count)]
+        every *= base
+        every += code[k:k + len(every)]
+    starts = np.ones(len(every), bool)
+    for k in range(1, size):  # no whole shingle starts so near to the end of its line
+        starts[end[length > k] - k] = False
+    h = every[starts]
     short = np.flatnonzero(length < size)
     part = np.zeros(len(short), np.uint64)
     for k in range(size):
@@ -67,7 +73,7 @@ def signatures(h: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
     n = len(rows) - 1
     line = np.repeat(np.arange(n), np.diff(rows))
     out = np.full(n * bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, line * bins + (h % np.uint64(bins)).astype(np.int64), h)
+    np.minimum.at(out, line * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), h)
     out = out.reshape(n, bins)
     empty = out == np.iinfo(np.uint64).max
     step = 0
@@ -81,10 +87,16 @@ def signatures(h: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
 def split_lines(text: str) -> Iterator[tuple[int, str]]:
     """Number and normal form of each line that has a character."""
     for k, line in enumerate(text.split("\n")):
-        if (said := " ".join(line.split())):
+        # of white space, only the space is printable
+        said = line.strip() if line.isprintable() and "  " not in line else " ".join(line.split())
+        if said:
             yield k, said
 
 
+def _digest(line: str) -> bytes:
+    return blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, mark, line, node, bands) of every line, from (doc_id, mark,
     text). A task gives the bands of a line it has seen before only now and
@@ -95,8 +107,7 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
         seen: set[bytes] = set()
 
         def made(b, owner, number, said):
-            h, at = _hashes(said, shingle)
-            nodes, new = _digests(h, at), []
+            nodes, new = [_digest(s) for s in said], []
             if len(seen) > SEEN:
                 seen.clear()
             for k, n in enumerate(nodes):
@@ -105,8 +116,8 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     new.append(k)
             fresh_rows = np.zeros(len(nodes), bool)
             fresh_rows[new] = True
-            h = h[np.repeat(fresh_rows, np.diff(at))]
-            sig = signatures(h, np.concatenate([[0], np.cumsum(np.diff(at)[new])]), bands * rows).reshape(len(new), bands, rows)
+            h, at = _hashes([said[k] for k in new], shingle)
+            sig = signatures(h, at, bands * rows).reshape(len(new), bands, rows)
             key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(new), bands)).copy()
             for k in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
@@ -124,7 +135,7 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     number.append(k)
                     said.append(s)
                     held += len(s)
-                    if held > 1 << 20:
+                    if held > CHUNK:
                         yield made(b, owner, number, said)
                         owner, number, said, held = [], [], [], 0
             if said:
@@ -133,15 +144,6 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return docs.mapInArrow(read, schema)
 
 
-def _digests(h: np.ndarray, rows: np.ndarray) -> list[bytes]:
-    """16 bytes of each line's shingle sequence: equal lines, equal bytes."""
-    place = np.arange(len(h), dtype=np.uint64) - np.repeat(rows[:-1], np.diff(rows)).astype(np.uint64)
-    a = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), rows[:-1]))
-    b = mix(np.add.reduceat(mix((h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) + place * np.uint64(0xD6E8FEB86659FD93)), rows[:-1]))
-    both = np.stack([a, b], axis=1).tobytes()
-    return [both[16 * k:16 * k + 16] for k in range(len(rows) - 1)]
-
-
 def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose lines reach the threshold. The lines are
     read again at their first places."""
@@ -162,17 +164,23 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.string())], names=["node", "said"])
 
     def check(batches):
-        @lru_cache(2048)
-        def parts(line):
-            return frozenset(line[k:k + shingle] for k in range(max(1, len(line) - shingle + 1)))
-
         for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = parts(x), parts(y)
-                fits = 100 * min(len(x), len(y)) >= threshold * max(len(x), len(y))
-                shared = len(x & y) if fits else 0
-                good.append(fits and 100 * shared >= threshold * (len(x) + len(y) - shared))
+            good: list[bool] = []
+            held = np.cumsum(pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy(zero_copy_only=False))
+            while (lo := len(good)) < b.num_rows:  # about 4 MB of lines together
+                hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + (4 << 20), "right")))
+                said = pa.concat_arrays([b.column(2).slice(lo, hi - lo), b.column(3).slice(lo, hi - lo)]).dictionary_encode()
+                h, at = _hashes(said.dictionary.to_pylist(), shingle)
+                sets = list(row_sets(h, at))
+                which = said.indices.to_pylist()
+                for x, y in zip(which[:hi - lo], which[hi - lo:]):
+                    x, y = sets[x], sets[y]
+                    shared = 0
+                    if 100 * min(len(x), len(y)) >= threshold * max(len(x), len(y)):
+                        both = np.concatenate([x, y])
+                        both.sort()
+                        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    good.append(100 * shared >= threshold * (len(x) + len(y) - shared))
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
@@ -240,7 +248,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
         for b in batches:
             texts, count, less = [], [], []
             for t, g in zip(b.column(where).to_pylist(), b.column(len(kept)).to_pylist()):
-                count.append(sum(1 for _ in split_lines(t)) if t else 0)
+                count.append(sum(1 for x in t.split("\n") if x and not x.isspace()) if t else 0)
                 less.append(len(g) if g else 0)
                 if g:
                     g = set(g)
