@@ -184,9 +184,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     nodes = materialize(nodes.withColumn("grp", F.min("node").over(Window.partitionBy("n", "prefix"))), "nodes")
     verify = Verifier(docs, nodes.select("node", "stand"), size, threshold)
 
-    rep = nodes.filter(F.col("node") == F.col("grp")).select("n", "grp", F.explode("prefix").alias("token"))
+    rep = nodes.filter(F.col("node") == F.col("grp")).select("n", "grp", F.posexplode("prefix").alias("place", "token"))
     by_token = Window.partitionBy("token")
-    tokens = materialize(rep.withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1").select("token", "n", "grp"), "tokens")
+    tokens = materialize(rep.withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1").select("token", "place", "n", "grp"), "tokens")
     # the member with the most shared shingles is tried against all others of its bucket
     weight = small(tokens.groupBy("grp").agg(F.count(F.lit(1)).alias("weight")), 32)
     by_weight = by_token.orderBy(F.desc("weight"), "n", "grp")
@@ -204,25 +204,37 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     labels = components(links)
 
     seen = materialize(nodes.join(small(labels, 40), "node", "left").select("node", "n", "grp", F.coalesce("label", "node").alias("label")), "labelled")
-    rest = _between_groups(tokens, seen, threshold, near).unionByName(_inside_groups(seen)).distinct()
+    rest = _between_groups(tokens, seen, nodes.filter(F.col("node") == F.col("grp")).select("grp", "prefix"), threshold, near).unionByName(_inside_groups(seen)).distinct()
     more = verify.links(rest)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return sets.select("doc_id", "mark", "n", "node"), labels
 
 
-def _between_groups(tokens: DataFrame, seen: DataFrame, threshold: int, near) -> DataFrame:
+def _between_groups(tokens: DataFrame, seen: DataFrame, prefixes: DataFrame, threshold: int, near) -> DataFrame:
     """Pairs of nodes of different components whose groups' prefixes share
-    enough. Buckets whose groups all lie in one component are left out."""
+    enough. Buckets whose groups all lie in one component are left out.
+
+    Of two sets that must share ``k`` members, the first ``n - k + 1`` of one
+    and the first ``m - k + 1`` of the other meet; for the smaller of the two
+    that is a shorter prefix than for a set of which only its size is known.
+    Pairs that meet there are then held against whole prefixes."""
     parts = seen.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = materialize(tokens.select("token", "n", "grp").join(parts, "grp"), "token-labels")
+    rows = materialize(tokens.join(parts, "grp").select("token", "place", "n", "grp", "low", "high"), "token-labels")
     mixed = rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
     open_rows = rows.join(mixed, "token", "left_semi")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    x, y = open_rows.filter(F.col("place") <= F.col("n") - least_shared(F.col("n"), F.col("n"), threshold)).alias("x"), open_rows.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    k = least_shared(n, m, threshold)
     differ = (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & differ & near(F.col("x.n"), F.col("y.n")))
-    shared = pairs.groupBy(F.col("x.grp").alias("a"), F.col("y.grp").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
-    good = shared.filter(F.col("shared") + prefix_rest(F.greatest("n", "m"), threshold) >= least_shared(F.col("n"), F.col("m"), threshold))
+    later = (n < m) | ((n == m) & (F.col("x.grp") < F.col("y.grp")))
+    meet = (F.col("x.place") <= n - k) & (F.col("y.place") <= m - k)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & later & differ & near(n, m) & meet)
+    pairs = materialize(pairs.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b"), n.alias("n"), m.alias("m")).distinct(), "group-pairs")
+    for side in ("a", "b"):
+        pairs = pairs.join(prefixes.select(F.col("grp").alias(side), F.col("prefix").alias(f"{side}_prefix")), side)
+    shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
+    good = pairs.filter(shared + prefix_rest(F.greatest("n", "m"), threshold) >= least_shared(F.col("n"), F.col("m"), threshold)).select("a", "b")
     a, b = seen.select(F.col("grp").alias("a"), F.col("node").alias("na"), F.col("label").alias("la")), seen.select(F.col("grp").alias("b"), F.col("node").alias("nb"), F.col("label").alias("lb"))
     return good.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
