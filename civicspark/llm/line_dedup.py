@@ -98,10 +98,10 @@ def _digest(line: str) -> bytes:
 
 
 def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, mark, line, node, bands) of every line, from (doc_id, mark,
-    text). A task gives the bands of a line it has seen before only now and
+    """(doc_id, mark, line, node, head, bands) of every line, from (doc_id,
+    mark, text); head: half of the digest, which will do for candidates. A task gives the bands of a line it has seen before only now and
     then, so a line that many documents hold has few band rows."""
-    schema = T.StructType([*docs.schema[:2], T.StructField("line", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema[:2], T.StructField("line", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("head", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -124,8 +124,8 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             ends = np.concatenate([[0], np.cumsum(fresh_rows * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.reshape(-1).view(np.int64)))
             take = pa.array(owner, pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(number, pa.int64()), pa.array(nodes, pa.binary()), lists],
-                                              names=["doc_id", "mark", "line", "node", "bands"])
+            return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(number, pa.int64()), pa.array(nodes, pa.binary()),
+                                               pa.array(np.frombuffer(b"".join(nodes), np.int64)[::2].copy()), lists], names=["doc_id", "mark", "line", "node", "head", "bands"])
 
         for b in batches:
             owner, number, said, held = [], [], [], 0
@@ -194,14 +194,13 @@ def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     that lose some. ``docs``: (doc_id, mark, text)."""
     lines = materialize(line_table(docs, shingle, bands, rows), "line-table")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")
-    places = materialize(lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-places")
+    places = materialize(lines.groupBy("node").agg(F.min("head").alias("head"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-places")
 
-    head = F.substring("node", 1, 8)  # half a digest will do for candidates
     order = Window.partitionBy("band").orderBy("head")
-    keys = lines.select(head.alias("head"), F.explode("bands").alias("band"))
+    keys = lines.select("head", F.explode("bands").alias("band"))
     buckets = keys.select("band", "head", F.first("head").over(order).alias("star"), F.lag("head").over(order).alias("before"), F.last("head").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("last"))
     buckets = materialize(buckets.filter("star <> last and (before is null or before <> head)"), "line-buckets")
-    named = materialize(places.select(head.alias("head"), "node").join(small(buckets.select("head").distinct(), 24), "head", "left_semi"), "line-names")
+    named = materialize(places.select("head", "node").join(small(buckets.select("head").distinct(), 24), "head", "left_semi"), "line-names")
 
     def nodes_of(pairs: DataFrame) -> DataFrame:
         x, y = named.select(F.col("head").alias("g"), F.col("node").alias("a")), named.select(F.col("head").alias("h"), F.col("node").alias("b"))
