@@ -12,7 +12,7 @@ Links are verified on whole sets in two steps. First every bucket (a shared
 shingle, or a group) gives chains and stars, as many pairs as members, and
 the verified links are joined by union-find. Then the buckets that still hold
 several components give all pairs between different components which pass
-the size and prefix filters; that step is exact. Pairs inside a component are
+the size, prefix and bin filters; that step is exact. Pairs inside a component are
 not enumerated, so a group of any number of near copies costs in proportion
 to its size.
 
@@ -38,7 +38,7 @@ from civicspark.llm.graph import components
 from civicspark.llm.textnum import Hasher, chunks, digest, row_sets, shingles, text_bytes
 
 SPACE = (0x20, *range(0x09, 0x0E))
-SKETCH_BITS, SLICE = 22, 4096
+SKETCH_BITS, SLICE, BINS = 22, 4096, 128
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, size: int, hasher: Hasher | None = None):
@@ -82,25 +82,28 @@ def _narrow(counts: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, size: int, threshold: int, order: bytes, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, mark, n, node, prefix): the text's digest, set size, 16-byte digest of the set, and
-    the prefix as a sorted array. ``threshold``: per cent."""
+    """(doc_id, mark, n, node, prefix, bins): the text's digest, set size, 16-byte digest of the set,
+    the prefix as a sorted array, and the set's members counted by bin. ``threshold``: per cent."""
     table = docs.sparkSession.sparkContext.broadcast(order)
-    schema = T.StructType([docs.schema[0], T.StructField("mark", T.StringType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema[0], T.StructField("mark", T.StringType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+                           T.StructField("bins", T.ArrayType(T.ShortType()))])
 
     def read(batches):
         weight = np.frombuffer(table.value, np.uint8)
         for b, lo, hi, h, rows in _sets(batches, 1, size):
-            n, node, prefix = [], [], []
+            n, node, prefix, bins = [], [], [], []
             for s in row_sets(h, rows):
                 key = (weight[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 k = len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0
                 n.append(len(s))
                 node.append(digest(s))
+                bins.append(np.minimum(np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS), 32767).astype(np.int16))
                 prefix.append(np.sort(np.partition(key, k - 1)[:k]).view(np.int64) if k else np.zeros(0, np.int64))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                             names=["doc_id", "mark", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                                              pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1, dtype=np.int32) * BINS), pa.array(np.concatenate(bins)))],
+                                             names=["doc_id", "mark", "n", "node", "prefix", "bins"])
 
     return docs.select("doc_id", "text", _mark(F.col("text"))).mapInArrow(read, schema)
 
@@ -117,6 +120,14 @@ def prefix_rest(n: Column, threshold: int) -> Column:
     return F.ceil(F.lit(threshold) * n / F.lit(100)).cast("long") - 1
 
 
+def within_reach(x: Column, y: Column, n: Column, m: Column, threshold: int) -> Column:
+    """False only for sets that cannot reach the threshold: what their bins
+    differ by is in one of them alone, and of that there may be no more than
+    their sizes leave beside the fewest common members."""
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda total, d: total + d)
+    return apart <= n + m - 2 * least_shared(n, m, threshold)
+
+
 class Verifier:
     """Checks pairs of nodes on whole sets, made again from the texts of the
     documents that stand for them."""
@@ -179,8 +190,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order = sketch(docs.select("text"), size)
     sets = materialize(shingle_sets(docs, size, threshold, order), "shingle-sets")
     full = sets.filter("n > 0")
-    nodes = full.groupBy("node", "n").agg(F.min(F.struct(F.coalesce(F.col("doc_id").isNull(), F.lit(False)).alias("none"), F.col("doc_id").alias("stand"), "prefix")).alias("s"))
-    nodes = nodes.select("node", "n", "s.stand", "s.prefix")
+    nodes = full.groupBy("node", "n").agg(F.min(F.struct(F.coalesce(F.col("doc_id").isNull(), F.lit(False)).alias("none"), F.col("doc_id").alias("stand"), "prefix", "bins")).alias("s"))
+    nodes = nodes.select("node", "n", "s.stand", "s.prefix", "s.bins")
     nodes = materialize(nodes.withColumn("grp", F.min("node").over(Window.partitionBy("n", "prefix"))), "nodes")
     verify = Verifier(docs, nodes.select("node", "stand"), size, threshold)
 
@@ -203,8 +214,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = verify.links(first.unionByName(inside).distinct())
     labels = components(links)
 
-    seen = materialize(nodes.join(small(labels, 40), "node", "left").select("node", "n", "grp", F.coalesce("label", "node").alias("label")), "labelled")
-    rest = _between_groups(tokens, seen, nodes.filter(F.col("node") == F.col("grp")).select("grp", "prefix"), threshold, near).unionByName(_inside_groups(seen)).distinct()
+    seen = materialize(nodes.join(small(labels, 40), "node", "left").select("node", "n", "grp", "bins", F.coalesce("label", "node").alias("label")), "labelled")
+    rest = _between_groups(tokens, seen, nodes.filter(F.col("node") == F.col("grp")).select("grp", "prefix"), threshold, near).unionByName(_inside_groups(seen, threshold)).distinct()
     more = verify.links(rest)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
@@ -235,16 +246,17 @@ def _between_groups(tokens: DataFrame, seen: DataFrame, prefixes: DataFrame, thr
         pairs = pairs.join(prefixes.select(F.col("grp").alias(side), F.col("prefix").alias(f"{side}_prefix")), side)
     shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
     good = pairs.filter(shared + prefix_rest(F.greatest("n", "m"), threshold) >= least_shared(F.col("n"), F.col("m"), threshold)).select("a", "b")
-    a, b = seen.select(F.col("grp").alias("a"), F.col("node").alias("na"), F.col("label").alias("la")), seen.select(F.col("grp").alias("b"), F.col("node").alias("nb"), F.col("label").alias("lb"))
-    return good.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    a, b = seen.select(F.col("grp").alias("a"), F.col("node").alias("na"), F.col("label").alias("la"), F.col("n").alias("n"), F.col("bins").alias("a_bins")), seen.select(F.col("grp").alias("b"), F.col("node").alias("nb"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("bins").alias("b_bins"))
+    return good.join(a, "a").join(b, "b").filter((F.col("la") != F.col("lb")) & within_reach(F.col("a_bins"), F.col("b_bins"), F.col("n"), F.col("m"), threshold)).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
 
-def _inside_groups(seen: DataFrame) -> DataFrame:
+def _inside_groups(seen: DataFrame, threshold: int) -> DataFrame:
     """Pairs of nodes of one group and different components."""
     mixed = seen.groupBy("grp").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("grp")
     open_rows = seen.join(mixed, "grp", "left_semi")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    return x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+                  & within_reach(F.col("x.bins"), F.col("y.bins"), F.col("x.n"), F.col("y.n"), threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, threshold: int = 90) -> DataFrame:
