@@ -2,13 +2,20 @@
 
 Native: DataFrame functions only. Every measure of a text is computed inside
 its row, without a shuffle. The measures that get an adaptive threshold are
-whole numbers, put into buckets of a mergeable quantile sketch: 16 buckets
-per power of two (a value is known within 1/16), a count per bucket. Counts
+whole numbers, put into buckets of a mergeable quantile sketch: 64 buckets
+per power of two (a value is known within 1/64), a count per bucket. Counts
 add up, so a sketch of a language is the sum of its sources' sketches. A
-group's upper fence is q75 + ``spread`` * (q75 - q25), never below a floor,
-so it follows each group's own distribution and does not reject a fixed
-share. Groups with fewer than ``min_group`` documents take their language's
-sketch, else that of all documents.
+group's upper fence is q75 + ``spread`` * (q75 - q25), so it follows each
+group's own distribution and does not reject a fixed share; ``LEAST`` guards
+the width q75 - q25 of groups that hardly vary. Groups with fewer than
+``min_group`` documents take their language's sketch, else that of all
+documents. A group's limit is never above its language's, nor, for rates, above
+that of all documents: a source that is mostly bad does not clear itself.
+Word lengths differ by language and are held against the language only.
+
+Most documents repeat nothing, so the quartiles of the two repetition rates
+would be 0 whatever the others do: their sketches (``AMONG``) hold the
+documents that repeat something.
 
 Defined results: null text has no words and fails the base rules; null lang
 or source is a group of its own; a group of any size is only a few hundred
@@ -26,8 +33,12 @@ from civicspark.llm.common import bind, fresh, materialize, q
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPREAD, MIN_GROUP = 6, 200
-#: Upper fences: measure -> floor below which no document is rejected.
-FLOORS = {"symbol_rate": 60, "dup_line_rate": 600, "repeat_rate": 400, "word_length": 150}
+#: Measure -> least width of its quartiles.
+LEAST = {"symbol_rate": 10, "dup_line_rate": 10, "repeat_rate": 10, "word_length": 1}
+#: Measures sketched among the documents where they are not 0.
+AMONG = ("dup_line_rate", "repeat_rate")
+#: Measures that are held against all documents too.
+RATES = ("symbol_rate", "dup_line_rate", "repeat_rate")
 
 
 def words_of(text: Column) -> Column:
@@ -90,9 +101,9 @@ def rates(prefix: str = "") -> dict[str, Column]:
 
 
 def bucket(v: Column) -> Column:
-    """The lower end of the value's bucket: exact below 32, then 16 buckets
+    """The lower end of the value's bucket: exact below 128, then 64 buckets
     for each power of two."""
-    step = F.pow(F.lit(2), F.greatest(F.length(F.bin(v)) - 5, F.lit(0))).cast("long")
+    step = F.pow(F.lit(2), F.greatest(F.length(F.bin(v)) - 7, F.lit(0))).cast("long")
     return (v - F.pmod(v, step)).cast("long")
 
 
@@ -102,6 +113,7 @@ def sketches(measured: DataFrame, lang: str, source: str, prefix: str = "") -> D
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in rates(prefix).items()]))
     return (measured.filter(~q(f"{prefix}base_failed"))
             .select(q(lang).alias("lang"), q(source).alias("source"), rows.alias("m"))
+            .filter(~F.col("m.measure").isin(*AMONG) | (F.col("m.bucket") > 0))
             .groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -120,21 +132,22 @@ def fences(cells: DataFrame, keys: list[str], spread: int) -> DataFrame:
         return run["at"]
 
     lo, hi = quantile(25), quantile(75)
-    return packed.select(*keys, "measure", "size", (hi + spread * (hi - lo)).alias("fence"))
+    least = reduce(lambda c, kv: c.when(F.col("measure") == kv[0], kv[1]), LEAST.items(), F.when(F.lit(False), 0))
+    return packed.select(*keys, "measure", "size", (hi + spread * F.greatest(hi - lo, least)).alias("fence"))
 
 
 def thresholds(cells: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, measure, limit): for each group its own fence, its
-    language's or that of all, whichever is the first with enough documents."""
+    language's or that of all, whichever is the first with enough documents,
+    but none above the later ones."""
     own = fences(cells, ["lang", "source"], spread)
     lang = fences(cells, ["lang"], spread).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.col("size").alias("l_size"), F.col("fence").alias("l_fence"))
     every = fences(cells, [], spread).select(F.col("measure").alias("e_measure"), F.col("fence").alias("e_fence"))
-    floor = reduce(lambda c, kv: c.when(F.col("measure") == kv[0], kv[1]), FLOORS.items(), F.when(F.lit(False), 0))
+    enough, l_enough = F.col("size") >= min_group, F.col("l_size") >= min_group
+    cap = F.when(F.col("measure").isin(*RATES) | ~l_enough & ~enough, F.col("e_fence"))
     return (own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")))
             .join(every, F.col("measure") == F.col("e_measure"))
-            .select("lang", "source", "measure", F.greatest(
-                F.when(F.col("size") >= min_group, F.col("fence")).when(F.col("l_size") >= min_group, F.col("l_fence")).otherwise(F.col("e_fence")),
-                floor).alias("limit")))
+            .select("lang", "source", "measure", F.least(F.when(enough, F.col("fence")), F.when(l_enough, F.col("l_fence")), cap).alias("limit")))
 
 
 def judge(measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "",
@@ -144,7 +157,7 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source", prefi
     limits = thresholds(sketches(measured, lang, source, prefix), spread, min_group)
     a, b, c = fresh(measured, "lang", "source", "limits")
     wide = limits.groupBy(F.col("lang").alias(a), F.col("source").alias(b)).agg(
-        F.struct(*[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(k) for k in FLOORS]).alias(c))
+        F.struct(*[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(k) for k in LEAST]).alias(c))
     over = reduce(lambda x, y: x | y, [v > F.coalesce(q(c)[k], F.lit(1 << 40)) for k, v in rates(prefix).items()])
     joined = measured.join(wide, q(lang).eqNullSafe(q(a)) & q(source).eqNullSafe(q(b)), "left")
     return joined.withColumn(f"{prefix}kept", ~(q(f"{prefix}base_failed") | over)).drop(a, b, c)

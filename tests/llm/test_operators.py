@@ -57,6 +57,55 @@ def test_quality_measures(docs, none):
     assert quality.quality(none, prefix="m_").count() == 0
 
 
+def brute_kept(rows, min_group=quality.MIN_GROUP):
+    """Of each (text, lang, source): whether it is kept, by fences in Python."""
+    def measures(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        g = collections.Counter(zip(w, w[1:], w[2:]))
+        cov = {k for i in range(len(w) - 2) if g[tuple(w[i:i + 3])] > 1 for k in range(i, i + 3)}
+        ls = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        c = max(sum(map(len, w)), 1)
+        return len(w) < 50 or 100 * len(cov) > 50 * len(w), (
+            1000 * sum(x in "#*$%&|<>" for x in t or "") // c, 1000 * (len(ls) - len(set(ls))) // max(len(ls), 1), 1000 * len(cov) // max(len(w), 1), 10 * sum(map(len, w)) // max(len(w), 1))
+
+    seen = [(*measures(t), la, so) for t, la, so in rows]
+
+    def fence(k, fits):
+        v = sorted(m[k] - m[k] % (1 << max(m[k].bit_length() - 7, 0)) for bad, m, la, so in seen if not bad and fits(la, so) and (k not in (1, 2) or m[k]))
+        if not v:
+            return 0, math.inf
+        lo, hi = v[(len(v) * 25 + 99) // 100 - 1], v[(len(v) * 75 + 99) // 100 - 1]
+        return len(v), hi + 6 * max(hi - lo, (10, 10, 10, 1)[k])
+
+    def limit(k, la, so):
+        own, lang, every = fence(k, lambda x, y: (x, y) == (la, so)), fence(k, lambda x, y: x == la), fence(k, lambda x, y: True)
+        found = [f for n, f in (own, lang) if n >= min_group]
+        return min(found + ([every[1]] if k < 3 or not found else []))
+
+    limits = {(k, la, so): limit(k, la, so) for k in range(4) for la, so in {(la, so) for _, _, la, so in seen}}
+    return [not bad and all(m[k] <= limits[k, la, so] for k in range(4)) for bad, m, la, so in seen], limits
+
+
+def test_quality_fences(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def text(size, sign="", copies=0):
+        said = ["".join(rng.choice(letters, max(1, int(rng.normal(size, 1.5))))) + sign for _ in range(80)]
+        lines = [" ".join(said[k:k + 8]) for k in range(0, 80, 8)]
+        return "\n".join(lines + lines[:1] * copies)
+
+    rows = [(text(5, copies=k % 7 == 0), "en", "plain") for k in range(240)] + [(text(9), "de", "plain") for _ in range(220)]
+    rows += [(text(5, "$$" if k < 130 else ""), "en", "bad") for k in range(210)]  # mostly bad, large
+    rows += [(text(5, "#"), "en", "few"), (text(5), "en", "few"), (text(9), None, None), (text(11), "de", "plain"), (text(9), "en", "plain"), (text(14), "de", "few")]
+    kept, limits = brute_kept(rows)
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r.m_kept for r in quality.quality(docs, prefix="m_").collect()}
+    assert got == dict(enumerate(kept))
+    assert not any(kept[460:590]) and sum(kept[:460]) > 440
+    assert not kept[-2] and kept[-4] and limits[3, "de", "plain"] > limits[3, "en", "plain"]  # a long-worded text by its language's limit
+
+
 def test_url_rules(spark):
     rules = [url_rules.site_rule("block", "example.org/en/1"), url_rules.site_rule("allow", "org/"), *url_rules.PATTERNS]
     urls = ["https://a.EXAMPLE.org/en/12?x", "http://example.org", "http://example.orgs/en/1", "x.org/ads/", None, "", "http://h.com/ads/1", "http://h.com/bads/1", "http://h.com/ads/1"]
