@@ -3,12 +3,13 @@
 Each task reads its documents in order as one stream of token ids (a text's
 ids, then ``end_id``) and cuts it into windows of at most ``window`` ids.
 Cuts may lie at document ends (no penalty), at sentence or line ends
-(``SENTENCE``) and, inside sentences longer than a window, at any id
-(``HARD``). The cuts minimise padding plus penalties: with g(i) the cost up
-to cut i plus its position, g(j) = penalty(j) + window + min g(i) over the
-cuts i within a window before j, whose minimum a monotone queue keeps. A
-block of ``BLOCK`` ids is solved at a time and its open window goes to the
-next block, so memory follows the block and the longest document.
+(``SENTENCE``) and at any other id (``HARD``). The cuts minimise padding plus
+penalties, which is windows * ``window`` + penalties less the ids. Of two ways
+of one cost the one that is further on is never worse, so the program keeps
+far(c), the furthest cut of cost c at most: the furthest of the last document
+end, the last sentence end and the last id within a window of far at the cost
+before. A block of ``BLOCK`` ids is solved at a time and its open window goes
+to the next block, so memory follows the block and the longest document.
 
 Nothing is shuffled: the stream of a task is its scan split, and only a
 split's last window is left part-filled.
@@ -24,9 +25,9 @@ are packed each; null document ids stay null; an empty table gives no rows.
 from __future__ import annotations
 
 import os
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain
+from math import gcd
 from unicodedata import is_normalized
 
 import numpy as np
@@ -146,46 +147,46 @@ def _last(texts: list[str]) -> Iterator[bool]:
         yield from (i == n - 1 for i in range(n))
 
 
-def best_cuts(points: np.ndarray, penalty: np.ndarray, window: int, closed: bool) -> list[int]:
-    """Positions of the chosen cuts. ``points``: allowed cuts, growing, no two
-    more than ``window`` apart nor the first from 0. ``closed``: the last
-    point is a cut; else the last window stays open."""
-    at, pen = [0, *points.tolist()], [0, *penalty.tolist()]
-    cost, back = [0] * len(at), [0] * len(at)
-    line = deque([0])
-    for j in range(1, len(at)):
-        reach = at[j] - window
-        while at[line[0]] < reach:
-            line.popleft()
-        i = line[0]
-        g = cost[i] + pen[j] + window
-        cost[j], back[j] = g, i
-        while line and cost[line[-1]] > g:
-            line.pop()
-        line.append(j)
-    j = len(at) - 1
+def best_cuts(points: np.ndarray, penalty: np.ndarray, window: int, closed: bool, hard: int = HARD) -> list[int]:
+    """Positions of the chosen cuts. ``points``: the end and other cuts with a
+    ``penalty`` of their own, growing; any other position costs ``hard``.
+    ``closed``: the last point is a cut; else the last window stays open, after
+    the cut of least padding and penalties."""
+    total, prices = int(points[-1]), np.unique(penalty).tolist()
+    unit = gcd(window, hard, *prices)
+    step, ways = window // unit, []  # cost in units and, for each position, the last cut up to it
+    for price in prices:
+        last, some = np.zeros(total + 1, np.int64), points[penalty <= price]
+        last[some] = some
+        ways.append((step + price // unit, np.maximum.accumulate(last)))
+    ways.append((step + hard // unit, np.arange(total + 1)))
+    far, c = np.zeros(2 * step + -(-total // window) * (step + hard // unit), np.int64), step
+    while far[c - 1] < total:  # no cut costs less than a step, so a step is found at once
+        best = np.full(step, far[c - 1])
+        for cost, last in ways:
+            none = max(0, cost - c)
+            if none < step:
+                best[none:] = np.maximum(best[none:], last[np.minimum(far[c - cost + none:c - cost + step] + window, total)])
+        far[c:c + step] = np.maximum.accumulate(best)
+        c += step
+    j = int(np.searchsorted(far[:c], total))
     if not closed:
-        while at[line[0]] <= at[-1] - window:
-            line.popleft()
-        j = line[0]
+        low = int(np.searchsorted(far[:c], total - window, "right"))
+        j = low + int(np.argmin(unit * np.arange(low, j + 1) - far[low:j + 1]))
     out = []
-    while j:
-        out.append(at[j])
-        j = back[j]
+    while far[j]:
+        j = int(np.searchsorted(far[:j + 1], far[j]))
+        out.append(int(far[j]))
+        j = next(j - cost for cost, last in ways if cost <= j and last[min(far[j - cost] + window, total)] == far[j])
     return out[::-1]
 
 
-def cut_points(total: int, docs: np.ndarray, stops: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Allowed cuts and their penalties: document ends, sentence ends, and
-    points inside gaps that are wider than a window."""
+def cut_points(total: int, docs: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts that cost less than ``HARD`` and their penalties: document ends
+    and sentence ends."""
     points = np.unique(np.concatenate([docs, stops, [total]]))
     points = points[(points > 0) & (points <= total)]
-    edges = np.concatenate([[0], points])
-    wide = np.flatnonzero(np.diff(edges) > window)
-    hard = [np.arange(edges[k] + window, edges[k + 1], window) for k in wide]
-    points = np.unique(np.concatenate([points, *hard]))
-    penalty = np.where(np.isin(points, docs), 0, np.where(np.isin(points, stops), SENTENCE, HARD))
-    return points, penalty
+    return points, np.where(np.isin(points, docs), 0, SENTENCE)
 
 
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 2) -> DataFrame:
@@ -203,7 +204,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
 
         def cut(closed: bool):
             nonlocal ids, stops, first, size, name, serial
-            points, penalty = cut_points(len(ids), first + size, stops, window)
+            points, penalty = cut_points(len(ids), first + size, stops)
             cuts, rows, a = best_cuts(points, penalty, window, closed), [], 0
             for b in cuts:
                 lo, hi = np.searchsorted(first + size, a, "right"), np.searchsorted(first, b, "left")

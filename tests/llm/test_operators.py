@@ -291,3 +291,31 @@ def test_best_cuts_is_optimal():
         cuts = packing.best_cuts(points, pen, 20, True)
         price = dict(zip(points.tolist(), pen.tolist()))
         assert sum(20 - (b - a) + price[b] for a, b in zip([0, *cuts], cuts)) == cost[-1]
+
+
+def test_hard_cuts_are_optimal():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        total = int(rng.integers(20, 150))
+        ends = np.unique(np.append(rng.integers(1, total, 3), total))
+        stops = np.unique(rng.integers(1, total, 4))
+        points, pen = packing.cut_points(total, ends, stops)
+        price = dict.fromkeys(range(1, total + 1), 6) | {int(x): min(6, int(p)) for x, p in zip(points, pen // 4)}
+        cost = [0]
+        for j in range(1, total + 1):
+            cost.append(min(cost[max(0, j - 20):j]) + 20 + price[j])
+        cuts = packing.best_cuts(points, pen // 4, 20, True, hard=6)
+        assert cuts[-1] == total and max(np.diff([0, *cuts])) <= 20
+        assert sum(20 + price[c] for c in cuts) == cost[-1]
+        left = packing.best_cuts(points, pen // 4, 20, False, hard=6)
+        assert total - (left or [0])[-1] < 20
+
+
+@pytest.mark.parametrize("length", [2100, 3000, 6000])
+def test_packing_without_stops(spark, length):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(k, "word " * (length - 1)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    sizes = [r.n_tokens for r in packing.pack(docs, path).orderBy("sequence_id").collect()]
+    ids = sum(sizes)
+    assert ids >= 60 * length and max(sizes) <= 4096
+    assert len(sizes) * 4096 - ids < 0.05 * len(sizes) * 4096 + 4096  # the last sequence is part-filled
