@@ -3,7 +3,9 @@
 Each page is read once by a tag scanner into a small element tree (implied
 end tags, void and raw elements). Elements whose tag, role or class names say
 menu, header, footer, sidebar, advert, notice, form or comments go, unless an
-article lies inside them. Every remaining block of text gives points for its
+article lies inside them; forms and names (those of comments and consent apart)
+do not count where they hold most of the page's text outside links. Where
+nothing is left, the page is scored again without names and forms. Every remaining block of text gives points for its
 length and commas to its container (all), the next (half) and further
 ancestors (a third over the distance); a container's sum, with a bonus for
 its tag, is discounted by its link density. The best container, lifted to an
@@ -49,27 +51,32 @@ DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal "
     "nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor "
     "sponsored subscribe toolbar widget".split())
+#: Names that no wrapper of a page's body has.
+FIRM_NAMES = frozenset("comment comments consent cookie cookies disqus gdpr replies reply respond".split())
+#: Why an element goes: a name of a header alone, a form or another name, a firm name, its tag or role or that it is hidden.
+HEADER, SOFT, FIRM, ALWAYS = 1, 2, 3, 4
 #: Names that tell of a part elsewhere on the page.
-LAYOUT = re.compile(r"\b(?:has|with|no|without|hide|show)[-_][a-z0-9_-]+")
+LAYOUT = re.compile(r"\b(?:has|with|no|without|hide|show)[-_][a-z0-9_-]+|\bcomments?[-_](?:open|closed)\b")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 BONUS = {"article": 25, "main": 25, "div": 5, "section": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3}
 LEVELS = 5
 
 
-def unwanted(tag: str, attrs: str) -> bool:
-    if tag in DROP_TAGS:
-        return True
+def unwanted(tag: str, attrs: str) -> int:
+    if tag in DROP_TAGS and tag != "form":
+        return ALWAYS
+    why = SOFT if tag == "form" else 0
     if not attrs or tag in ("html", "body"):
-        return False
+        return why
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROP_ROLES:
-            return True
+            return ALWAYS
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and not DROP_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", LAYOUT.sub("", value))):
-            return True
-    return False
+            return ALWAYS
+        if name in ("class", "id") and (said := DROP_NAMES.intersection(re.split(r"[^a-z0-9]+", LAYOUT.sub("", value)))):
+            why = max(why, FIRM if said & FIRM_NAMES else HEADER if said == {"header"} else SOFT)
+    return why
 
 
 class Page:
@@ -77,7 +84,7 @@ class Page:
     (element, text, characters inside links)."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.bad = [-1], ["html"], [False]
+        self.parent, self.tag, self.bad = [-1], ["html"], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.run: list[str] = []
         self.linked, self.links = 0, 0
@@ -164,9 +171,30 @@ class Page:
 
 def main_text(html: str) -> str:
     page = Page(html)
+    return chosen(page, bodies(page)) or chosen(page, [b if b == ALWAYS else 0 for b in page.bad], True)
+
+
+def bodies(page: Page) -> list[int]:
+    """Why elements go, without those forms and names that hold most of the text outside links."""
+    parent, n = page.parent, len(page.tag)
+    if not any(0 < b < FIRM for b in page.bad):
+        return page.bad
+    off, prose = [False] * n, [0] * n
+    for k in range(1, n):
+        off[k] = off[parent[k]] or page.bad[k] >= FIRM
+    for k, said, inlink in page.blocks:
+        if not off[k]:
+            prose[k] += len(said) - inlink
+    for k in range(n - 1, 0, -1):
+        prose[parent[k]] += prose[k]
+    return [0 if b < FIRM and 2 * x > prose[0] else b for b, x in zip(page.bad, prose)]
+
+
+def chosen(page: Page, bad: list[int], scored: bool = False) -> str:
+    """The text of the best container; ``scored``: empty if none has a score."""
     parent, tag, blocks = page.parent, page.tag, page.blocks
     n = len(tag)
-    holds = [t in ("article", "main") and not b for t, b in zip(tag, page.bad)]  # an article at or below
+    holds = [t in ("article", "main") and not b for t, b in zip(tag, bad)]  # an article at or below
     titled = [t in HEADINGS for t in tag]
     for k in range(n - 1, 0, -1):
         holds[parent[k]] |= holds[k]
@@ -176,8 +204,8 @@ def main_text(html: str) -> str:
     for k in range(1, n):
         inside[k] |= inside[parent[k]]
         itself = tag[k] in ("article", "main")  # an advert or a comment can be an article
-        heading = tag[k] == "header" and inside[k] and titled[k]  # an article's own title
-        gone[k] = gone[parent[k]] or page.bad[k] and (itself or not holds[k]) and not heading
+        heading = (tag[k] == "header" or bad[k] == HEADER) and inside[k] and titled[k]  # an article's own title
+        gone[k] = gone[parent[k]] or bad[k] and (itself or not holds[k]) and not heading
     size, linked, raw = [0] * n, [0] * n, [0.0] * n
     links = [int(t == "a" and not g) for t, g in zip(tag, gone)]
     for k, said, inlink in blocks:
@@ -199,6 +227,8 @@ def main_text(html: str) -> str:
     score = [(r + BONUS.get(t, 0)) * (1 - d / s) if r and s else 0.0 for r, t, d, s in zip(raw, tag, linked, size)]
     best = max(range(n), key=lambda k: (score[k], -k))
     if not score[best]:
+        if scored:
+            return ""
         best = 0
     for names in (("article",), ("main",)):
         at = best

@@ -176,6 +176,18 @@ def test_html():
     assert html_text.main_text(page) == "Title <1>\nPara one, with commas, and text.\nPara two"
 
 
+def test_html_bodies_in_forms_and_named_wrappers():
+    body = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k} of the text, with commas, and enough words to count.</p>" for k in range(4))
+    want = "\n".join(["Title", *(f"Paragraph {k} of the text, with commas, and enough words to count." for k in range(4))])
+    menu, foot = "<nav><a href=x>menu</a></nav><div class=menu><a href=y>more</a></div>", "<div class=sidebar><p>side</p></div><footer>f</footer>"
+    for name in ("content header-fixed", "nav-open", "social", "related", "post comments-open"):
+        assert html_text.main_text(f"<body>{menu}<div class='{name}'>{body}</div>{foot}</body>") == want, name
+    assert html_text.main_text(f"<body><form action=x>{menu}<div id=page>{body}</div>{foot}</form></body>") == want
+    assert html_text.main_text(f"<body><form><div class='nav-open'>{menu}{body}{foot}</div></form><p>c</p></body>") == want
+    assert html_text.main_text(f"<body>{menu}<article><div class=entry-header><h1>T</h1></div>{body[14:]}</article>{foot}</body>") == "T" + want[5:]
+    assert html_text.main_text(f"<body>{menu}<div class=social><a href=x>x</a></div><footer>f</footer></body>") == ""
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "<article><p>a</p></article>", None)], "page_id long, html string, text string")
     assert sorted(tuple(r) for r in html_text.page_texts(pages).collect()) == [(1, "", 0), (2, "a", 1)]
