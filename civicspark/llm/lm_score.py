@@ -13,6 +13,9 @@ times ``alpha`` for each order given up; a lone word's count is taken over
 all words. Counts cover all documents, the scored one too; so ``least`` is 2:
 what only one place says gives no score to itself.
 
+Rows equal in id and text meet in one block; there they are one row with its
+number of copies, which its n-grams count and its score is given to.
+
 Blocks hold about ``BLOCK_BYTES`` of text, buckets the n-grams of as much;
 their numbers grow with the input.
 
@@ -32,7 +35,7 @@ from civicspark.llm.common import materialize, q
 from civicspark.llm.textnum import Hasher, chunks, mix, text_bytes
 
 SPACE = (0x20, *range(0x09, 0x0E))
-ORDER, LEAST, ALPHA, BLOCK_BYTES = 2, 2, 0.4, 16 << 20
+ORDER, LEAST, ALPHA, BLOCK_BYTES, COPIES = 2, 2, 0.4, 16 << 20, 1 << 16
 
 
 def _grams(column, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -55,9 +58,9 @@ def _grams(column, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, rows
 
 
-def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-    return np.unique(every, return_inverse=True, return_counts=True)
+    return np.unique(every, return_inverse=True)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -83,10 +86,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     blocks = -(-size // block_bytes) or 1
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(parts, "block")
+    dealt = dealt.groupBy("block", "doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))  # in place: rows are dealt by block
 
     def count(t: pa.Table) -> pa.Table:
-        grams, _ = _grams(t.column("text").combine_chunks(), order)
-        distinct, _, n = _distinct(grams)
+        grams, rows = _grams(t.column("text").combine_chunks(), order)
+        distinct, at = _distinct(grams)
+        n = np.bincount(at, np.tile(np.repeat(t.column("copies").to_numpy(), np.diff(rows)), order), len(distinct)).astype(np.int64)
         b = _bucket(distinct, blocks).astype(np.int64)
         edge = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]]) if len(b) else np.zeros(1, np.int64)
         pieces = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
@@ -104,7 +109,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
 
     def score(t: pa.Table, totals: pa.Table) -> pa.Table:
         grams, rows = _grams(t.column("text").combine_chunks(), order)
-        _, at, _ = _distinct(grams)
+        _, at = _distinct(grams)
         totals = totals.sort_by("bucket")
         parts = [_wide(c, n) for c, n in zip(totals.column("totals").to_pylist(), totals.column("size").to_pylist())]
         c = (np.concatenate(parts) if parts else np.zeros(0, np.int64))[at].reshape(order, -1)
@@ -120,13 +125,16 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
         summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[rows])
         each = np.array([value[a:b].sum() for a, b in zip(rows[:-1], rows[1:])], np.float64)
         return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(np.diff(rows), pa.int64()), "n_alone": pa.array(summed(level == 1), pa.int64()),
-                         "n_backoff": pa.array(summed(level < most), pa.int64()), "part": pa.array(each, pa.float64())})
+                         "n_backoff": pa.array(summed(level < most), pa.int64()), "part": pa.array(each, pa.float64()), "copies": t.column("copies")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = dealt.groupBy("block").applyInArrow(count, "bucket long, block long, grams binary, counts binary")
     totals = table.groupBy("bucket").applyInArrow(add, "block long, bucket long, size long, totals binary")
-    scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_words long, n_alone long, n_backoff long, part double")
+    scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_words long, n_alone long, n_backoff long, part double, copies long")
     scored = materialize(scored, "lm-scores")
-    words = scored.agg(F.sum("n_words")).first()[0] or 1
+    words = scored.agg(F.sum(F.col("n_words") * F.col("copies"))).first()[0] or 1
+    for size in (COPIES, 1):  # each row again, in two steps that keep arrays short
+        scored = scored.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(size).cast("long"))))
+        scored = scored.withColumn("copies", F.least(F.col("copies") - F.col("at"), F.lit(size)))
     total = F.col("part") - F.col("n_alone") * F.log(F.lit(float(words)))
     return scored.select("doc_id", "n_words", "n_backoff", total.alias("log_score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_score"))

@@ -267,6 +267,30 @@ def test_lm_scores(docs, none):
     assert lm_score.lm_scores(none).count() == 0
 
 
+def test_lm_scores_of_copies(spark, monkeypatch):
+    """Copies reach Python once, count as often as they are, and are all scored."""
+    monkeypatch.setattr(lm_score, "COPIES", 7)
+    rows = [(None, "a b a b c")] * 50 + [(1, "a b a b c")] * 3 + [(2, "b c d a"), (3, ""), (3, ""), (4, None)]
+    split = lm_score._grams
+
+    def grams(column, order):
+        assert len(column) <= 5
+        return split(column, order)
+
+    monkeypatch.setattr(lm_score, "_grams", grams)
+    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    corpus = [words(t) for _, t in rows]
+    c = collections.Counter(tuple(w[i:i + k]) for w in corpus for k in (1, 2) for i in range(len(w) - k + 1))
+    n, want = sum(map(len, corpus)), collections.Counter()
+    for (i, _), w in zip(rows, corpus):
+        s = 0.0
+        for p, x in enumerate(w):
+            pair = tuple(w[p - 1:p + 1]) if p else None
+            s += math.log(c[pair] / c[pair[:1]]) if pair and c[pair] >= 2 else (math.log(0.4) if p else 0) + math.log(c[(x,)] / n)
+        want[i, len(w), round(s, 4)] += 1
+    assert got == want
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
