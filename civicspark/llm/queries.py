@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from civicspark.llm import chat, decontaminate, html_text, line_dedup, lm_score, ngram_join, packing, quality, token_counts, url_rules
+from civicspark.llm import chat, decontaminate, html_text, line_dedup, lm_score, ngram_join, packing, periodic, quality, token_counts, url_rules
 from civicspark.llm.common import LOWER, UPPER
 
 
@@ -74,8 +74,13 @@ def op7_chat_formatting(spark, d):
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op13_periodic_runs(spark, d):
+    docs = periodic.plant_periods(table(spark, d, "documents").select("doc_id", "text"))
+    return periodic.run_digest(periodic.periodic_runs(docs))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing, op13_periodic_runs)}
 
 
 def _lower(text):
