@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from civicspark.llm import chat, decontaminate, html_text, line_dedup, lm_score, ngram_join, packing, periodic, quality, token_counts, url_rules
+from civicspark.llm import chat, decontaminate, hard_negatives, html_text, line_dedup, lm_score, ngram_join, packing, periodic, quality, token_counts, url_rules
 from civicspark.llm.common import LOWER, UPPER
 
 
@@ -74,13 +74,19 @@ def op7_chat_formatting(spark, d):
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op12_hard_negatives(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
 def op13_periodic_runs(spark, d):
     docs = periodic.plant_periods(table(spark, d, "documents").select("doc_id", "text"))
     return periodic.run_digest(periodic.periodic_runs(docs))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing, op12_hard_negatives, op13_periodic_runs)}
 
 
 def _lower(text):
@@ -124,5 +130,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 
 
+def _op12_sql():
+    return """WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.lab AS own, b.vec_id, b.lab, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS ps FROM s WHERE own = lab
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, ps AS positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND own <> lab AND 50 * ps <= 100 * score AND 100 * score <= 95 * ps
+QUALIFY rank <= 3"""
+
+
 def oracle_sql():
-    return {"op4_url_filters": _op4_sql(), "op6_decontamination": _op6_sql()}
+    return {"op12_hard_negatives": _op12_sql(), "op4_url_filters": _op4_sql(), "op6_decontamination": _op6_sql()}
