@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from civicspark.llm import chat, decontaminate, hard_negatives, html_text, line_dedup, lm_score, ngram_join, packing, periodic, quality, token_counts, url_rules
+from civicspark.llm import chat, decontaminate, embed_dedup, hard_negatives, html_text, line_dedup, lm_score, ngram_join, packing, periodic, quality, token_counts, url_rules
 from civicspark.llm.common import LOWER, UPPER
 
 
@@ -74,6 +74,10 @@ def op7_chat_formatting(spark, d):
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_embedding_dedup(spark, d):
+    return embed_dedup.near_duplicates(table(spark, d, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
 def op12_hard_negatives(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -86,7 +90,7 @@ def op13_periodic_runs(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing, op12_hard_negatives, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_line_dedup, op3_quality_rules, op4_url_filters, op5_token_counts, op6_decontamination, op7_chat_formatting, op8_html_extraction, op9_ngram_jaccard, op10_packing, op11_embedding_dedup, op12_hard_negatives, op13_periodic_runs)}
 
 
 def _lower(text):
