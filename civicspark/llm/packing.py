@@ -51,6 +51,7 @@ WINDOW, SENTENCE, HARD, BLOCK = 4096, 16, 256, 1 << 20
 KNOWN_BYTES, ENTRY_BYTES, LONG, SLICE_CHARS = 96 << 20, 120, 64, 1 << 20
 STOPS = (".", "!", "?", "…", "。")
 MARKS = ".,;:!?"
+PART, TOGETHER = "~", 512  # stands between words that are encoded in one call
 DOC_END = np.zeros(1, np.int64)  # the number of the end of a document
 
 
@@ -72,21 +73,23 @@ class Grown:
 
 
 class Words:
-    """Ids of words, kept in one flat array. Words of lower-case letters in
-    composed form are one pre-token, which the library's model is asked for
-    itself; with one mark behind, they are that and the mark. All other words
-    take the library's whole pipeline."""
+    """Ids of words, kept in one flat array. New words are encoded many in
+    one call, with ``PART`` between them, whose id tells them apart again
+    (white space and a sign of its own part words for the library too); words
+    that hold ``PART`` one by one. A word of letters with a mark behind is the
+    ids of its letters and the mark's."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.whole, self.end_id = Tokenizer.from_file(path), end_id
-        self.model, self.bytes = self.whole.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.signs: dict[str, str] = {}
-        self.marks = {m: self.pipeline([m])[0] for m in MARKS}
-        probes = ["a", "word", "zażółć", "straße", "éà", "abcdefghijklmnop"]
-        self.direct = all(self.letters(w) == ids for w, ids in zip(probes, self.pipeline(probes))) and all(
-            self.letters("word") + ids == both for ids, both in zip(self.marks.values(), self.pipeline([f"word{m}" for m in MARKS])))
+        signs = self.pipeline([PART, *MARKS])
+        probes = ["a", "Word", "zażółć", "3.5x", "a,b", "é", "#"]
+        alone = self.pipeline(probes)
+        self.part = signs[0][0] if len(signs[0]) == 1 and self.pipeline([f" {PART} ".join(probes)])[0] == [
+            i for k, ids in enumerate(alone) for i in (signs[0] * (k > 0) + ids)] else None
+        marked = self.pipeline([f"word{m}" for m in MARKS])
+        self.marks = {m: ids[0] for m, ids, both in zip(MARKS, signs[1:], marked) if len(ids) == 1 and both == self.pipeline(["word"])[0] + ids}
         self.reset()
 
     def reset(self):
@@ -96,48 +99,58 @@ class Words:
         self.stop = Grown(np.array([2, 1, 0], np.uint8))
 
     def pipeline(self, words: list[str]) -> list[list[int]]:
+        """Ids of each text by the library."""
         return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
 
-    def letters(self, word: str) -> list[int]:
-        if not word.isascii():
-            for c in word:
-                if c not in self.signs:
-                    self.signs[c] = self.bytes.pre_tokenize_str(c)[0][0]
-            word = "".join(map(self.signs.__getitem__, word))
-        return [t.id for t in self.model.tokenize(word)]
-
-    def made(self, words: list[str]) -> list[list[int]]:
-        out, rest, bases = [], [], {}
-        for w in words:
-            mark = self.marks.get(w[-1])
-            base = w if mark is None else w[:-1]
-            ids = bases.get(base)
-            if ids is None and self.direct and base.isalpha() and base.islower() and (base.isascii() or is_normalized("NFC", base)):
-                at = self.index.get(base) if mark is not None else None
-                if at is None:
-                    ids = self.letters(base)
-                else:
-                    a = self.start.room[at]
-                    ids = self.ids.room[a:a + self.size.room[at]].tolist()
-                bases[base] = ids
-            if ids is None:
-                out.append(None)
-                rest.append(w)
-            else:
-                out.append(ids if mark is None else ids + mark)
-        others = iter(self.pipeline(rest))
-        return [next(others) if ids is None else ids for ids in out]
-
-    def learn(self, words: list[str]):
-        made = self.made(words)
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
+    def made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, on end, of ``words``."""
+        if self.part is None:
+            made = self.pipeline(words)
+            return np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(chain.from_iterable(made), np.uint32)
+        sizes, flat = [], []
+        for a in range(0, len(words), TOGETHER):
+            some = words[a:a + TOGETHER]
+            ids = np.array(self.pipeline([f" {PART} ".join(some)])[0], np.uint32)
+            at = np.flatnonzero(ids == self.part)
+            sizes.append(np.diff(at, prepend=-1, append=len(ids)) - 1)
+            flat.append(ids[ids != self.part])
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def add(self, words: list[str], size: np.ndarray, flat: np.ndarray):
         self.index.update(zip(words, range(self.size.n, self.size.n + len(words))))
         self.start.add(self.ids.n + np.cumsum(size) - size)
         self.size.add(size)
         self.ids.add(flat)
         self.stop.add(np.fromiter((w.endswith(STOPS) for w in words), np.uint8, len(words)))
 
+    def learn(self, words: list[str]):
+        marked, plain, odd, get = [], set(), [], self.index.get
+        for w in words:
+            if w[-1] in self.marks and w[:-1].isalpha():
+                marked.append(w)
+                if get(w[:-1]) is None:
+                    plain.add(w[:-1])
+            elif PART in w:
+                odd.append(w)
+            else:
+                plain.add(w)
+        if plain:
+            plain = list(plain)
+            self.add(plain, *self.made(plain))
+        if odd:
+            made = self.pipeline(odd)
+            self.add(odd, np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(chain.from_iterable(made), np.uint32))
+        if marked:
+            base = np.fromiter((self.index[w[:-1]] for w in marked), np.int64, len(marked))
+            size = self.size.room[base]
+            ends = np.cumsum(size + 1)
+            flat = np.empty(int(ends[-1]), np.uint32)
+            inside = np.ones(len(flat), bool)
+            inside[ends - 1] = False
+            flat[ends - 1] = np.fromiter((self.marks[w[-1]] for w in marked), np.uint32, len(marked))
+            flat[inside] = self.ids.room[np.repeat(self.start.room[base] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            self.add(marked, size + 1, flat)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts on end, the ends of texts, and the ends of
         sentences and lines (positions after an id)."""
@@ -150,11 +163,13 @@ class Words:
         short = [w for w in new if len(w) <= LONG]
         before = self.ids.n
         if short:
+            had = self.size.n
             self.learn(short)
-            self.held += ENTRY_BYTES * len(short) + sum(map(len, short)) + 4 * (self.ids.n - before)
+            self.held += ENTRY_BYTES * (self.size.n - had) + sum(map(len, short)) + 4 * (self.ids.n - before)
         kept, once = (self.size.n, self.ids.n), [w for w in new if len(w) > LONG] if len(short) < len(new) else []
         if once:
-            self.learn(once)
+            made = self.pipeline(once)
+            self.add(once, np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(chain.from_iterable(made), np.uint32))
         for k, p, at in zip(keys, parts, unknown):
             if at:
                 k[at] = [self.index[p[i]] for i in at]
