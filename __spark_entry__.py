@@ -10,10 +10,12 @@ sides. ``surrogate_id`` answers with counts (a hash has no DuckDB twin).
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import consolidation_queries as CQ
 import standins as S
 from civicspark.functions import text as TX
 from civicspark.functions import urls as U
@@ -914,6 +916,9 @@ SELECT i.url, i.event_id, i.user_id, i.event_type, i.value, i.props_k, i.part,
 FROM ev_items i JOIN (SELECT DISTINCT url, topic, municipio, prefeitura, ano, mes FROM ev_plan) p ON i.url = p.url"""
 _SQL["retry_queue_rewrite"] = """SELECT url, 'HTTPError' AS error_type, '503 Server Error' AS message FROM pages WHERE page_id % 3 <> 0"""
 
+_QUERIES.update(CQ.queries())
+_SQL.update(CQ.oracle_sql(SimpleNamespace(**globals())))
+
 
 # --------------------------------------------------------------------------
 # contract

@@ -81,9 +81,9 @@ def query_params(query) -> Column:
     parts = F.filter(F.split(_c(query), "&"), lambda p: F.instr(p, "=") > 0)
     kv = F.transform(
         parts,
-        lambda p: F.struct(
-            F.substring_index(p, "=", 1).alias("key"),
-            F.split(p, "=", 2).getItem(1).alias("value"),
+        lambda p: F.named_struct(  # named by literals: aliases inside are lost beside a generator
+            F.lit("key"), F.substring_index(p, "=", 1),
+            F.lit("value"), F.split(p, "=", 2).getItem(1),
         ),
     )
     rev = F.reverse(kv)

@@ -122,3 +122,42 @@ def portal_coverage(plan: DataFrame, loaded: DataFrame, cell_keys: list[str],
     zero = F.lit(0).cast("long")
     return agg.unionByName(bare.select("*", zero.alias("planned_cells"), zero.alias("filled_cells"), F.lit(0.0).alias("coverage")),
                            allowMissingColumns=True)
+
+
+def robust_outliers(items: DataFrame, item: str, period: list[str], price: str, k: float = 5.2,
+                    out: str = "median_price", spread: str = "mad_price") -> DataFrame:
+    """T2, robust: rows whose ``price`` lies more than ``k`` median absolute
+    deviations from the median of the same item and period (5.2 deviations
+    are about 3.5 standard deviations of a normal sample). The deviations are
+    values of a second distributed selection, over the first one's result;
+    both are exact and gather no group. A group whose deviation is 0 (half of
+    it has one price) gives no verdict."""
+    keys = [item, *period]
+    placed = items.join(group_median(items, keys, price, out), keys).withColumn("deviation", F.abs(F.col(price) - F.col(out)))
+    spreads = group_median(placed, keys, "deviation", spread)
+    return placed.join(spreads, keys).filter((F.col(spread) > 0) & (F.col("deviation") > F.lit(k) * F.col(spread)))
+
+
+def coverage_timeline(plan: DataFrame, loaded: DataFrame, group: tuple[str, ...] = ("topic", "municipio", "prefeitura"),
+                      ano: str = "ano", mes: str = "mes") -> DataFrame:
+    """T3 over time, per ``group`` of the plan: loaded months and the runs
+    they form, the longest gap (before the first and after the last loaded
+    month too), staleness (months of the plan after the last loaded one) and
+    the first calendar year with all twelve months. Loaded rows become
+    distinct months map side; one sorted pass over a group's months follows.
+    Months outside the group's plan do not count; a group without a loaded
+    month is one gap."""
+    number = (F.col(ano) * 12 + F.col(mes) - 1).alias("__i")
+    bounds = plan.groupBy(*group).agg(F.min(number).alias("__a"), F.max(number).alias("__b"))
+    months = loaded.select(*group, number).distinct().join(bounds, list(group)).filter((F.col("__i") >= F.col("__a")) & (F.col("__i") <= F.col("__b")))
+    w = Window.partitionBy(*group).orderBy("__i")
+    seen = months.select(*group, "__i", "__a", F.lag("__i").over(w).alias("__prev"), F.lag("__i", 11).over(w).alias("__back"))
+    gap = F.col("__i") - F.coalesce("__prev", F.col("__a") - 1) - 1
+    full = (F.col("__i") % 12 == 11) & (F.col("__i") - F.col("__back") == 11)
+    stats = seen.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_months"), F.count_if(F.col("__prev").isNull() | (gap > 0)).alias("n_runs"), F.max(gap).alias("__gap"),
+        F.max("__i").alias("__last"), F.min(F.when(full, F.floor(F.col("__i") / 12))).cast("int").alias("first_full_year"))
+    out = bounds.join(stats, list(group), "left")
+    tail = F.col("__b") - F.coalesce("__last", F.col("__a") - 1)
+    return out.select(*group, F.coalesce("n_months", F.lit(0)).alias("n_months"), F.coalesce("n_runs", F.lit(0)).alias("n_runs"),
+                      F.greatest(F.coalesce("__gap", F.lit(0)), tail).alias("longest_gap"), tail.alias("staleness"), "first_full_year")

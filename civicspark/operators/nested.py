@@ -91,34 +91,43 @@ def _parsed(body="body") -> Column:
 
 
 def infer_payload(responses: DataFrame, body: str = "body") -> tuple[str | None, bool]:
-    """One aggregate pass: the merged element type (DDL) of array-wrapped
-    bodies - None when no body holds objects - and whether any body is a
-    plain JSON value. Only this one row reaches the driver.
+    """:func:`infer_payloads` over all responses together."""
+    return infer_payloads(responses, body).get(None, (None, False))
+
+
+def infer_payloads(responses: DataFrame, body: str = "body", by: str | None = None) -> dict:
+    """One aggregate pass: for each value of ``by`` (``None``: all responses
+    together) the merged element type (DDL) of array-wrapped bodies - None
+    when no body holds objects - and whether any body is a plain JSON value.
+    Only one row a group reaches the driver.
 
     Lists of plain values give no rows (D10) and must not blur the merged
     object type into VARIANT: bodies whose text opens a list with an object
-    feed the schema (a cheap text test); only if some list still mixes
-    objects with other values is the exact per-row schema test used."""
+    feed the schema (a cheap text test); only for groups where some list
+    still mixes objects with other values is the exact per-row schema test
+    used."""
     shape = body_shape(body)
     v = _parsed(body)
     b = clean_body(body)
     opens_objects = (shape == "object") | b.rlike(r"^\[\s*\{")
+    group = F.lit(None).cast("string") if by is None else F.col(by)
 
-    def run(feed):
-        row = responses.agg(
+    def run(rows, feed):
+        return {r["g"]: (r["s"], bool(r["has_scalar"])) for r in rows.groupBy(*([] if by is None else [group.alias("g")])).agg(
+            *([group.alias("g")] if by is None else []),
             F.schema_of_variant_agg(F.when(feed, v)).alias("s"),
-            F.max(F.when(shape == "scalar", v.isNotNull())).alias("has_scalar"),
-        ).first()
-        return (row["s"] if row is not None else None), bool(row is not None and row["has_scalar"])
+            F.max(F.when(shape == "scalar", v.isNotNull())).alias("has_scalar")).collect()}
+
+    def objects(schema):
+        return schema is not None and schema.startswith("ARRAY<OBJECT<")
 
-    schema, has_scalar = run(opens_objects)
-    if schema is not None and not schema.startswith("ARRAY<OBJECT<"):
+    found = run(responses, opens_objects)
+    mixed = [g for g, (schema, _) in found.items() if schema is not None and not objects(schema)]
+    if mixed:
         exact = (shape != "scalar") & F.schema_of_variant(v).startswith("ARRAY<OBJECT<")
-        schema, has_scalar = run(exact)
-    ddl = None
-    if schema is not None and schema.startswith("ARRAY<OBJECT<"):
-        ddl = variant_schema_to_ddl(schema)[len("ARRAY<"):-1]
-    return ddl, has_scalar
+        found |= run(responses if by is None else responses.filter(group.isin(mixed)), exact)
+    return {g: (variant_schema_to_ddl(schema)[len("ARRAY<"):-1] if objects(schema) else None, has_scalar)
+            for g, (schema, has_scalar) in found.items()}
 
 
 def infer_rows_schema(responses: DataFrame, body: str = "body") -> str | None:
@@ -148,6 +157,11 @@ def _first_present(cols: list[tuple[Column, T.DataType]]) -> Column:
     return F.coalesce(*[c for c, _ in cols])
 
 
+def _no_rows(responses: DataFrame, keep: list[str], pos: str) -> DataFrame:
+    schema = T.StructType([T.StructField(c, responses.schema[c].dataType) for c in keep] + [T.StructField(pos, T.IntegerType())])
+    return responses.sparkSession.createDataFrame([], schema)
+
+
 def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None = None,
               element_ddl: str | None = None, pos: str = "pos") -> DataFrame:
     """Every object of a list (or a single object) becomes one row;
@@ -162,9 +176,7 @@ def json_rows(responses: DataFrame, body: str = "body", keep: list[str] | None =
     keep = list(keep if keep is not None else [c for c in responses.columns if c != body])
     element_ddl = element_ddl or infer_rows_schema(responses, body)
     if element_ddl is None:
-        schema = T.StructType([T.StructField(c, responses.schema[c].dataType) for c in keep]
-                              + [T.StructField(pos, T.IntegerType())])
-        return responses.sparkSession.createDataFrame([], schema)
+        return _no_rows(responses, keep, pos)
     items = F.from_json(as_array_text(body), f"ARRAY<{element_ddl}>")
     parsed = responses.filter(body_shape(body) != "scalar").select(*keep, items.alias("__items"))
     element = _told_apart(parsed.schema["__items"].dataType.elementType)
@@ -200,31 +212,85 @@ def _fields(dtype: T.StructType):
     return [(f.name, f.dataType) for f in dtype.fields]
 
 
+def _object_arrays(df: DataFrame, sep: str = "_") -> list[tuple[str, Column, T.ArrayType]]:
+    """(path, column, type) of every array of objects that lies in no other array."""
+    found = []
+
+    def find(c, dtype, path):
+        if isinstance(dtype, T.StructType):
+            for name, sub in _fields(dtype):
+                find(c.getField(name), sub, path + [name])
+        elif isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+            found.append((sep.join(path), c, dtype))
+
+    for f in df.schema.fields:
+        find(F.col(f"`{f.name}`"), f.dataType, [f.name])
+    return found
+
+
+def indexed_values(df: DataFrame, keep: list[str], sep: str = "_", from_index: dict[str, int] | None = None) -> DataFrame:
+    """J3 in long form: one row for each field of each object of each array of
+    objects - (keep, path, idx, field, value as text; deeper objects by their
+    joined names, deeper arrays as JSON text). The width of the table does not
+    depend on the longest list. ``from_index``: per path the first index that
+    is wanted."""
+    def leaves(x: Column, dtype: T.StructType, prefix: str) -> list[Column]:
+        out = []
+        for name, sub in _fields(dtype):
+            if isinstance(sub, T.StructType):
+                out += leaves(x.getField(name), sub, f"{prefix}{name}{sep}")
+            else:
+                out.append(F.struct(F.lit(prefix + name).alias("field"), json_text(x.getField(name), sub).cast("string").alias("value")))
+        return out
+
+    per_path = []
+    for path, c, dtype in _object_arrays(df, sep):
+        first = (from_index or {}).get(path, 0)
+        tail = F.slice(c, first + 1, F.greatest(F.size(c) - first, F.lit(0))) if first else c
+        per_path.append(F.flatten(F.transform(F.coalesce(tail, F.array().cast(dtype)), lambda x, i: F.transform(
+            F.array(*leaves(x, dtype.elementType, "")), lambda v: F.struct(F.lit(path).alias("path"), (i + first).alias("idx"), v["field"].alias("field"), v["value"].alias("value"))))))
+    entries = F.concat(*per_path) if per_path else F.array().cast("array<struct<path:string,idx:int,field:string,value:string>>")
+    return df.select(*keep, F.explode(entries).alias("__e")).select(*keep, "__e.path", "__e.idx", "__e.field", "__e.value")
+
+
+def array_widths(df: DataFrame, quantile: float = 0.99, sep: str = "_") -> dict[str, int]:
+    """For each array of objects the ``quantile`` of its lengths, from one
+    mergeable sketch a path (KLL; one row reaches the driver). An array that
+    is NULL has no length."""
+    paths = _object_arrays(df, sep)
+    if not paths:
+        return {}
+    size = lambda c: F.when(c.isNotNull(), F.size(c).cast("long"))
+    row = df.agg(*[F.kll_sketch_agg_bigint(size(c)).alias(f"s{i}") for i, (_, c, _) in enumerate(paths)],
+                 *[F.count(size(c)).alias(f"n{i}") for i, (_, c, _) in enumerate(paths)])
+    row = row.select(*[F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_bigint(f"s{i}", F.lit(quantile))).alias(f"w{i}") for i in range(len(paths))]).first()
+    return {path: int(row[f"w{i}"] or 0) for i, (path, _, _) in enumerate(paths)}
+
+
+def pivot_indexed(df: DataFrame, keep: list[str], quantile: float = 0.99, sep: str = "_") -> tuple[DataFrame, DataFrame]:
+    """J3 with a bounded width: (the flat table with as many indexed columns
+    a list as ``quantile`` of the lists need, the entries beyond in long
+    form). One list of many entries lengthens the second and leaves the plan
+    of the first as it is."""
+    widths = array_widths(df, quantile, sep)
+    return flatten_struct(df, sep, index_arrays=True, index_widths=widths), indexed_values(df, keep, sep, from_index=widths)
+
+
 def flatten_struct(df: DataFrame, sep: str = "_", index_arrays: bool = False,
-                   max_index_width: int | None = None) -> DataFrame:
+                   max_index_width: int | None = None, index_widths: dict[str, int] | None = None) -> DataFrame:
     """Nested objects -> ``a_b_c`` columns. Arrays of objects
     become indexed columns ``key_0_sub``, ``key_1_sub``... when
     ``index_arrays`` (width = largest array, measured by one aggregate row);
     beyond ``max_index_width`` the remaining elements stay whole, as JSON
-    text in ``key_rest``. Other arrays become JSON text (empty -> NULL).
+    text in ``key_rest``; ``index_widths`` gives the widths without measuring,
+    and elements beyond are left to :func:`indexed_values`. Other arrays become JSON text (empty -> NULL).
     On a name clash the first column wins."""
-    widths: dict[str, int] = {}
-    if index_arrays:
-        paths = []
-
-        def find(prefix_col, dtype, path):
-            if isinstance(dtype, T.StructType):
-                for name, sub in _fields(dtype):
-                    find(prefix_col.getField(name), sub, path + [name])
-            elif isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
-                paths.append((sep.join(path), prefix_col))
-
-        for f in df.schema.fields:
-            find(F.col(f"`{f.name}`"), f.dataType, [f.name])
+    widths = dict(index_widths or {})
+    if index_arrays and index_widths is None:
+        paths = _object_arrays(df, sep)
         if paths:
-            row = df.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(f"w{i}")
-                           for i, (_, c) in enumerate(paths)]).first()
-            widths = {name: int(row[f"w{i}"]) for i, (name, _) in enumerate(paths)}
+            row = df.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(f"w{i}") for i, (_, c, _) in enumerate(paths)]).first()
+            widths = {name: int(row[f"w{i}"]) for i, (name, _, _) in enumerate(paths)}
 
     found: dict[str, tuple[str, list]] = {}
 
@@ -277,14 +343,16 @@ def zip_columns_to_rows(df: DataFrame, col: str, keep: list[str],
 
 
 def unpack_columnar(responses: DataFrame, body: str = "body", uneven: str = "uneven") -> DataFrame:
-    """J5 on raw bodies: an object whose values are all lists becomes the
-    text of a list of objects, one per index; other bodies stay. ``uneven``
-    is true, and the body NULL, where the lists differ in length."""
+    """J5 on raw bodies: an object whose values are all lists of plain values
+    becomes the text of a list of objects, one per index; other bodies stay
+    (an object of lists of objects is one row, J3). ``uneven`` is true, and
+    the body NULL, where the lists differ in length."""
     b = clean_body(body)
     first_is_list = b.rlike(r'^\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\[')
     parsed = responses.withColumn("__lists", F.when(first_is_list, F.from_json(b, "map<string,array<variant>>")))
     names, lists = F.map_keys("__lists"), F.map_values("__lists")
-    columnar = (F.coalesce(F.size("__lists") > 0, F.lit(False)) & F.forall(lists, lambda x: x.isNotNull())
+    plain = F.forall(lists, lambda x: x.isNotNull() & ~F.exists(x, lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))))
+    columnar = (F.coalesce(F.size("__lists") > 0, F.lit(False)) & plain
                 & (F.size(F.array_distinct(names)) == F.size(names)))
     sizes = F.transform(lists, lambda x: F.size(x))
     last = F.array_max(sizes)
@@ -302,12 +370,15 @@ def payload_errors(landing: DataFrame, body: str = "body", keep: list[str] | Non
             .select(*keep, F.lit(ZIP_LENGTH_ERROR).alias("error")))
 
 
-def payload_table(ok: DataFrame, body: str, keep: list[str], index_arrays: bool = False, pos: str = "pos") -> DataFrame:
+def payload_table(ok: DataFrame, body: str, keep: list[str], index_arrays: bool = False, pos: str = "pos",
+                  inferred: tuple[str | None, bool] | None = None) -> DataFrame:
     """Flat rows of bodies that were fetched and unpacked: objects (J1/J6,
     J2-J4) and plain values in ``valor`` (J7); a ``valor`` of both kinds with
-    different types is text."""
-    ddl, has_scalar = infer_payload(ok, body)
-    rows = flatten_struct(json_rows(ok, body=body, keep=keep, element_ddl=ddl, pos=pos), index_arrays=index_arrays)
+    different types is text. ``inferred``: what :func:`infer_payload` says
+    of them, where it is known."""
+    ddl, has_scalar = inferred or infer_payload(ok, body)
+    found = json_rows(ok, body=body, keep=keep, element_ddl=ddl, pos=pos) if ddl else _no_rows(ok, keep, pos)
+    rows = flatten_struct(found, index_arrays=index_arrays)
     if not has_scalar:
         return rows
     name = next((c for c in rows.columns if c.lower() == "valor"), "valor")

@@ -13,7 +13,7 @@ uses a cross join. AQE picks the joins from measured sizes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.errors import EmptySelection
@@ -135,3 +135,49 @@ def resume_years(marks: DataFrame, catalog: DataFrame, topics: DataFrame, last_y
         vendor_col, "ano",
         template_url(F.col("url"), F.col(topic_col), F.col(template_col), unit, F.col("ano")).alias("url"),
     )
+
+
+def pending_ranges(pending: DataFrame, by: tuple[str, ...] = ("topic", "municipio", "prefeitura"),
+                   ano: str = "ano", mes: str | None = "mes") -> DataFrame:
+    """K1 in short form: runs of consecutive missing periods per ``by`` (gaps
+    and islands: a period's number less its rank is one value a run). A group
+    has one row a period, so a window holds months, not table rows. Repeated
+    cells count once."""
+    number = F.col(ano) * 12 + F.col(mes) - 1 if mes else F.col(ano)
+    cells = pending.select(*by, number.alias("__i")).distinct()
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__i"))
+    runs = cells.withColumn("__run", F.col("__i") - place).groupBy(*by, "__run").agg(
+        F.min("__i").alias("__a"), F.max("__i").alias("__b"), F.count(F.lit(1)).alias("n_periods"))
+    if not mes:
+        return runs.select(*by, F.col("__a").alias("first_ano"), F.col("__b").alias("last_ano"), "n_periods")
+
+    def year(c):
+        return F.floor(F.col(c) / 12).cast("int")
+
+    def month(c):
+        return (F.col(c) % 12 + 1).cast("int")
+
+    return runs.select(*by, year("__a").alias("first_ano"), month("__a").alias("first_mes"), year("__b").alias("last_ano"), month("__b").alias("last_mes"), "n_periods")
+
+
+def expand_ranges(ranges: DataFrame, by: tuple[str, ...] = ("topic", "municipio", "prefeitura"), monthly: bool = True) -> DataFrame:
+    """The cells of :func:`pending_ranges`, one row a period."""
+    if not monthly:
+        return ranges.select(*by, F.explode(F.sequence("first_ano", "last_ano")).alias("ano"))
+    first, last = F.col("first_ano") * 12 + F.col("first_mes") - 1, F.col("last_ano") * 12 + F.col("last_mes") - 1
+    cells = ranges.select(*by, F.explode(F.sequence(first, last)).alias("__i"))
+    return cells.select(*by, F.floor(F.col("__i") / 12).cast("int").alias("ano"), (F.col("__i") % 12 + 1).cast("int").alias("mes"))
+
+
+def resume_by_municipality(ledger: DataFrame, plan: DataFrame, keys=MONTH_CELL) -> DataFrame:
+    """I2 per municipality: the cells of ``plan`` from the last loaded period
+    of their own (topic, municipality) on, loaded ones left out; a
+    municipality without a loaded row of the topic keeps all its cells. (The
+    mark of a topic over all municipalities, as in :func:`resume_plan`, skips
+    the older gaps of those that are behind.)"""
+    period = [k for k in keys if k in ("ano", "mes")]
+    group = [k for k in keys if k not in period]
+    marks = high_water_mark(ledger, group, "ano", "mes" if "mes" in period else None)
+    marks = marks.select(*group, F.struct(*[F.col(p) for p in period]).alias("__mark"))
+    ahead = plan.join(marks, group, "left").filter(F.col("__mark").isNull() | (F.struct(*[F.col(p) for p in period]) >= F.col("__mark"))).drop("__mark")
+    return pending_cells(ahead, ledger, keys)

@@ -26,6 +26,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file (a schema, a mark), written by the driver; it
+    replaces an older one whole."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def list_tables(spark: SparkSession, root: str) -> list[str]:
     """Table folders under ``root`` (hidden and staging folders excluded)."""
     fs, p = _fs(spark, root)

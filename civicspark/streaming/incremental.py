@@ -2,11 +2,13 @@
 
 The landing folder receives response files from any fetcher. A stream
 over it (``trigger(availableNow=True)``) processes only files it has not
-seen (the checkpoint records them) and, per micro-batch: classifies the
-responses, stamps the good ones with their plan cell, leaves out responses
-loaded before, parses and flattens, and writes.
+seen (the checkpoint records them): the stream classifies the responses,
+stamps them with their plan cell and leaves out those seen before
+(:func:`unseen`); each micro-batch is parsed, flattened and written.
 
-A response is known by its URL and the SHA-256 of its body. Which cells are
+A response is known by its URL and the SHA-256 of its body. What was seen is
+keyed state of the checkpoint, dealt over its partitions and looked up only
+for the keys of a batch; no batch reads what earlier ones wrote. Which cells are
 already loaded is a question for planning (``pending_cells``), never for the
 load: a cell whose responses lie in several files or micro-batches is loaded
 whole, so the rows do not depend on the layout of the files.
@@ -19,7 +21,6 @@ the micro-batch overwrites (a batch never looks at its own folders):
   opens the next version, and reading casts all versions to the last.
 * ``schema``: the schemas of all versions after the batch, so that neither a
   batch nor a reader opens file footers to learn them.
-* ``ledger``: one row per loaded response (url, body_sha).
 * ``errors``: one row per response without rows: HTTP errors, blank and
   malformed bodies, URLs outside the plan, lists of different lengths.
 
@@ -37,50 +38,54 @@ from pyspark.sql import types as T
 from civicspark.operators.nested import OK, ZIP_LENGTH_ERROR, clean_body, classify_responses, payload_table, unpack_columnar
 from civicspark.operators.schema import cells_by_url
 from civicspark.plans.extraction import MONTH_CELL
-from civicspark.sources.tables import list_tables, path_exists
+from civicspark.sources.tables import list_tables, path_exists, read_note, write_note
 
 LANDING_SCHEMA = "url STRING, status INT, body STRING, fetched_at TIMESTAMP_NTZ"
-LEDGER_SCHEMA = "url STRING, body_sha STRING, batch_id LONG"
+SCHEMA_FILE = "versions.json"
 ERROR_SCHEMA = "fetched_at TIMESTAMP_NTZ, url STRING, error_type STRING, message STRING, batch_id LONG"
 
 
+def unseen(responses: DataFrame, cells: DataFrame, keys=MONTH_CELL, known_by: tuple[str, ...] = ("url", "body_sha")) -> DataFrame:
+    """``responses`` (a stream or a table) with ``response_class``,
+    ``body_sha``, the stamps ``keys`` of their plan cell (``cells``: one row
+    per URL) and ``__good`` (well formed and planned). A good response comes
+    once for each ``known_by``, over the whole life of a stream's checkpoint; another
+    one, to be logged, once for each status and time."""
+    tagged = classify_responses(responses).withColumn("body_sha", F.sha2(F.coalesce("body", F.lit("")), 256))
+    tagged = tagged.join(cells.select("url", *keys, F.lit(True).alias("__planned")), "url", "left")
+    good = (F.col("response_class") == OK) & F.coalesce("__planned", F.lit(False))
+    logged = F.when(~F.col("__good"), F.concat_ws("|", F.col("status").cast("string"), F.col("fetched_at").cast("string")))
+    return (tagged.withColumn("__good", good).withColumn("__logged", logged)
+            .dropDuplicates([*known_by, "__logged"]).drop("__logged", "__planned"))
+
+
+def error_rows(responses: DataFrame, uneven: DataFrame) -> DataFrame:
+    """The responses that give no rows, with the reason."""
+    malformed = F.col("response_class") != OK
+    bad = responses.filter("NOT __good").select(
+        "fetched_at", "url", F.when(malformed, F.col("response_class")).otherwise("unplanned").alias("error_type"),
+        F.concat_ws(" ", F.lit("status"), F.col("status").cast("string")).alias("message"))
+    return bad.unionByName(uneven.select("fetched_at", "url", F.lit("uneven").alias("error_type"), F.lit(ZIP_LENGTH_ERROR).alias("message")))
+
+
 def process_batch(batch: DataFrame, plan: DataFrame, target: str, epoch: int,
                   keys=MONTH_CELL, partition_by: tuple[str, ...] = ("ano",)) -> None:
-    """One micro-batch: F2 -> C10 (stamps) -> guard per response -> J5, J1/J2,
-    J7 -> C6, S7, S10. ``plan``: (url, *keys), one row per URL."""
+    """One micro-batch, tagged by :func:`unseen` (a table of plain responses
+    is tagged here): J5, J1/J2, J7 -> C6, S7, S10. ``plan``: (url, *keys), one
+    row per URL."""
     spark, root = batch.sparkSession, target.rstrip("/")
-    known = plan.select("url", *keys, F.lit(True).alias("__planned"))
-    responses = (classify_responses(batch).withColumn("body_sha", F.sha2(F.coalesce("body", F.lit("")), 256))
-                 .join(known, "url", "left"))
-    good = responses.filter((F.col("response_class") == OK) & F.col("__planned"))
-    new = good.dropDuplicates(["url", "body_sha"])
-    earlier = ledger(spark, root)
-    if earlier is not None:
-        new = new.join(earlier.filter(F.col("batch_id") != epoch), ["url", "body_sha"], "left_anti")
-    new = unpack_columnar(new.withColumn("body", clean_body("body")), "body", "__uneven").persist()
+    responses = (batch if "__good" in batch.columns else unseen(batch, plan, keys)).persist()
     try:
+        new = unpack_columnar(responses.filter("__good").withColumn("body", clean_body("body")), "body", "__uneven")
         rows = payload_table(new.filter("NOT __uneven"), "body", ["url", *keys], pos="__pos").drop("__pos")
         versions = stored_versions(spark, root, before=epoch)
         rows, versions = conform(rows, versions)
         (rows.write.mode("overwrite").partitionBy(*partition_by)
          .parquet(f"{root}/rows/version={len(versions) - 1}/batch_id={epoch}"))
-        bad = responses.filter((F.col("response_class") != OK) | F.col("__planned").isNull()).select(
-            "fetched_at", "url",
-            F.when(F.col("response_class") != OK, F.col("response_class")).otherwise("unplanned").alias("error_type"),
-            F.concat_ws(" ", F.lit("status"), F.col("status").cast("string")).alias("message"))
-        uneven = new.filter("__uneven").select("fetched_at", "url", F.lit("uneven").alias("error_type"), F.lit(ZIP_LENGTH_ERROR).alias("message"))
-        bad.unionByName(uneven).write.mode("overwrite").parquet(f"{root}/errors/batch_id={epoch}")
-        text = json.dumps([v.json() for v in versions])
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/schema/batch_id={epoch}")
-        new.select("url", "body_sha").write.mode("overwrite").parquet(f"{root}/ledger/batch_id={epoch}")
+        error_rows(responses, new.filter("__uneven")).write.mode("overwrite").parquet(f"{root}/errors/batch_id={epoch}")
+        store_versions(spark, root, epoch, versions)
     finally:
-        new.unpersist()
-
-
-def ledger(spark: SparkSession, target: str) -> DataFrame | None:
-    """(url, body_sha, batch_id) of every loaded response; None before the first batch."""
-    path = f"{target.rstrip('/')}/ledger"
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path) if path_exists(spark, path) else None
+        responses.unpersist()
 
 
 def read_errors(spark: SparkSession, target: str) -> DataFrame:
@@ -97,10 +102,14 @@ def stored_versions(spark: SparkSession, target: str, before: int | None = None)
     done = [n for n in done if before is None or n < before]
     if not done:
         return []
-    text = spark.read.text(f"{path}/batch_id={max(done)}").first()[0]
+    text = read_note(spark, f"{path}/batch_id={max(done)}/{SCHEMA_FILE}")
     return [T.StructType.fromJson(json.loads(v)) for v in json.loads(text)]
 
 
+def store_versions(spark: SparkSession, target: str, epoch: int, versions: list[T.StructType]) -> None:
+    write_note(spark, f"{target.rstrip('/')}/schema/batch_id={epoch}/{SCHEMA_FILE}", json.dumps([v.json() for v in versions]))
+
+
 def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
     if a == b:
         return a
@@ -140,7 +149,7 @@ def incremental_load(spark: SparkSession, landing: str, plan: DataFrame, target:
     stream = reader.parquet(landing)
     cells = cells_by_url(plan, "url", tuple(keys)).persist()  # catalog-sized, reused by every batch
     try:
-        query = (stream.writeStream
+        query = (unseen(stream, cells, keys).writeStream
                  .foreachBatch(lambda df, epoch: process_batch(df, cells, target, epoch, keys))
                  .option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True)

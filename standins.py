@@ -382,3 +382,77 @@ def int_embeddings(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select("vec_id", "label",
                     F.expr("transform(embedding, x -> cast(floor(cast(x AS double) * 1000) AS int))").alias("embedding"))
+
+
+# --- responses of several topics and fetch runs --------------------------------
+
+#: Bodies whose field ``valor`` has another type in each topic: number, text,
+#: object, whole and broken numbers mixed, number beside a second object.
+TOPIC_BODY = ("CASE event_type WHEN 'click' THEN concat('{\"valor\":', event_id, '}') "
+              "WHEN 'error' THEN concat('{\"valor\":\"e', event_id, '\"}') "
+              "WHEN 'purchase' THEN concat('{\"id\":', user_id, ',\"valor\":{\"a\":', event_id, '}}') "
+              "WHEN 'signup' THEN concat('{\"valor\":', event_id % 1000, CASE WHEN event_id % 2 = 0 THEN '' ELSE '.5' END, '}') "
+              "ELSE concat('[{\"valor\":', event_id, '},{\"extra\":\"x', user_id, '\"}]') END")
+
+
+def topic_landing(spark, d) -> DataFrame:
+    """One response per event as in :func:`event_landing`, with a fetch run:
+    run 2 where ``event_id % 4 = 3`` and ``user_id % 3 = 0`` in municipalities
+    0 to 7 (its bodies replace their cell's), else 1; cells of municipality 6 come back without
+    rows in run 2; status 500 on ``event_id % 11``, blank on ``% 13``."""
+    late = "(event_id % 4 = 3 AND user_id % 3 = 0 AND user_id % 25 < 8)"
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("event_id").alias("response_id"))
+    return event_landing(spark, d).select("response_id", "url", "status", "fetched_at").join(e, "response_id").select(
+        "event_id", "url", "status", "fetched_at", F.expr(f"CASE WHEN {late} THEN 2L ELSE 1L END").alias("run_id"),
+        F.expr(f"CASE WHEN event_id % 13 = 0 THEN '   ' WHEN {late} AND user_id % 25 = 6 THEN '[]' ELSE {TOPIC_BODY} END").alias("body"))
+
+
+# --- failed requests of the yearly vendor ---------------------------------------
+
+#: The host lies on a portal of its own for each page in four; without
+#: parameters on ``% 10 = 9``, without an api part on ``% 10 = 8``, with a
+#: doubled slash on ``% 4 = 2``.
+REQUEST = (f"concat({URL_SCHEME}, '://', {URL_HOST}, CASE WHEN page_id % 10 = 8 THEN '/v1/' WHEN page_id % 4 = 2 THEN '//api/' ELSE '/api/' END, "
+           "'topic', page_id % 7, CASE WHEN page_id % 10 = 9 THEN '' ELSE concat('?unidadeGestoraId=', 1 + page_id % 3, '&exercicio=', "
+           "2015 + page_id % 9, '&pagina=', page_id) END)")
+
+
+def pages_requests(spark, d) -> DataFrame:
+    """The retry queue: one failed request per page."""
+    return table(spark, d, "pages").select("page_id", F.expr(REQUEST).alias("url"))
+
+
+def pages_unit_catalog(spark, d) -> DataFrame:
+    """Portals of pages with even ``page_id``, each with units 1 and 2."""
+    p = table(spark, d, "pages").filter("page_id % 2 = 0")
+    hosts = p.groupBy(F.expr(f"concat({URL_SCHEME}, '://', {URL_HOST})").alias("base")).agg(F.min("page_id").alias("first"))
+    return hosts.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("unidadegestora"), "base", "first").select(
+        (F.col("first") * 10 + F.col("unidadegestora")).alias("id"), F.concat("base", F.lit("/")).alias("url"),
+        F.concat(F.lit("m-"), "base").alias("municipio"), F.concat(F.lit("P "), "base").alias("prefeitura"), "unidadegestora")
+
+
+def pages_retry_responses(spark, d) -> DataFrame:
+    """What the fetcher brought: nothing on ``page_id % 11 = 0``, status 503
+    on ``% 3 = 1``, a blank body on ``% 9 = 2``, broken JSON on ``% 9 = 5``."""
+    body = "CASE page_id % 9 WHEN 2 THEN '  ' WHEN 5 THEN '{\"page' ELSE concat('[{\"page_id\":', page_id, ',\"nota\":\"x', page_id % 4, '\"}]') END"
+    return table(spark, d, "pages").filter("page_id % 11 <> 0").select(
+        F.expr(REQUEST).alias("url"), F.expr("CASE WHEN page_id % 3 = 1 THEN 503 ELSE 200 END").alias("status"), F.expr(body).alias("body"),
+        F.lit(None).cast("timestamp_ntz").alias("fetched_at"))
+
+
+def object_lists(spark, d) -> DataFrame:
+    """Bodies that are an object of lists of objects: two lists, of which the
+    second is empty on even keys, or one list on every third key."""
+    body = ("CASE WHEN o_orderkey % 3 = 0 THEN concat('{\"itens\":[{\"q\":', o_orderkey, '},{\"q\":', o_orderkey + 1, '}]}') "
+            "ELSE concat('{\"contratos\":[{\"v\":', o_orderkey, '}', CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat(',{\"v\":', o_orderkey + 1, '}') END, "
+            "'],\"aditivos\":[', CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('{\"w\":', o_orderkey + 2, '}') END, ']}') END")
+    return table(spark, d, "orders").select("o_orderkey", F.lit(200).alias("status"), F.expr(body).alias("body"))
+
+
+def heavy_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers, a third of either on key 99, a seventh on
+    NULL; the suppliers' other keys 10 higher."""
+    key = "CASE WHEN {k} % 3 = 0 THEN 99 WHEN {k} % 7 = 0 THEN NULL ELSE {n} END"
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.expr(key.format(k="c_custkey", n="c_nationkey")).alias("nationkey"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.expr(key.format(k="s_suppkey", n="s_nationkey + 10")).alias("nationkey"))
+    return c, s
