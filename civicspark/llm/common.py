@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_here = threading.local()
+
+
+def _written() -> list[str]:
+    """Paths of the scratch tables this thread has written."""
+    if not hasattr(_here, "paths"):
+        _here.paths = []
+    return _here.paths
+
+
+def scratch_mark() -> int:
+    """A point in this thread's scratch tables, for :func:`taken`."""
+    return len(_written())
+
+
+def taken(since: int) -> list[str]:
+    """Paths of the scratch tables this thread has written after the mark;
+    they are the caller's from now on."""
+    paths = _written()
+    out, paths[since:] = paths[since:], []
+    return out
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables. Frames that still read them fail."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Internal column names that ``df`` does not use (names compare without
     case in Spark)."""

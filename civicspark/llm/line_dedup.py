@@ -152,7 +152,9 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, shingle: int,
         return pairs
     want = places.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 40), "node", "left_semi")
     want = want.groupBy(F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("lines"))
-    want = small(materialize(want, "wanted"), 256)
+    want = materialize(want, "wanted")
+    size = want.agg(F.sum(F.size("lines") * 48 + 64)).first()[0] or 0  # a row holds all wanted lines of a document
+    want = F.broadcast(want) if size <= 32 << 20 else want
     rows = docs.join(want, docs["doc_id"].eqNullSafe(want["of"]) & (docs["mark"] == want["of_mark"])).select("text", F.col("lines.line").alias("line"), F.col("lines.node").alias("node"))
 
     def read(batches):

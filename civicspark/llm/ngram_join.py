@@ -132,8 +132,8 @@ class Verifier:
     """Checks pairs of nodes on whole sets, made again from the texts of the
     documents that stand for them."""
 
-    def __init__(self, docs: DataFrame, stand: DataFrame, size: int, threshold: int):
-        self.docs, self.stand, self.size, self.threshold = docs, stand, size, threshold
+    def __init__(self, docs: DataFrame, stand: DataFrame, size: int, threshold: int, repeated: bool):
+        self.docs, self.stand, self.size, self.threshold, self.repeated = docs, stand, size, threshold, repeated
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, members): sorted 64-bit hashes as bytes."""
@@ -148,17 +148,11 @@ class Verifier:
                     keep = [(w, s.tobytes()) for w, s in zip(want, sets) if digest(s) == w]
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.binary())], names=["node", "members"])
 
-        want = small(materialize(self.stand.join(small(nodes, 40), "node", "left_semi"), "wanted"), 64)
-        rows = self.docs.join(want, self.docs["doc_id"].eqNullSafe(want["stand"])).select("node", "text")
-        made = rows.mapInArrow(read, "node binary, members binary")
-        return materialize(made.dropDuplicates(["node"]) if self.repeated else made, "sets")
-
-    @property
-    def repeated(self) -> bool:
-        """True if a document id occurs twice, so that a node may be read twice."""
-        if not hasattr(self, "_repeated"):
-            self._repeated = not self.docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-        return self._repeated
+        want = small(materialize(self.stand.join(small(nodes, 40), "node", "left_semi"), "wanted"), 128)
+        # the one text that stands for the node; rows equal in id and text are one
+        rows = self.docs.join(want, self.docs["doc_id"].eqNullSafe(want["stand"]) & (_mark(self.docs["text"]) == want["stand_mark"])).select("node", "text")
+        rows = rows.dropDuplicates(["node"]) if self.repeated else rows
+        return materialize(rows.mapInArrow(read, "node binary, members binary"), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) of ``pairs`` that reach the threshold."""
@@ -190,10 +184,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order = sketch(docs.select("text"), size)
     sets = materialize(shingle_sets(docs, size, threshold, order), "shingle-sets")
     full = sets.filter("n > 0")
-    nodes = full.groupBy("node", "n").agg(F.min(F.struct(F.coalesce(F.col("doc_id").isNull(), F.lit(False)).alias("none"), F.col("doc_id").alias("stand"), "prefix", "bins")).alias("s"))
-    nodes = nodes.select("node", "n", "s.stand", "s.prefix", "s.bins")
+    nodes = full.groupBy("node", "n").agg(F.min(F.struct(F.coalesce(F.col("doc_id").isNull(), F.lit(False)).alias("none"), F.col("doc_id").alias("stand"), F.col("mark").alias("stand_mark"), "prefix", "bins")).alias("s"))
+    nodes = nodes.select("node", "n", "s.stand", "s.stand_mark", "s.prefix", "s.bins")
     nodes = materialize(nodes.withColumn("grp", F.min("node").over(Window.partitionBy("n", "prefix"))), "nodes")
-    verify = Verifier(docs, nodes.select("node", "stand"), size, threshold)
+    repeated = not full.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty()
+    verify = Verifier(docs, nodes.select("node", "stand", "stand_mark"), size, threshold, repeated)
 
     rep = nodes.filter(F.col("node") == F.col("grp")).select("n", "grp", F.posexplode("prefix").alias("place", "token"))
     by_token = Window.partitionBy("token")
@@ -277,10 +272,17 @@ def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     keys = materialize(keys.join(small(labels, 40), "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").alias("key"), "copies"), "keys")
     chosen = keys.groupBy("label").agg(F.min("key").alias("chosen"))
     lost = keys.join(chosen, "label").filter(F.col("key") != F.col("chosen")).select(F.col("key.doc_id").alias("__lost_id"), F.col("key.mark").alias("__lost_mark"))
-    kept = docs.join(small(materialize(lost, "lost"), 64), q(doc_id).eqNullSafe(F.col("__lost_id")) & (_mark(q(text)) == F.col("__lost_mark")), "left_anti")
-    if keys.filter("copies > 1").isEmpty():
+    kept = docs.join(small(materialize(lost, "lost"), 80), q(doc_id).eqNullSafe(F.col("__lost_id")) & (_mark(q(text)) == F.col("__lost_mark")), "left_anti")
+    again = materialize(keys.filter("copies > 1").select(F.col("key.doc_id").alias("__again_id"), F.col("key.mark").alias("__again_mark")), "repeated")
+    if again.isEmpty():
         return kept
-    return kept.withColumn("__turn", F.row_number().over(Window.partitionBy(q(doc_id), _mark(q(text)), F.when(F.trim(F.coalesce(q(text), F.lit(""))) == "", F.monotonically_increasing_id())).orderBy(F.lit(1)))).filter("__turn = 1").drop("__turn")
+    # rows equal in id and text, but for those without words: one of each stays, chosen map side
+    columns = kept.columns
+    told = kept.join(small(again, 80), q(doc_id).eqNullSafe(F.col("__again_id")) & (_mark(q(text)) == F.col("__again_mark")), "left")
+    told = materialize(told, "told")
+    single = told.filter("__again_mark is null").select(*[q(c) for c in columns])
+    first = told.filter("__again_mark is not null").groupBy("__again_id", "__again_mark").agg(F.first(F.struct(*[q(c) for c in columns])).alias("__row"))
+    return single.unionByName(first.select(*[F.col("__row")[c].alias(c) for c in columns]))
 
 
 def _mark(text: Column) -> Column:

@@ -355,3 +355,30 @@ def test_packing_without_stops(spark, length):
     ids = sum(sizes)
     assert ids >= 60 * length and max(sizes) <= 4096
     assert len(sizes) * 4096 - ids < 0.05 * len(sizes) * 4096 + 4096  # the last sequence is part-filled
+
+
+def test_near_copies_without_ids(spark):
+    """300 near copies with null ids, and 300 texts of one id: each node's text is read once."""
+    rng = np.random.default_rng(3)
+    words_ = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(300):
+        w = list(words_)
+        w[int(rng.integers(0, 150))] = f"x{k}"
+        rows += [(None, " ".join(w)), (7, " ".join([*w[::-1], "y"]))]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    reads = []
+    real = ngram_join.Verifier.sets
+
+    def counted(self, nodes):
+        out = real(self, nodes)
+        reads.append((out.count(), nodes.distinct().count()))
+        return out
+
+    ngram_join.Verifier.sets = counted
+    try:
+        got = ngram_join.classes(docs_, size=3, threshold=90).collect()
+    finally:
+        ngram_join.Verifier.sets = real
+    assert reads and all(n == m for n, m in reads)
+    assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (7, 7)} and len(got) == 600
