@@ -3,57 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which
 :func:`run` writes as Parquet in the shared folder and reads again as the next
 stage's documents. All stages but the last return the columns of documents.
+The stages themselves are in ``civicspark/llm/pipeline.py``.
 """
 
-from __future__ import annotations
+from civicspark.llm.pipeline import STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from civicspark.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from civicspark.llm.common import materialize, q
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the adaptive thresholds."""
-    judged = quality.quality(docs, prefix="__q_")
-    return judged.filter(q("__q_kept")).select(*[q(c) for c in docs.columns])
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stay elsewhere; n_chars follows the
-    text. A document that loses all its lines goes."""
-    out = line_dedup.dedup_lines(docs)
-    out = out.filter((F.col("n_lost") == 0) | (F.col("n_lost") < F.col("n_lines")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_lost") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[q(c) for c in docs.columns])
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 0.8 on five-word shingles."""
-    return ngram_join.one_each(docs).select(*[q(c) for c in docs.columns])
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a ten-word window of a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*[q(c) for c in docs.columns])
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pieces(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
-
-
-STAGES = [("quality_rules", quality_rules), ("line_dedup", lines), ("ngram_jaccard", near_duplicates), ("decontamination", benchmark), ("packing", pack)]
-
-#: SQL has no MinHash, tokenizer or dynamic program; the tests hold the stages against brute force.
+#: SQL has no MinHash, tokenizer or dynamic program; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
