@@ -14,9 +14,11 @@ import standins as S
 from civicspark.functions.urls import repair_retry_url
 from civicspark.operators import indicators as IND
 from civicspark.operators import nested as N
+from civicspark.operators import people as PE
 from civicspark.operators import profile as P
 from civicspark.operators import retry as R
 from civicspark.operators import schema as C
+from civicspark.operators import templates as TP
 from civicspark.operators import unify as UN
 from civicspark.plans import extraction as X
 from civicspark.session import scratch_path
@@ -294,6 +296,50 @@ SELECT b.topic, b.municipio, b.prefeitura, coalesce(n, 0) AS n_months, coalesce(
 FROM b LEFT JOIN s USING (topic, municipio, prefeitura) LEFT JOIN y USING (topic, municipio, prefeitura)"""
 
 
+# --- messages and names --------------------------------------------------------
+
+def q_error_templates(spark, d):
+    return TP.error_templates(S.pages_messages(spark, d))
+
+
+def q_resolved_people(spark, d):
+    return PE.resolve_people(S.payroll_names(spark, d)).groupBy("person").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("name").alias("n_names"))
+
+
+def q_multi_employment_resolved(spark, d):
+    return PE.multi_employment_resolved(S.payroll_names(spark, d), "name", "employer")
+
+
+def _templates_sql(e):
+    message = S.LOG_MESSAGE
+    return f"""WITH m AS (SELECT CASE page_id % 3 WHEN 0 THEN 'HTTPError' WHEN 1 THEN 'ValueError' END AS error_type, {message} AS message,
+                 '2025-06-' || lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') || ' 10:00:00' AS logged_at FROM pages),
+t AS (SELECT *, list_transform(list_filter(regexp_split_to_array(message, '\\s+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]|://|@') THEN '<*>' ELSE x END) AS tokens FROM m),
+b AS (SELECT error_type, tokens, count(*) AS n, min(logged_at) AS first_at, max(logged_at) AS last_at FROM t GROUP BY ALL),
+f AS (SELECT error_type, tokens, i, tokens[:i - 1] || ['<*>'] || tokens[i + 1:] AS wild FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM b) WHERE tokens[i] <> '<*>'),
+w AS (SELECT error_type, wild, count(*) AS variants FROM f GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT f.error_type, f.tokens, f.wild, row_number() OVER (PARTITION BY f.error_type, f.tokens ORDER BY variants DESC, i) AS k
+      FROM f JOIN w ON f.error_type IS NOT DISTINCT FROM w.error_type AND f.wild = w.wild),
+g AS (SELECT b.*, array_to_string(coalesce(c.wild, b.tokens), ' ') AS template FROM b LEFT JOIN c ON k = 1 AND b.error_type IS NOT DISTINCT FROM c.error_type AND b.tokens = c.tokens)
+SELECT error_type, template, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_variants, sum(n) / sum(sum(n)) OVER (PARTITION BY error_type) AS share,
+       min(first_at) AS first_at, max(last_at) AS last_at FROM g GROUP BY error_type, template"""
+
+
+def _people_cte(e):
+    word = S.word_of("k")
+    return f"""c AS (SELECT c_custkey AS id, CAST(1000 + c_custkey // 4 AS INTEGER) AS k, c_custkey % 4 AS v, c_nationkey AS employer FROM customer
+  UNION ALL SELECT s_suppkey, CAST(1000 + s_suppkey AS INTEGER), 4, s_nationkey + 100 FROM supplier),
+w AS (SELECT *, upper({word}) AS word FROM c),
+n AS (SELECT *, 1 + (k - 1000) % 12 AS mes, CASE v WHEN 2 THEN 'W' || substr(word, 2) WHEN 3 THEN substr(word, 1, length(word) - 1) ELSE word END AS odd FROM w),
+p AS (SELECT *, min(array_to_string(list_sort(['JOAO', 'SILVA', odd]), ' ')) OVER (PARTITION BY k) AS person FROM n)"""
+
+
+SQL["error_templates"] = _templates_sql
+SQL["resolved_people"] = lambda e: f"WITH {_people_cte(e)} SELECT person, count(*) AS n_rows, count(DISTINCT v) AS n_names FROM p GROUP BY person"
+SQL["multi_employment_resolved"] = lambda e: f"""WITH {_people_cte(e)} SELECT person, 2024 AS ano, CAST(mes AS INTEGER) AS mes, count(DISTINCT employer) AS n_employers
+FROM p GROUP BY person, mes HAVING count(DISTINCT employer) >= 2"""
+
+
 def queries():
     return {k: globals()[f"q_{k}"] for k in SQL}
 

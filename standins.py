@@ -456,3 +456,45 @@ def heavy_sides(spark, d) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "customer").select("c_custkey", "c_name", F.expr(key.format(k="c_custkey", n="c_nationkey")).alias("nationkey"))
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.expr(key.format(k="s_suppkey", n="s_nationkey + 10")).alias("nationkey"))
     return c, s
+
+
+# --- messages and names -----------------------------------------------------------
+
+#: Log messages of five kinds: an URL and a status, four field names in one
+#: place, a number, two types in one place, nothing.
+LOG_MESSAGE = ("CASE page_id % 5 WHEN 0 THEN concat('HTTP ', 400 + page_id % 7, ' Client Error for url: ', url) "
+               "WHEN 1 THEN concat('Field ', CASE page_id % 4 WHEN 0 THEN 'valor' WHEN 1 THEN 'data' WHEN 2 THEN 'nome' ELSE 'cpf' END, ' missing  in response') "
+               "WHEN 2 THEN concat('Timeout after ', page_id, ' s') "
+               "WHEN 3 THEN concat('Cannot read ', CASE page_id % 2 WHEN 0 THEN 'int' ELSE 'float' END) ELSE ' ' END")
+
+
+def pages_messages(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select(
+        F.expr("CASE page_id % 3 WHEN 0 THEN 'HTTPError' WHEN 1 THEN 'ValueError' END").alias("error_type"), F.expr(LOG_MESSAGE).alias("message"),
+        F.expr("concat('2025-06-', lpad(cast(1 + page_id % 28 AS string), 2, '0'), ' 10:00:00')").alias("logged_at"))
+
+
+#: A word for a number: three letters a digit, no letter in common at any place.
+SYLLABLES = ("bcd", "fgh", "jkl", "mnp", "qrs", "tvw", "xyz", "aei", "oub", "ndk")
+
+
+def word_of(number: str, replace: str = "replace") -> str:
+    text = f"cast({number} AS string)"
+    for k, s in enumerate(SYLLABLES):
+        text = f"{replace}({text}, '{k}', '{s}')"
+    return text
+
+
+def payroll_names(spark, d) -> DataFrame:
+    """Customers four to a person, the name written as it is, with accents,
+    particle and blanks, with a letter changed, or with one missing; suppliers
+    as a second job of the person of their number."""
+    word = word_of("1000 + cast(floor(c_custkey / 4) AS int)")
+    c = table(spark, d, "customer").select(
+        F.expr(f"CASE c_custkey % 4 WHEN 0 THEN concat('Joao Silva ', {word}) WHEN 1 THEN concat(' joão da  SILVA, ', {word}) "
+               f"WHEN 2 THEN concat('Joao Silva ', 'w', substr({word}, 2)) ELSE concat('Joao Silva ', substr({word}, 1, length({word}) - 1)) END").alias("name"),
+        F.col("c_nationkey").alias("employer"), F.lit(2024).alias("ano"), F.expr("1 + cast(floor(c_custkey / 4) AS int) % 12").alias("mes"))
+    s = table(spark, d, "supplier").select(
+        F.expr(f"concat('SILVA Joao ', {word_of('1000 + cast(s_suppkey AS int)')})").alias("name"), (F.col("s_nationkey") + 100).alias("employer"),
+        F.lit(2024).alias("ano"), F.expr("1 + cast(s_suppkey AS int) % 12").alias("mes"))
+    return c.unionByName(s)
