@@ -8,9 +8,13 @@ do not count where they hold most of the page's text outside links. Where
 nothing is left, the page is scored again without names and forms. Every remaining block of text gives points for its
 length and commas to its container (all), the next (half) and further
 ancestors (a third over the distance); a container's sum, with a bonus for
-its tag, is discounted by its link density. The best container, lifted to an
-article or main element around it, and its siblings of like score are kept;
-link lists inside them go.
+its tag, is discounted by its link density. The best container is lifted to an
+article or main element around it, else to the nearest ancestor (below body)
+whose other children hold half as much, again and again, so that paragraphs in
+wrappers of their own stay together. It and its siblings of like score, of
+paragraphs or of a title are kept, and a first heading further out where it has
+none; link lists go, but not inside an article or main element, where names do
+not count against a paragraph or a heading either (adverts apart).
 
 The work is per row in Arrow batches without a shuffle; a page of any length
 is one row and is read in time linear in its length and its nesting.
@@ -51,12 +55,15 @@ DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal "
     "nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor "
     "sponsored subscribe toolbar widget".split())
+AD_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored".split())
+#: Elements of running text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd td".split())
 #: Names that no wrapper of a page's body has.
 FIRM_NAMES = frozenset("comment comments consent cookie cookies disqus gdpr replies reply respond".split())
-#: Why an element goes: a name of a header alone, a form or another name, a firm name, its tag or role or that it is hidden.
+#: Why an element goes: a name of a header or of running text, a form or another name, a firm name, its tag or role or that it is hidden.
 HEADER, SOFT, FIRM, ALWAYS = 1, 2, 3, 4
-#: Names that tell of a part elsewhere on the page.
-LAYOUT = re.compile(r"\b(?:has|with|no|without|hide|show)[-_][a-z0-9_-]+|\bcomments?[-_](?:open|closed)\b")
+#: Names that tell of a part elsewhere on the page, or of the head of an article.
+LAYOUT = re.compile(r"\b(?:has|with|no|without|hide|show)[-_][a-z0-9_-]+|\bcomments?[-_](?:open|closed)\b|\b(?:article|entry|post|story)[-_]?header\b")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 BONUS = {"article": 25, "main": 25, "div": 5, "section": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3}
 LEVELS = 5
@@ -75,7 +82,8 @@ def unwanted(tag: str, attrs: str) -> int:
         if name == "style" and "display:none" in value.replace(" ", ""):
             return ALWAYS
         if name in ("class", "id") and (said := DROP_NAMES.intersection(re.split(r"[^a-z0-9]+", LAYOUT.sub("", value)))):
-            why = max(why, FIRM if said & FIRM_NAMES else HEADER if said == {"header"} else SOFT)
+            mild = said == {"header"} or tag in PROSE and not said & AD_NAMES
+            why = max(why, FIRM if said & FIRM_NAMES else HEADER if mild else SOFT)
     return why
 
 
@@ -204,9 +212,9 @@ def chosen(page: Page, bad: list[int], scored: bool = False) -> str:
     for k in range(1, n):
         inside[k] |= inside[parent[k]]
         itself = tag[k] in ("article", "main")  # an advert or a comment can be an article
-        heading = (tag[k] == "header" or bad[k] == HEADER) and inside[k] and titled[k]  # an article's own title
+        heading = (tag[k] == "header" or bad[k] == HEADER) and inside[k] and (titled[k] or tag[k] in PROSE)  # an article's own title or text
         gone[k] = gone[parent[k]] or bad[k] and (itself or not holds[k]) and not heading
-    size, linked, raw = [0] * n, [0] * n, [0.0] * n
+    size, linked, raw, prose, said_in_titles, said_in_p = [0] * n, [0] * n, [0.0] * n, [0.0] * n, [0] * n, [0] * n
     links = [int(t == "a" and not g) for t, g in zip(tag, gone)]
     for k, said, inlink in blocks:
         if gone[k]:
@@ -214,6 +222,9 @@ def chosen(page: Page, bad: list[int], scored: bool = False) -> str:
         size[k] += len(said)
         linked[k] += inlink
         points = 1 + said.count(",") + min(len(said) / 100, 3)
+        prose[k] += points * (1 - inlink / len(said))
+        said_in_titles[k] += len(said) * (tag[k] in HEADINGS)
+        said_in_p[k] += (len(said) - inlink) * (tag[k] == "p")
         at = k if tag[k] in BONUS or tag[k] in ("body", "html") else parent[k]
         for level in range(LEVELS):
             if at < 0:
@@ -224,6 +235,9 @@ def chosen(page: Page, bad: list[int], scored: bool = False) -> str:
         size[parent[k]] += size[k]
         linked[parent[k]] += linked[k]
         links[parent[k]] += links[k]
+        prose[parent[k]] += prose[k]
+        said_in_titles[parent[k]] += said_in_titles[k]
+        said_in_p[parent[k]] += said_in_p[k]
     score = [(r + BONUS.get(t, 0)) * (1 - d / s) if r and s else 0.0 for r, t, d, s in zip(raw, tag, linked, size)]
     best = max(range(n), key=lambda k: (score[k], -k))
     if not score[best]:
@@ -237,19 +251,42 @@ def chosen(page: Page, bad: list[int], scored: bool = False) -> str:
         if at > 0:
             best = at
             break
+    else:
+        best = lifted(page, best, gone, size, linked, prose)
     least = max(10.0, score[best] / 5)
+    body = tag[best] in ("article", "main") or inside[best]
     keep = [False] * n
     for k in range(n):
-        sibling = best and k != best and parent[k] == parent[best] and size[k] and (
-            score[k] >= least or linked[k] < size[k] / 4 and (tag[k] in HEADINGS or tag[k] == "p" and size[k] > 80))
+        sibling = best and k != best and parent[k] == parent[best] and size[k] and (score[k] >= least or linked[k] < size[k] / 4 and (
+            tag[k] in HEADINGS or tag[k] == "p" and size[k] > 80 or 2 * said_in_titles[k] >= size[k] or said_in_p[k] > max(80, size[k] / 2)))
         keep[k] = k == best or sibling or k > 0 and keep[parent[k]]
-        if keep[k] and k != best and tag[k] in ("ul", "ol", "div", "table") and links[k] >= 3 and linked[k] > 0.7 * size[k]:
+        if keep[k] and k != best and not body and tag[k] in ("ul", "ol", "div", "table") and links[k] >= 3 and linked[k] > 0.7 * size[k]:
             gone[k] = True
         if k > 0 and gone[parent[k]]:
             gone[k] = True
+    if not any(keep[k] and tag[k] == "h1" and not gone[k] for k in range(n)):
+        first = next((k for k in range(n) if tag[k] == "h1" and not gone[k] and 0 < size[k] and linked[k] < size[k] / 2), 0)
+        if first and first < best:  # the page's own title, before its text
+            for k in range(first, n):
+                keep[k] |= k == first or keep[parent[k]] and parent[k] >= first
     return "\n".join(said for k, said, _ in blocks if keep[k] and not gone[k])
 
 
+def lifted(page: Page, best: int, gone: list[bool], size: list[int], linked: list[int], prose: list[float]) -> int:
+    """``best``, or the ancestor below body in which it is one of several like parts."""
+    parent, tag = page.parent, page.tag
+    children: dict[int, list[int]] = {}
+    for k in range(1, len(tag)):
+        children.setdefault(parent[k], []).append(k)
+    at = best
+    while at > 0 and parent[at] > 0 and tag[parent[at]] not in ("body", "html"):
+        up = parent[at]
+        if any(k != at and not gone[k] and linked[k] < size[k] / 4 and 2 * prose[k] >= prose[best] for k in children[up]):
+            best = up
+        at = up
+    return best
+
+
 def page_texts(pages: DataFrame, html: str = "html") -> DataFrame:
     """The other columns of ``pages`` with text and n_chars (clashing ones
     are replaced)."""
