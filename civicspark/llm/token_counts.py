@@ -5,9 +5,11 @@ and does not end the text. The vocabulary has no piece with a word mark
 inside (checked when the model is loaded, else texts stay whole), so no merge
 crosses such a space, and the mark that the library puts before each text
 stands for the space that was cut. The pieces of about ``BATCH_BYTES`` of
-text are encoded in one call, each distinct piece once; a bounded table of
-lengths is kept between calls. Texts beyond ``SLICE_CHARS`` are worked off
-slice by slice, so memory follows the batch and not the longest text.
+text (bytes) are encoded in one call, each distinct piece once; a table of
+lengths, bounded in bytes (``KNOWN_BYTES``), is kept between calls, without
+pieces beyond ``LONG`` characters. Texts beyond ``SLICE_CHARS`` are worked off
+slice by slice, so memory follows the batch and not the longest text; a text
+without a safe boundary (no spaces) is one piece, and memory follows it.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows
 are counted each; special strings inside texts are ordinary text, as is the
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from civicspark.llm.common import fresh, q
 
-BATCH_BYTES, SLICE_CHARS, KNOWN = 1 << 20, 1 << 20, 300_000
+BATCH_BYTES, SLICE_CHARS, KNOWN_BYTES, ENTRY_BYTES, LONG = 1 << 20, 1 << 20, 48 << 20, 120, 64
 SAFE = re.compile(r"(?<=[^ ]) (?=.)", re.DOTALL)
 
 
@@ -58,6 +60,7 @@ class Lengths:
         whole = self.model.encode("a  b ", out_type=str) == ["▁a", "▁", "▁b", "▁"]
         self.cut = pieces if whole and not any("▁" in p.lstrip("▁") for p in marks) else lambda t: [t]
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def of(self, texts: list[str]) -> list[int]:
         parts = [self.cut(t) for t in texts]
@@ -65,8 +68,14 @@ class Lengths:
         self.known.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
         get = self.known.__getitem__
         out = [sum(map(get, p)) for p in parts]
-        if len(self.known) > KNOWN:
+        for p in new:
+            if len(p) > LONG:
+                del self.known[p]
+            else:
+                self.held += ENTRY_BYTES + len(p)
+        if self.held > KNOWN_BYTES:
             self.known.clear()
+            self.held = 0
         return out
 
 
@@ -92,7 +101,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", limit: int = 4
                 for part in slices(t):
                     queue.append(part)
                     owner.append(row)
-                    held += len(part)
+                    held += len(part) if part.isascii() else len(part.encode())
                     if held >= BATCH_BYTES:
                         flush()
                         queue, owner, held = [], [], 0

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from civicspark.llm import packing
+from civicspark.llm import packing, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,3 +57,26 @@ def test_packing_memory_on_unspaced_texts():
         words.encode([t[k:] + t[:k] for t in rows])
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # kB; 1,000 texts of 3,000 characters
     assert np.all(np.diff(words.start.room[:words.start.n]) >= 0)
+
+
+def test_length_table_is_bounded_in_bytes(monkeypatch):
+    import sentencepiece
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, lengths = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Lengths(path)
+    monkeypatch.setattr(token_counts, "KNOWN_BYTES", 20_000)
+    most = 0
+    for k in range(30):
+        texts = [*cjk(5, 400, k), " ".join(f"w{k}x{i}" for i in range(40)), "same words each time"]
+        assert lengths.of(texts) == [len(model.encode(t)) for t in texts]
+        most = max(most, lengths.held)
+        assert all(len(p) <= token_counts.LONG for p in lengths.known)
+    assert most < 30_000
+
+
+def test_length_memory_on_unspaced_texts():
+    lengths, rows = token_counts.Lengths(public_tokenizers.path("piece_bpe_32k.model")), cjk(50, 3000)
+    lengths.of(rows)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for k in range(400):  # 20,000 texts
+        lengths.of([t[k:] + t[:k] for t in rows])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
