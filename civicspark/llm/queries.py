@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -105,6 +107,7 @@ def _site(rule):
 def _op4_sql():
     rules = sorted(SITE_RULES, key=lambda r: -len(r[1]))
     words = [(r.name, rf"(^|[^a-z0-9]){r.tokens[0]}([^a-z0-9]|$)") for r in url_rules.PATTERNS if r.name == "~" + "".join(r.tokens)]
+    words += [(f"~{p}", "(^|[^a-z0-9])" + re.sub(r"([^a-z0-9])", r"\\\1", p) + "([^a-z0-9]|$)") for p in url_rules.PHRASES]
     others = [("~pixel-image", r"/pixel[^/]*\.(gif|png)"), ("~click-redirect", "[?&](url|redirect|goto)=http")]
     first = ", ".join(f"CASE WHEN regexp_matches(lu, '{r}') THEN '{n}' END" for n, r in words + others)
     return f"""WITH p AS (

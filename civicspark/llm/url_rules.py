@@ -53,8 +53,23 @@ def word_rule(action: str, word: str) -> Rule:
     return Rule(f"~{word}", action, rf"(?<![a-z0-9]){word}(?![a-z0-9])", (word,))
 
 
+def phrase_rule(action: str, phrase: str) -> Rule:
+    """A rule of several tokens with the signs between them, filed under the
+    rarest of them."""
+    between = re.sub(r"([^a-z0-9])", r"\\\1", phrase)
+    return Rule(f"~{phrase}", action, rf"(?<![a-z0-9]){between}(?![a-z0-9])", tuple(dict.fromkeys(re.findall(r"[a-z0-9]+", phrase))))
+
+
+#: Parts of URLs of advertising, tracking, sign-in, shop and machine pages.
+PHRASES = (
+    "ad/click", "ads/banner", "ad-server", "adservice.google", "doubleclick.net", "googlesyndication.com", "taboola.com", "outbrain.com",
+    "tracking/pixel", "pixel.gif", "utm_source=ad", "wp-login.php", "wp-admin", "cgi-bin", "user/login", "user/register", "account/login",
+    "account/create", "members/sign-up", "lost-password", "shopping-cart", "add-to-cart", "my-account", "cart/checkout", "order/confirm",
+    "share/email", "email-a-friend", "print/version", "comment/reply", "feed/rss", "search/results", "tag/page", "online-casino", "adult/video",
+)
 #: The method's own patterns, for URLs without a site rule.
 PATTERNS = (
+    *[phrase_rule("block", p) for p in PHRASES],
     *[word_rule("block", w) for w in ("ad", "ads", "adserver", "banner", "tracker", "casino", "porn", "xxx", "login", "signin", "cart", "checkout")],
     Rule("~pixel-image", "block", r"/pixel[^/]*\.(gif|png)", ()),
     *[Rule("~click-redirect", "block", rf"[?&]{w}=http", (w,)) for w in ("url", "redirect", "goto")],
