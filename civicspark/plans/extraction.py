@@ -25,9 +25,10 @@ YEAR_CELL = ("topic", "municipio", "prefeitura", "unidadegestora", "ano")
 
 
 def vendor_filter(catalog: DataFrame, vendor: str, vendor_col: str = "empresa",
-                  require: bool = True) -> DataFrame:
+                  require: bool = False) -> DataFrame:
     """exact, case-sensitive vendor match (pushed to the scan). With
-    ``require`` an empty selection raises, as the reference stops."""
+    ``require`` an empty selection raises, as the reference stops; that runs
+    a small job while the plan is built."""
     out = catalog.filter(F.col(vendor_col) == F.lit(vendor))
     if require and out.isEmpty():
         raise EmptySelection(f"no municipality with {vendor_col} == {vendor!r}")

@@ -29,19 +29,15 @@ One checkpoint belongs to one target: batch numbers come from it.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from civicspark.operators.nested import OK, ZIP_LENGTH_ERROR, clean_body, classify_responses, payload_table, unpack_columnar
 from civicspark.operators.schema import cells_by_url
 from civicspark.plans.extraction import MONTH_CELL
-from civicspark.sources.tables import list_tables, path_exists, read_note, write_note
+from civicspark.sources.versioned import conform, read_versions, store_versions, stored_versions
 
 LANDING_SCHEMA = "url STRING, status INT, body STRING, fetched_at TIMESTAMP_NTZ"
-SCHEMA_FILE = "versions.json"
 ERROR_SCHEMA = "fetched_at TIMESTAMP_NTZ, url STRING, error_type STRING, message STRING, batch_id LONG"
 
 
@@ -93,52 +89,6 @@ def read_errors(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(ERROR_SCHEMA).parquet(f"{target.rstrip('/')}/errors").drop("batch_id")
 
 
-def stored_versions(spark: SparkSession, target: str, before: int | None = None) -> list[T.StructType]:
-    """Schemas of the table's versions after the last batch (``before`` this one)."""
-    path = f"{target.rstrip('/')}/schema"
-    if not path_exists(spark, path):
-        return []
-    done = [int(n.split("=")[1]) for n in list_tables(spark, path)]
-    done = [n for n in done if before is None or n < before]
-    if not done:
-        return []
-    text = read_note(spark, f"{path}/batch_id={max(done)}/{SCHEMA_FILE}")
-    return [T.StructType.fromJson(json.loads(v)) for v in json.loads(text)]
-
-
-def store_versions(spark: SparkSession, target: str, epoch: int, versions: list[T.StructType]) -> None:
-    write_note(spark, f"{target.rstrip('/')}/schema/batch_id={epoch}/{SCHEMA_FILE}", json.dumps([v.json() for v in versions]))
-
-
-def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
-    if a == b:
-        return a
-    numbers = (T.IntegerType, T.LongType, T.DoubleType)
-    return T.DoubleType() if isinstance(a, numbers) and isinstance(b, numbers) else T.StringType()
-
-
-def conform(rows: DataFrame, versions: list[T.StructType]) -> tuple[DataFrame, list[T.StructType]]:
-    """``rows`` with the table's spelling and types, and the versions after
-    it: the last one with new columns, or one more if a type changed."""
-    if not versions:
-        return rows, [rows.schema]
-    last = versions[-1]
-    place = {f.name.lower(): k for k, f in enumerate(last.fields)}
-    fields, out, changed = list(last.fields), [], False
-    for f in rows.schema.fields:
-        k = place.get(f.name.lower())
-        if k is None:
-            fields.append(T.StructField(f.name, f.dataType))
-            out.append(F.col(f"`{f.name}`"))
-            continue
-        wide = _wider(fields[k].dataType, f.dataType)
-        changed |= wide != fields[k].dataType
-        fields[k] = T.StructField(fields[k].name, wide)
-        out.append(F.col(f"`{f.name}`").cast(wide).alias(fields[k].name))
-    now = T.StructType(fields)
-    return rows.select(out), [*versions, now] if changed else [*versions[:-1], now]
-
-
 def incremental_load(spark: SparkSession, landing: str, plan: DataFrame, target: str,
                      checkpoint: str, max_files_per_trigger: int | None = None,
                      keys=MONTH_CELL) -> None:
@@ -164,13 +114,4 @@ def read_loaded(spark: SparkSession, target: str) -> DataFrame:
     versions = stored_versions(spark, target)
     if not versions:
         return spark.createDataFrame([], "url STRING")
-    last, table = versions[-1], None
-    for k, schema in enumerate(versions):
-        path = f"{target.rstrip('/')}/rows/version={k}"
-        if not path_exists(spark, path):
-            continue
-        part = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
-        have = {c.lower() for c in schema.fieldNames()}
-        part = part.select([(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in last.fields])
-        table = part if table is None else table.unionByName(part)
-    return table
+    return read_versions(spark, f"{target.rstrip('/')}/rows", versions)

@@ -44,7 +44,8 @@ from civicspark.operators.nested import clean_body, infer_payloads, payload_tabl
 from civicspark.operators.schema import cells_by_url
 from civicspark.plans.extraction import MONTH_CELL
 from civicspark.sources.tables import _fs, list_tables, path_exists
-from civicspark.streaming.incremental import ERROR_SCHEMA, conform, error_rows, store_versions, stored_versions, unseen
+from civicspark.sources.versioned import conform, read_versions, store_versions, stored_versions
+from civicspark.streaming.incremental import ERROR_SCHEMA, error_rows, unseen
 
 LANDING_SCHEMA = "url STRING, status INT, body STRING, fetched_at TIMESTAMP_NTZ, run_id LONG"
 RESPONSE = ("url", "run_id", "body_sha")
@@ -165,20 +166,6 @@ def swap_partitions(spark: SparkSession, staged: str, table: str, version: int,
             raise IOError(f"could not move {leaf} to {place}")
 
 
-def read_versions(spark: SparkSession, table: str, versions: list[T.StructType], last: T.StructType) -> DataFrame | None:
-    """All versions' rows, markers too, in the names and types of ``last``."""
-    out = None
-    for k, schema in enumerate(versions):
-        path = f"{table}/version={k}"
-        if not path_exists(spark, path):
-            continue
-        part = spark.read.schema(schema).parquet(path)
-        have = {c.lower() for c in schema.fieldNames()}
-        part = part.select([(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in last.fields])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def topic_tables(spark: SparkSession, target: str) -> list[str]:
     """Names of the loaded tables."""
     path = f"{target.rstrip('/')}/tables"

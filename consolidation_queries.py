@@ -22,6 +22,7 @@ from civicspark.operators import templates as TP
 from civicspark.operators import unify as UN
 from civicspark.plans import extraction as X
 from civicspark.session import scratch_path
+from civicspark.sources import versioned as V
 from civicspark.streaming import retry_job as RJ
 from civicspark.streaming import topic_load as TL
 
@@ -223,6 +224,20 @@ def q_stamp_rows(spark, d):
     return C.stamp_metadata(rows, _event_plan(spark, d))
 
 
+def q_schema_drift_append(spark, d):
+    """Types that change at rest: a whole number, then text and a broken one."""
+    path, o = scratch_path(spark, "drift"), S.table(spark, d, "orders")
+    first = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cliente"), F.col("o_custkey").alias("valor"))
+    second = o.filter("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("ID"), F.col("o_orderstatus").alias("Cliente"), F.col("o_totalprice").alias("valor"))
+    third = o.filter("o_orderkey % 3 = 2").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("prioridade"))
+    for k, batch in enumerate((first, second, second, third)):  # the second is written twice under its number
+        V.append_versioned(batch, path, min(k, 1) if k < 3 else 2)
+    return V.read_versioned(spark, path)
+
+
+SQL["schema_drift_append"] = lambda e: """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN o_orderstatus END AS cliente,
+       CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN o_totalprice END AS valor, CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS prioridade
+FROM orders"""
 SQL["scan_object_lists"] = lambda e: """SELECT o_orderkey, 0 AS pos, CASE WHEN k <> 0 THEN o_orderkey END AS contratos_0_v, CASE WHEN k <> 0 AND odd THEN o_orderkey + 1 END AS contratos_1_v,
        CASE WHEN k <> 0 AND odd THEN o_orderkey + 2 END AS aditivos_0_w, CASE WHEN k = 0 THEN o_orderkey END AS itens_0_q, CASE WHEN k = 0 THEN o_orderkey + 1 END AS itens_1_q
 FROM (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderkey % 2 = 1 AS odd FROM orders)"""

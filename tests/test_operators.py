@@ -136,7 +136,7 @@ def test_month_range_inclusive_and_empty(spark):
 def test_vendor_filter_stops_when_empty(spark):
     cat = spark.createDataFrame([(1, "portaltp")], "id int, empresa string")
     with pytest.raises(EmptySelection):
-        X.vendor_filter(cat, "PortalTP")
+        X.vendor_filter(cat, "PortalTP", require=True)
 
 
 def test_table_lookup_and_atomic_overwrite(spark):
