@@ -84,13 +84,23 @@ class Words:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.whole, self.end_id = Tokenizer.from_file(path), end_id
         signs = self.pipeline([PART, *MARKS])
-        probes = ["a", "Word", "zażółć", "3.5x", "a,b", "é", "#"]
-        alone = self.pipeline(probes)
-        self.part = signs[0][0] if len(signs[0]) == 1 and self.pipeline([f" {PART} ".join(probes)])[0] == [
-            i for k, ids in enumerate(alone) for i in (signs[0] * (k > 0) + ids)] else None
+
+        def joins(tokenizer, probes: list[str]) -> bool:
+            alone = self.pipeline(probes)
+            return len(signs[0]) == 1 and self.pipeline([f" {PART} ".join(probes)], tokenizer)[0] == [i for k, ids in enumerate(alone) for i in (signs[0] * (k > 0) + ids)]
+
+        self.part = signs[0][0] if joins(self.whole, ["a", "Word", "zażółć", "3.5x", "a,b", "é", "#"]) else None
+        # words of small letters need neither the normaliser nor the pre-tokenizer's pattern
+        self.plain, self.letters = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if not joins(self.plain, ["a", "word", "abcdefghijklmnop"]):
+            self.plain = self.whole
+        if not joins(self.letters, ["a", "zażółć", "straße", "éà", "日本", "слово"]):
+            self.letters = self.whole
         marked = self.pipeline([f"word{m}" for m in MARKS])
         self.marks = {m: ids[0] for m, ids, both in zip(MARKS, signs[1:], marked) if len(ids) == 1 and both == self.pipeline(["word"])[0] + ids}
         self.reset()
@@ -101,11 +111,11 @@ class Words:
         self.ids, self.start, self.size = Grown(np.array([self.end_id], np.uint32)), Grown(np.array([0, 0, 0])), Grown(np.array([1, 0, 0]))
         self.stop = Grown(np.array([2, 1, 0], np.uint8))
 
-    def pipeline(self, words: list[str]) -> list[list[int]]:
+    def pipeline(self, words: list[str], tokenizer=None) -> list[list[int]]:
         """Ids of each text by the library."""
-        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        return [e.ids for e in (tokenizer or self.whole).encode_batch_fast(words, add_special_tokens=False)]
 
-    def made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def made(self, words: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids, on end, of ``words``."""
         if self.part is None:
             made = self.pipeline(words)
@@ -113,7 +123,8 @@ class Words:
         sizes, flat = [], []
         for a in range(0, len(words), TOGETHER):
             some = words[a:a + TOGETHER]
-            ids = np.array(self.pipeline([f" {PART} ".join(some)])[0], np.uint32)
+            text = f" {PART} ".join(some)
+            ids = np.array(self.pipeline([text], tokenizer if tokenizer and is_normalized("NFC", text) else None)[0], np.uint32)
             at = np.flatnonzero(ids == self.part)
             sizes.append(np.diff(at, prepend=-1, append=len(ids)) - 1)
             flat.append(ids[ids != self.part])
@@ -137,9 +148,12 @@ class Words:
                 odd.append(w)
             else:
                 plain.add(w)
-        if plain:
-            plain = list(plain)
-            self.add(plain, *self.made(plain))
+        groups: dict = {}
+        for w in plain:
+            small = w.isalpha() and w == w.lower()
+            groups.setdefault(None if not small else self.plain if w.isascii() else self.letters, []).append(w)
+        for tokenizer, some in groups.items():
+            self.add(some, *self.made(some, tokenizer))
         if odd:
             made = self.pipeline(odd)
             self.add(odd, np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(chain.from_iterable(made), np.uint32))
