@@ -137,6 +137,75 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 
 
+def _op3_sql():
+    least = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.LEAST.items())
+    names = lambda x: ", ".join(f"'{k}'" for k in x)
+    space = r"[\x20\x09-\x0D]"
+
+    def fence(keys):
+        by = ", ".join([*keys, "measure"])
+        return f"""SELECT {by}, count(*) AS size, list_sort(list(b)) AS s, s[CAST(ceil(count(*) * 25 / 100) AS INTEGER)] AS lo, s[CAST(ceil(count(*) * 75 / 100) AS INTEGER)] AS hi,
+               hi + {quality.SPREAD} * greatest(hi - lo, CASE measure {least} END) AS fence FROM seen GROUP BY {by}"""
+
+    return rf"""WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT rid, i, w[i : i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+again AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN cov USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS (SELECT rid, lang, source, base_failed, unnest([{{'measure': 'symbol_rate', 'v': 1000 * n_symbols // greatest(word_chars, 1)}}, {{'measure': 'dup_line_rate', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}},
+             {{'measure': 'repeat_rate', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}}, {{'measure': 'word_length', 'v': 10 * word_chars // greatest(n_words, 1)}}], recursive := true) FROM f),
+seen AS (SELECT lang, source, measure, v - v % (1::BIGINT << greatest(length(bin(v)) - 7, 0)) AS b FROM v WHERE NOT base_failed AND (measure NOT IN ({names(quality.AMONG)}) OR v > 0)),
+own AS ({fence(("lang", "source"))}), lng AS ({fence(("lang",))}), every AS ({fence(())}),
+lim AS (SELECT o.lang, o.source, o.measure, least(CASE WHEN o.size >= {quality.MIN_GROUP} THEN o.fence END, CASE WHEN n.size >= {quality.MIN_GROUP} THEN n.fence END,
+               CASE WHEN o.measure IN ({names(quality.RATES)}) OR o.size < {quality.MIN_GROUP} AND n.size < {quality.MIN_GROUP} THEN e.fence END) AS lim
+        FROM own o JOIN lng n ON o.lang IS NOT DISTINCT FROM n.lang AND o.measure = n.measure JOIN every e ON o.measure = e.measure),
+bad AS (SELECT DISTINCT rid FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.measure = lim.measure WHERE v > lim)
+SELECT f.* EXCLUDE (rid), NOT base_failed AND bad.rid IS NULL AS kept FROM f LEFT JOIN bad USING (rid)"""
+
+
+def _op7_sql():
+    said = lambda c: rf"regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g')"
+    role = said("replace(replace(role, '%', '%25'), chr(10), '%0A')")
+    fixed = len(chat.START) + len(chat.END) + 2
+    order = "ORDER BY turn, role, text"
+    return f"""WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({role}) + length({said('text')}) + {fixed}) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id"""
+
+
+def _op9_sql():
+    return rf"""WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({_lower('text')}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT rid, w[i : i + 2] AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.rid JOIN n y ON b = y.rid WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+r AS (WITH RECURSIVE r AS (SELECT rid, rid AS at FROM d UNION SELECT r.rid, l.b FROM r JOIN l ON r.at = l.a) SELECT * FROM r)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) JOIN r USING (rid) JOIN d o ON r.at = o.rid GROUP BY d.rid, d.doc_id"""
+
+
+def _op11_sql():
+    return f"""WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.rid <> b.rid AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {embed_dedup.LIMIT}),
+r AS (WITH RECURSIVE r AS (SELECT rid, rid AS at FROM e UNION SELECT r.rid, l.b FROM r JOIN l ON r.at = l.a) SELECT * FROM r),
+c AS (SELECT r.rid, min(o.vec_id) AS component_id FROM r JOIN e o ON r.at = o.rid GROUP BY r.rid)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = e.rid) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN c USING (rid)"""
+
+
 def _op12_sql():
     return """WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
@@ -153,4 +222,4 @@ QUALIFY rank <= 3"""
 
 
 def oracle_sql():
-    return {"op12_hard_negatives": _op12_sql(), "op4_url_filters": _op4_sql(), "op6_decontamination": _op6_sql()}
+    return {"op3_quality_rules": _op3_sql(), "op7_chat_formatting": _op7_sql(), "op9_ngram_jaccard": _op9_sql(), "op11_embedding_dedup": _op11_sql(), "op12_hard_negatives": _op12_sql(), "op4_url_filters": _op4_sql(), "op6_decontamination": _op6_sql()}
