@@ -35,7 +35,7 @@ from civicspark.llm.common import materialize, q
 from civicspark.llm.textnum import Hasher, chunks, mix, text_bytes
 
 SPACE = (0x20, *range(0x09, 0x0E))
-ORDER, LEAST, ALPHA, BLOCK_BYTES, COPIES = 2, 2, 0.4, 16 << 20, 1 << 16
+ORDER, LEAST, ALPHA, BLOCK_BYTES, COPIES = 3, 2, 0.4, 16 << 20, 1 << 16
 
 
 def _grams(column, order: int) -> tuple[list[np.ndarray], np.ndarray]:
