@@ -250,24 +250,33 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_lm_scores(docs, none):
-    corpus = [words(r[1]) for r in ROWS]
-    c = collections.Counter(tuple(w[i:i + k]) for w in corpus for k in (1, 2) for i in range(len(w) - k + 1))
+def backoff(corpus, order):
+    """Stupid-backoff score of each word sequence of ``corpus``."""
+    c = collections.Counter(tuple(w[i:i + k]) for w in corpus for k in range(1, order + 1) for i in range(len(w) - k + 1))
     n = sum(map(len, corpus))
 
-    def ref(w):
+    def score(w):
         s = 0.0
-        for p, x in enumerate(w):
-            pair = tuple(w[p - 1:p + 1]) if p else None
-            s += math.log(c[pair] / c[pair[:1]]) if pair and c[pair] >= 2 else (math.log(0.4) if p else 0) + math.log(c[(x,)] / n)
+        for p in range(len(w)):
+            for given_up, k in enumerate(range(min(p + 1, order), 0, -1)):
+                gram = tuple(w[p - k + 1:p + 1])
+                if k == 1 or c[gram] >= 2:
+                    s += given_up * math.log(0.4) + math.log(c[gram] / (c[gram[:-1]] if k > 1 else n))
+                    break
         return len(w), round(s, 4)
 
-    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm_score.lm_scores(docs, block_bytes=9000).collect())
-    assert got == collections.Counter((r[0], *ref(w)) for r, w in zip(ROWS, corpus))
-    assert lm_score.lm_scores(none).count() == 0
+    return [score(w) for w in corpus]
 
 
-def test_lm_scores_of_copies(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores(docs, none, order):
+    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm_score.lm_scores(docs, block_bytes=9000, order=order).collect())
+    assert got == collections.Counter((r[0], *s) for r, s in zip(ROWS, backoff([words(r[1]) for r in ROWS], order)))
+    assert lm_score.lm_scores(none, order=order).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_of_copies(spark, monkeypatch, order):
     """Copies reach Python once, count as often as they are, and are all scored."""
     monkeypatch.setattr(lm_score, "COPIES", 7)
     rows = [(None, "a b a b c")] * 50 + [(1, "a b a b c")] * 3 + [(2, "b c d a"), (3, ""), (3, ""), (4, None)]
@@ -278,17 +287,9 @@ def test_lm_scores_of_copies(spark, monkeypatch):
         return split(column, order)
 
     monkeypatch.setattr(lm_score, "_grams", grams)
-    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
-    corpus = [words(t) for _, t in rows]
-    c = collections.Counter(tuple(w[i:i + k]) for w in corpus for k in (1, 2) for i in range(len(w) - k + 1))
-    n, want = sum(map(len, corpus)), collections.Counter()
-    for (i, _), w in zip(rows, corpus):
-        s = 0.0
-        for p, x in enumerate(w):
-            pair = tuple(w[p - 1:p + 1]) if p else None
-            s += math.log(c[pair] / c[pair[:1]]) if pair and c[pair] >= 2 else (math.log(0.4) if p else 0) + math.log(c[(x,)] / n)
-        want[i, len(w), round(s, 4)] += 1
-    assert got == want
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in lm_score.lm_scores(frame, order=order).collect())
+    assert got == collections.Counter((i, *s) for (i, _), s in zip(rows, backoff([words(t) for _, t in rows], order)))
 
 
 def test_packing(docs, none):
