@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from civicspark.llm.common import ascii_lower, bind, materialize, q
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SIZE, BROADCAST_BYTES, SPREAD = 10, 64 << 20, 32
+SIZE, BROADCAST_BYTES, SPREAD, COPIES = 10, 64 << 20, 32, 4096
 
 
 def words_of(text: Column) -> Column:
@@ -113,7 +113,10 @@ def report(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
         F.count_if(F.col("at").isNull()).alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", F.col("w_size").alias("n"))))).alias("spots"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("items"))
-    rows = spots.select("doc_id", "digest", "n_words", "items", spans(F.col("spots")).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    # rows that repeat, again: by parts, so that no array holds all copies
+    one = spots.select("doc_id", "digest", "n_words", "items", spans(F.col("spots")).alias("spans"), "copies")
+    parts = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("part"))
+    rows = parts.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("copies") - COPIES * F.col("part")))).alias("copy"))
     return rows.select("doc_id", "digest", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_hit"), "items", "spans")
 
 

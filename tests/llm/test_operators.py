@@ -383,3 +383,14 @@ def test_near_copies_without_ids(spark):
         ngram_join.Verifier.sets = real
     assert reads and all(n == m for n, m in reads)
     assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (7, 7)} and len(got) == 600
+
+
+def test_decontamination_of_repeated_rows(spark, monkeypatch):
+    """Rows that repeat come back as often as they are, by parts."""
+    monkeypatch.setattr(decontaminate, "COPIES", 4)
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"so {text} it is")] * 9 + [(2, "clean words only")] * 4 + [(None, None)] * 5 + [(3, text)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in decontaminate.report(docs_, items).collect())
+    assert got == {(1, 14, 11, ("7",)): 9, (2, 3, 0, ()): 4, (None, 0, 0, ()): 5, (3, 11, 11, ("7",)): 1}
