@@ -16,8 +16,7 @@ split's last window is left part-filled.
 
 Texts are tokenized by distinct words between ASCII white space, which no
 token of the vocabulary's pre-tokenizer crosses. A table of words, bounded in
-bytes (``KNOWN_BYTES``), is kept between batches, and between the tasks of a
-Python worker; it holds nothing that results depend on. Words beyond ``LONG``
+bytes (``KNOWN_BYTES``), is kept between the batches of a task; words beyond ``LONG``
 characters (texts without spaces) are never kept. Memory follows the batch and
 the longest document (a row of 100 MB: about 1.5 GB).
 
@@ -34,8 +33,6 @@ are packed each; null document ids stay null; an empty table gives no rows.
 from __future__ import annotations
 
 import os
-import sys
-import types
 from collections.abc import Iterator
 from itertools import chain, repeat
 from math import gcd
@@ -205,14 +202,6 @@ class Words:
         return ids, ends[stop == 2], ends[stop == 1]
 
 
-def worker_words(path: str, end_id: int) -> Words:
-    """The table of this Python worker, which serves one task after another."""
-    kept = sys.modules.setdefault("_packing_words", types.ModuleType("_packing_words")).__dict__
-    if (path, end_id) not in kept:
-        kept[path, end_id] = Words(path, end_id)
-    return kept[path, end_id]
-
-
 def _words(text: str) -> Iterator[list[str]]:
     """Words and line ends of a text, in slices cut at spaces. A-Z are
     lower-cased at once where that changes no composed or special string."""
@@ -290,7 +279,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     schema = T.StructType([T.StructField("sequence_id", long), T.StructField("n_tokens", long), T.StructField("ids", T.BinaryType()), T.StructField("pieces", T.ArrayType(piece))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, serial = worker_words(vocabulary, end_id), TaskContext.get().partitionId() << 32
+        words, serial = Words(vocabulary, end_id), TaskContext.get().partitionId() << 32
         ids, stops = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         first, size, name = np.zeros(0, np.int64), np.zeros(0, np.int64), []  # of each document: its start in ids (below 0 if begun before), length, id
 
