@@ -12,6 +12,10 @@ the key without one letter, so one edit away means an equal key:
   leave out a letter to reach it are linked to the name that has it.
 
 Links are verified by their edit distance and joined to components.
+
+A name becomes a row for each letter, which Spark's size estimates do not see
+(they follow the file's size), so the joins are hinted to shuffle: a broadcast
+would gather these rows in the driver.
 """
 
 from __future__ import annotations
@@ -44,11 +48,11 @@ def name_links(names: DataFrame) -> DataFrame:
     cut = odd.select("name", "token", "rest", F.explode(cuts).alias("c")).select("name", "token", "rest", "c.left", "c.place")
     # changed letter
     least = cut.groupBy("rest", "left", "place").agg(F.min(F.struct("name", "token")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    changed = cut.join(least, ["rest", "left", "place"]).select(F.col("least.name").alias("a"), F.col("least.token").alias("x"), F.col("name").alias("b"), F.col("token").alias("y"))
+    changed = cut.join(least.hint("merge"), ["rest", "left", "place"]).select(F.col("least.name").alias("a"), F.col("least.token").alias("x"), F.col("name").alias("b"), F.col("token").alias("y"))
     # missing letter (the shorter token may be below the fuzzy length, too)
     whole = names.select("name", "tokens", F.posexplode("tokens").alias("at", "left"))
     whole = whole.select(F.col("name").alias("a"), "left", F.concat_ws(" ", F.filter("tokens", lambda t, i: i != F.col("at"))).alias("rest")).distinct()
-    missing = cut.select("name", "token", "rest", "left").distinct().join(whole, ["rest", "left"]).select("a", F.col("left").alias("x"), F.col("name").alias("b"), F.col("token").alias("y"))
+    missing = cut.select("name", "token", "rest", "left").distinct().join(whole.hint("merge"), ["rest", "left"]).select("a", F.col("left").alias("x"), F.col("name").alias("b"), F.col("token").alias("y"))
     return changed.unionByName(missing).filter((F.col("a") != F.col("b")) & (F.levenshtein("x", "y") <= 1)).select("a", "b").distinct()
 
 
@@ -62,7 +66,7 @@ def resolve_people(rows: DataFrame, name: str = "name", out: str = "person") ->
     named = rows.withColumn("__name", text)
     names = named.filter(F.col("__name").isNotNull()).select(F.col("__name").alias("name")).distinct().withColumn("tokens", F.split("name", " "))
     who = connected_components(name_links(names)).select(F.col("node").alias("__name"), F.col("component").alias("__who"))
-    return named.join(who, "__name", "left").withColumn(out, F.coalesce("__who", "__name")).drop("__name", "__who")
+    return named.join(who.hint("merge"), "__name", "left").withColumn(out, F.coalesce("__who", "__name")).drop("__name", "__who")
 
 
 def multi_employment_resolved(payroll: DataFrame, name: str, employer: str, period: tuple[str, ...] = ("ano", "mes"), min_employers: int = 2) -> DataFrame:

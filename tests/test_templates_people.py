@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from civicspark.operators import components as CO
 from civicspark.operators import people as PE
@@ -90,3 +91,13 @@ def test_a_block_gives_no_more_links_than_members(spark):
     names = [f"JOAO SILV{c}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     links = PE.name_links(spark.createDataFrame([(n, n.split()) for n in names], "name string, tokens array<string>"))
     assert links.count() == len(names) - 1
+
+
+def test_names_are_not_broadcast(spark, tmp_path):
+    """A name is many rows in the joins, and a component table is compressed: no join may rest on a file's size."""
+    spark.createDataFrame([(f"JOAO SILVA{chr(65 + k % 26)}", "A", 2024, 1) for k in range(40)], "name string, employer string, ano int, mes int").write.parquet(f"{tmp_path}/names")
+    rows = spark.read.parquet(f"{tmp_path}/names")
+    names = rows.select("name").distinct().select("name", F.split("name", " ").alias("tokens"))
+    for df in (PE.name_links(names), PE.resolve_people(rows), PE.multi_employment_resolved(rows, "name", "employer")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
