@@ -219,3 +219,17 @@ def test_median_does_not_depend_on_settings(spark, reuse, adaptive):
             want.setdefault(g, []).append(v)
     assert got.keys() == want.keys()
     assert all(math.isclose(got[g], statistics.median(v), rel_tol=1e-12) for g, v in want.items())
+
+
+def test_pairs_of_a_key_are_dealt_over_cells(spark):
+    """400 x 300 pairs of one key and a NULL key meet in cells of 50 x 50, each pair in one of them."""
+    left = spark.range(800).select(F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN id ELSE 7 END").alias("k"), F.col("id").alias("l"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    right = spark.range(400).select(F.expr("CASE id % 4 WHEN 0 THEN NULL ELSE 7 END").alias("__r_k"), F.col("id").alias("r"))
+    a, b = UN.deal_pairs(left, right, ["k"], ["__r_k"], cell_rows=50)
+    met = a.join(b, a["k"].eqNullSafe(b["__r_k"]) & (a["__a"] == b["__ra"]) & (a["__b"] == b["__rb"]))
+    assert met.count() == met.select("l", "r").distinct().count() == 400 * 300 + 200 * 100
+    assert max(r["count"] for r in met.groupBy("k", "__a", "__b").count().collect()) < 4 * 50 * 50
+    joined = UN.merge_outer_common(left, right.withColumnRenamed("__r_k", "k"))
+    assert joined.count() == 400 * 300 + 200 * 100 + 200
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "strategy=merge" in plan
