@@ -349,18 +349,26 @@ def unpack_columnar(responses: DataFrame, body: str = "body", uneven: str = "une
     the body NULL, where the lists differ in length."""
     b = clean_body(body)
     first_is_list = b.rlike(r'^\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\[')
-    parsed = responses.withColumn("__lists", F.when(first_is_list, F.from_json(b, "map<string,array<variant>>")))
-    names, lists = F.map_keys("__lists"), F.map_values("__lists")
-    plain = F.forall(lists, lambda x: x.isNotNull() & ~F.exists(x, lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))))
-    columnar = (F.coalesce(F.size("__lists") > 0, F.lit(False)) & plain
-                & (F.size(F.array_distinct(names)) == F.size(names)))
-    sizes = F.transform(lists, lambda x: F.size(x))
-    last = F.array_max(sizes)
-    objects = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.map_from_arrays(names, F.transform(lists, lambda x: F.get(x, i))))
-    parsed = parsed.withColumn(uneven, F.coalesce(columnar & (last != F.array_min(sizes)), F.lit(False)))
-    text = (F.when(F.col(uneven), F.lit(None).cast("string"))
-            .when(columnar, F.when(last > 0, F.to_json(objects)).otherwise("[]")).otherwise(F.col(body)))
-    return parsed.withColumn(body, text).drop("__lists")
+
+    def kind(m: Column) -> Column:
+        names, lists = F.map_keys(m), F.map_values(m)
+        plain = F.forall(lists, lambda x: x.isNotNull() & ~F.exists(x, lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))))
+        columnar = F.coalesce(F.size(m) > 0, F.lit(False)) & plain & (F.size(F.array_distinct(names)) == F.size(names))
+        sizes = F.transform(lists, lambda x: F.size(x))
+        return F.struct(m.alias("m"), columnar.alias("columnar"), F.array_max(sizes).alias("last"), F.array_min(sizes).alias("least"))
+
+    def text(k: Column) -> Column:
+        names, lists, last = F.map_keys(k["m"]), F.map_values(k["m"]), k["last"]
+        objects = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.map_from_arrays(names, F.transform(lists, lambda x: F.get(x, i))))
+        odd = F.coalesce(k["columnar"] & (last != k["least"]), F.lit(False))
+        return F.struct(odd.alias("odd"), F.when(odd, F.lit(None).cast("string")).when(
+            k["columnar"], F.when(last > 0, F.to_json(objects)).otherwise("[]")).otherwise(F.col(body)).alias("text"))
+
+    # each value is bound by a transform and the result leaves by an explode, which no later filter or
+    # projection is pushed through: the body is parsed here once, however often its text is used below
+    lists = F.when(first_is_list, F.from_json(b, "map<string,array<variant>>"))
+    told = responses.select("*", F.explode(F.transform(F.transform(F.array(lists), kind), text)).alias("__told"))
+    return told.withColumn(uneven, F.col("__told.odd")).withColumn(body, F.col("__told.text")).drop("__told")
 
 
 def payload_errors(landing: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:

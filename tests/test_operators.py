@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civicspark.errors import EmptySelection, SchemaError, TableNotFound
 from civicspark.operators import nested as N
+from civicspark.operators import profile as P
 from civicspark.operators import schema as C
 from civicspark.operators import unify as UN
 from civicspark.plans import extraction as X
@@ -224,7 +225,7 @@ def test_median_does_not_depend_on_settings(spark, reuse, adaptive):
 def test_pairs_of_a_key_are_dealt_over_cells(spark):
     """400 x 300 pairs of one key and a NULL key meet in cells of 50 x 50, each pair in one of them."""
     left = spark.range(800).select(F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN id ELSE 7 END").alias("k"), F.col("id").alias("l"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
-    right = spark.range(400).select(F.expr("CASE id % 4 WHEN 0 THEN NULL ELSE 7 END").alias("__r_k"), F.col("id").alias("r"))
+    right = spark.range(400).select(F.expr("CASE id % 4 WHEN 0 THEN NULL ELSE 7L END").alias("__r_k"), F.col("id").alias("r"))
     a, b = UN.deal_pairs(left, right, ["k"], ["__r_k"], cell_rows=50)
     met = a.join(b, a["k"].eqNullSafe(b["__r_k"]) & (a["__a"] == b["__ra"]) & (a["__b"] == b["__rb"]))
     assert met.count() == met.select("l", "r").distinct().count() == 400 * 300 + 200 * 100
@@ -233,3 +234,21 @@ def test_pairs_of_a_key_are_dealt_over_cells(spark):
     assert joined.count() == 400 * 300 + 200 * 100 + 200
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in plan and "strategy=merge" in plan
+
+
+def test_a_columnar_body_is_unpacked_once(spark, tmp_path):
+    """Filters on the unpacked body must not bring its parse along, once for each time they name it."""
+    bodies = ['{"a":[1,2],"b":["x","y"]}', '{"a":[1],"b":[]}', '{"a":[{"c":1}]}', '[{"a":1}]', "5", None]
+    spark.createDataFrame(list(enumerate(bodies)), "id long, body string").write.parquet(f"{tmp_path}/landing")
+    out = N.unpack_columnar(spark.read.parquet(f"{tmp_path}/landing"), "body", "uneven").filter("NOT uneven")
+    out = out.filter(N.body_shape() != "scalar")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert {r.id: r.body for r in out.collect()} == {0: '[{"a":1,"b":"x"},{"a":2,"b":"y"}]', 2: '{"a":[{"c":1}]}', 3: '[{"a":1}]'}
+
+
+def test_profile_counts_each_column_without_widening_rows(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (1, -0.0, None), (2, None, None)], "a int, b double, c string")
+    got = [tuple(r) for r in P.table_profile(df).collect()]
+    assert got == [(3, 0, "a", "int", 3, 2), (3, 1, "b", "double", 2, 1), (3, 2, "c", "string", 1, 1)]
+    assert [r.n_rows for r in P.table_profile(df.limit(0)).collect()] == [0, 0, 0]
+    assert "Expand" not in P.table_profile(df)._jdf.queryExecution().optimizedPlan().toString()
