@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,21 +11,29 @@ from pyspark.sql import types as T
 
 def table_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """A1: one row per column - position, name, type, rows, non-NULL count,
-    distinct count - from a single aggregate pass (partial aggregation map
-    side). ``exact=False`` uses HyperLogLog sketches, which keep the
-    shuffle at a few KB per column however large the table."""
+    distinct count. Exactly, each column is counted by value on its own, so a
+    scan reads every column once and a value crosses the network once a task
+    (distinct counts in one aggregate would multiply whole rows by the
+    columns). ``exact=False`` uses HyperLogLog sketches in a single pass, which
+    keep the shuffle at a few KB per column however large the table."""
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+
+    def head(i, f):
+        return [F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type")]
+
+    if exact and fields:
+        per = []
+        for i, f in enumerate(fields):
+            values = df.groupBy(F.col(f"`{f.name}`").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+            counts = values.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("n_rows"), F.count("__v").alias("n_distinct"),
+                                F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__c"))), F.lit(0)).alias("non_null"))
+            per.append(counts.select("n_rows", *head(i, f), "non_null", "n_distinct"))
+        return reduce(lambda a, b: a.unionByName(b), per)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        aggs += [F.count(c).alias(f"__nn{i}"), distinct.alias(f"__nd{i}")]
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
-                 F.lit(f.dataType.simpleString()).alias("data_type"),
-                 F.col(f"__nn{i}").alias("non_null"), F.col(f"__nd{i}").alias("n_distinct"))
-        for i, f in enumerate(fields)
-    ])
+        aggs += [F.count(c).alias(f"__nn{i}"), F.approx_count_distinct(c).alias(f"__nd{i}")]
+    entries = F.array(*[F.struct(*head(i, f), F.col(f"__nn{i}").alias("non_null"), F.col(f"__nd{i}").alias("n_distinct")) for i, f in enumerate(fields)])
     return df.agg(*aggs).select(F.col("__rows").alias("n_rows"), F.inline(entries))
 
 
