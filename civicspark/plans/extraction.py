@@ -13,6 +13,8 @@ uses a cross join. AQE picks the joins from measured sizes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,14 +72,27 @@ def loaded_cell_keys(loaded: DataFrame, keys) -> DataFrame:
     return loaded.select(*keys).distinct()
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def _known_cells(loaded: DataFrame, keys) -> DataFrame:
+    """:func:`loaded_cell_keys`, broadcast if the counted cells hold at most
+    ``BROADCAST_BYTES``: the plan, many rows a cell with their URLs, is then not
+    shuffled by cell. Counting is a small job while the plan is built."""
+    cells = loaded_cell_keys(loaded, keys)
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 16 for k in keys])
+    size = cells.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(cells) if size <= BROADCAST_BYTES else cells
+
+
 def pending_cells(plan: DataFrame, loaded: DataFrame, keys=MONTH_CELL) -> DataFrame:
     """K1: plan cells with no loaded row (NOT EXISTS as a left anti join)."""
-    return plan.join(loaded_cell_keys(loaded, keys), list(keys), "left_anti")
+    return plan.join(_known_cells(loaded, keys), list(keys), "left_anti")
 
 
 def loaded_cells(plan: DataFrame, loaded: DataFrame, keys=MONTH_CELL) -> DataFrame:
     """K2: plan cells that already have rows (left semi join)."""
-    return plan.join(loaded_cell_keys(loaded, keys), list(keys), "left_semi")
+    return plan.join(_known_cells(loaded, keys), list(keys), "left_semi")
 
 
 def high_water_mark(ledger: DataFrame, by: list[str], ano: str = "ano", mes: str | None = "mes") -> DataFrame:

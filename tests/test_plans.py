@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from civicspark.plans import extraction
 from conftest import SF_SMALL
 
 
@@ -16,6 +17,23 @@ def test_pending_cells_is_an_anti_join_without_nested_loops(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+@pytest.mark.parametrize("key", ["yearly_pending", "loaded_cells"])
+def test_the_plan_is_not_shuffled_by_loaded_cells(spark, key):
+    text = plan_text(E.queries()[key](spark, SF_SMALL))
+    assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
+def test_many_loaded_cells_are_not_broadcast(spark, monkeypatch):
+    plan = spark.createDataFrame([("t", 1, "u1"), ("t", 1, "u2"), ("t", 2, "u3"), (None, 3, "u4")], "topic string, ano int, url string")
+    loaded = spark.createDataFrame([("t", 1), ("t", 1), (None, 3), ("é", 9)], "topic string, ano int")
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr(extraction, "BROADCAST_BYTES", limit)
+        pending, known = extraction.pending_cells(plan, loaded, ("topic", "ano")), extraction.loaded_cells(plan, loaded, ("topic", "ano"))
+        assert ("ResolvedHint" in pending._jdf.queryExecution().analyzed().toString()) == (limit > 0)
+        assert sorted(r.url for r in pending.collect()) == ["u3", "u4"]
+        assert sorted(r.url for r in known.collect()) == ["u1", "u2"]
+
+
 @pytest.mark.parametrize("key", ["extraction_plan", "resume_plan", "retry_lookup", "merge_outer_common",
                                  "portal_coverage", "multi_employment", "price_outliers", "dedup_by_key"])
 def test_no_cross_or_nested_loop_joins(spark, key):
