@@ -9,11 +9,15 @@ a similarity of 0.8 a pair meets in some band with a chance of 0.995.
 
 Equal lines are one node, told by a 16-byte digest, so a line that a third of
 all documents hold is counted per task before the shuffle. Candidates are
-linked in two steps, as many pairs as bucket members first (star and chain),
-then all pairs of different components in buckets that still hold several;
-each pair is verified by exact Jaccard on the lines' shingles. Union-find
-joins the links, and of each component the line at the first place (document
-id, line number) stays.
+linked in two steps, as many pairs as bucket members first (star and chain).
+Lines of buckets that still hold several components are then joined by prefix:
+with shingles ordered from rare to frequent, two lines that reach the threshold
+share one early in both, so the lines of a large bucket that have a common
+passage, but too little of it to link, do not meet pair by pair. The prefix
+join is exact; it also finds links of such lines that share no band. Each
+pair is verified by exact Jaccard on the lines' shingles. Union-find joins the
+links, and of each component the line at the first place (document id, line
+number) stays.
 
 Defined results: lines without other characters than white space are never
 dropped, nor are they compared; null text has no lines; rows with equal
@@ -37,9 +41,10 @@ from pyspark.sql import Window
 
 from civicspark.llm.common import fresh, materialize, q, small
 from civicspark.llm.graph import components
+from civicspark.llm.ngram_join import least_shared, sketch
 from civicspark.llm.textnum import mix, row_sets
 
-SHINGLE, BANDS, ROWS, THRESHOLD, SEEN, CHUNK = 7, 10, 4, 80, 200_000, 1 << 17
+SHINGLE, BANDS, ROWS, THRESHOLD, SEEN, CHUNK, ORDER_BITS = 7, 10, 4, 80, 200_000, 1 << 17, 20
 
 
 def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +149,9 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return docs.mapInArrow(read, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose lines reach the threshold. The lines are
-    read again at their first places."""
-    pairs = materialize(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    want = places.join(small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 40), "node", "left_semi")
+def line_texts(nodes: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, said) of the lines ``nodes``, read again at their first places."""
+    want = places.join(small(nodes, 40), "node", "left_semi")
     want = want.groupBy(F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("lines"))
     want = materialize(want, "wanted")
     size = want.agg(F.sum(F.size("lines") * 48 + 64)).first()[0] or 0  # a row holds all wanted lines of a document
@@ -165,6 +166,62 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, shingle: int,
                 out.update((n, said[k]) for k, n in zip(line, node))
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.string())], names=["node", "said"])
 
+    return materialize(rows.mapInArrow(read, "node binary, said string").dropDuplicates(["node"]), "lines")
+
+
+def _line_sets(batches: Iterator[pa.RecordBatch], column: int, shingle: int):
+    """As ``_sets`` of operator 9, for the shingles of whole lines."""
+    for b in batches:
+        held = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:  # about 4 MB of lines together
+            hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + (4 << 20), "right")))
+            yield b, lo, hi, *_hashes(b.column(column).slice(lo, hi - lo).to_pylist(), shingle)
+            lo = hi
+
+
+def prefix_pairs(said: DataFrame, labels: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(g, h): heads, in order, of all pairs of lines of different labels that
+    may reach the threshold. Of two sets that must share ``k`` members, the
+    first ``n - k + 1`` of one and the first ``m - k + 1`` of the other meet in
+    any order of the shingles. The order is rare-first by a count sketch, so a
+    shingle of many lines counts only in lines made up of such. A shingle whose
+    slot was counted once is in one line and is left out. ``labels``: (node,
+    head, mine), ``mine`` the label's 64-bit hash."""
+    order = said.sparkSession.sparkContext.broadcast(sketch(said.select("said"), shingle, ORDER_BITS, _line_sets))
+    shift = np.uint64(64 - ORDER_BITS)
+    schema = "head long, mine long, n long, place array<int>, token array<long>"
+
+    def read(batches):
+        weight = np.frombuffer(order.value, np.uint8)
+        for b, lo, hi, h, rows in _line_sets(batches, 2, shingle):
+            n, place, token = [], [], []
+            for s in row_sets(h, rows):
+                heavy = weight[(s >> shift).astype(np.int64)]
+                key = (heavy.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                k = len(s) - -(-threshold * len(s) // 100) + 1
+                key = np.sort(np.partition(key, k - 1)[:k])
+                at = np.flatnonzero((key >> np.uint64(56)) > 8)  # 8 log2(1 + 1): counted once
+                n.append(len(s))
+                place.append(at.astype(np.int32))
+                token.append(key[at].view(np.int64))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in place])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(place))),
+                                              pa.ListArray.from_arrays(ends, pa.array(np.concatenate(token)))], names=["head", "mine", "n", "place", "token"])
+
+    lists = materialize(labels.join(said, "node").select("head", "mine", "said").mapInArrow(read, schema), "line-prefixes")
+    tokens = lists.select("head", "mine", "n", F.explode(F.arrays_zip("place", "token")).alias("t")).select("head", "mine", "n", "t.place", "t.token")
+    n, m = F.col("x.n"), F.col("y.n")
+    k = least_shared(n, m, threshold)
+    x, y = tokens.filter(F.col("place") <= F.col("n") - least_shared(F.col("n"), F.col("n"), threshold)).alias("x"), tokens.alias("y")
+    later = (n < m) | ((n == m) & (F.col("x.head") < F.col("y.head")))
+    pairs = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & later & (F.col("x.mine") != F.col("y.mine")) & (100 * n >= threshold * m) & (F.col("x.place") <= n - k) & (F.col("y.place") <= m - k))
+    return pairs.select(F.least("x.head", "y.head").alias("g"), F.greatest("x.head", "y.head").alias("h")).distinct()
+
+
+def verified(pairs: DataFrame, said: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The (a, b) of the written ``pairs`` whose lines reach the threshold.
+    ``said``: (node, said) of their lines."""
     def check(batches):
         for b in batches:
             good: list[bool] = []
@@ -186,7 +243,6 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, shingle: int,
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    said = materialize(rows.mapInArrow(read, "node binary, said string").dropDuplicates(["node"]), "lines")
     x, y = said.select(F.col("node").alias("a"), F.col("said").alias("x")), said.select(F.col("node").alias("b"), F.col("said").alias("y"))
     return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "verified")
 
@@ -209,19 +265,21 @@ def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
         return pairs.join(x, "g").join(y, "h").select("a", "b")
 
     first = materialize(buckets.filter("before is not null").select(F.explode(F.array_distinct(F.array("star", "before"))).alias("g"), F.col("head").alias("h")).distinct(), "line-pairs")
-    links = verified(nodes_of(first), docs, places, shingle, threshold)
+    pairs = materialize(nodes_of(first), "pairs")
+    links = verified(pairs, line_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, places), shingle, threshold)
     labels = components(links)
 
-    with_label = named.join(small(labels, 40), "node", "left").select("head", F.coalesce("label", "node").alias("label"))
+    with_label = named.join(small(labels, 40), "node", "left").select("head", "node", F.xxhash64(F.coalesce("label", "node")).alias("mine"))
     marked = materialize(buckets.select("band", "head").join(with_label, "head"), "line-buckets")
-    mixed = marked.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("band")
-    open_rows = marked.join(mixed, "band", "left_semi")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.head") < F.col("y.head")) & (F.col("x.label") != F.col("y.label")))
-    rest = rest.select(F.col("x.head").alias("g"), F.col("y.head").alias("h")).distinct().join(first, ["g", "h"], "left_anti")
-    more = verified(nodes_of(rest), docs, places, shingle, threshold)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    # of up to three lines, the first step has tried all pairs
+    mixed = marked.groupBy("band").agg(F.min("mine").alias("l"), F.max("mine").alias("h"), F.count(F.lit(1)).alias("n")).filter("l <> h and n > 3").select("band")
+    opened = materialize(marked.join(mixed, "band", "left_semi").select("node", "head", "mine").distinct(), "line-open")
+    if not opened.isEmpty():
+        said = line_texts(opened.select("node"), docs, places)
+        rest = prefix_pairs(said, opened, shingle, threshold).join(first.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")), ["g", "h"], "left_anti")
+        more = verified(materialize(nodes_of(rest), "pairs"), said, shingle, threshold)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
     linked = places.join(small(labels, 40), "node")
     kept = linked.groupBy("label").agg(F.min("first").alias("kept"))

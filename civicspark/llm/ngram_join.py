@@ -51,11 +51,12 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, size: int, hasher: Has
             yield b, lo, hi, *shingles(words, rows, size)
 
 
-def sketch(texts: DataFrame, size: int, bits: int = SKETCH_BITS) -> bytes:
-    """For each of 2^bits hash slots the logarithm of its shingle count."""
+def sketch(texts: DataFrame, size: int, bits: int = SKETCH_BITS, sets=_sets) -> bytes:
+    """For each of 2^bits hash slots the logarithm of its shingle count.
+    ``sets``: as :func:`_sets`, for shingles of another kind."""
     def count(batches):
         total = np.zeros(1 << bits, np.int64)
-        for _, _, _, h, _ in _sets(batches, 0, size):
+        for _, _, _, h, _ in sets(batches, 0, size):
             total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         parts = total.reshape(-1, SLICE)
         full = np.flatnonzero(parts.any(axis=1))

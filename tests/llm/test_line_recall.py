@@ -42,3 +42,20 @@ def test_recall_at_the_threshold(spark, name):
     assert lost <= {2 * k + 1 for k in range(400)}  # the later line of a pair, no other
     print(f"recall of {name} lines at 0.8 to 0.9: {len(lost) / 400:.4f}")
     assert len(lost) >= 0.985 * 400
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Lines of one long passage and own words, too many to link, meet in
+    bands; few of their pairs are verified, and no link among them is lost."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    passage = " ".join(word() for _ in range(45))
+    lines = [" ".join(word() for _ in range(12)) + " " + passage for _ in range(150)]
+    lines += [line[:30] + "0123" + line[34:] for line in lines[:20]]  # near copies of the first lines
+    jaccards = {(i, j): jaccard(lines[i], lines[j]) for i in range(len(lines)) for j in range(i)}
+    assert max(v for (i, j), v in jaccards.items() if i - j != 150) < 0.8 <= min(jaccards[150 + j, j] for j in range(20))
+    seen, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4))
+    assert {r.doc_id for r in out.filter("n_lost > 0").collect()} == set(range(150, 170))
+    assert sum(seen) < 3000  # of 14,365
