@@ -10,13 +10,14 @@ a similarity of 0.8 a pair meets in some band with a chance of 0.995.
 Equal lines are one node, told by a 16-byte digest, so a line that a third of
 all documents hold is counted per task before the shuffle. Candidates are
 linked in two steps, as many pairs as bucket members first (star and chain).
-Lines of buckets that still hold several components are then joined by prefix:
-with shingles ordered from rare to frequent, two lines that reach the threshold
-share one early in both, so the lines of a large bucket that have a common
-passage, but too little of it to link, do not meet pair by pair. The prefix
-join is exact; it also finds links of such lines that share no band. Each
-pair is verified by exact Jaccard on the lines' shingles. Union-find joins the
-links, and of each component the line at the first place (document id, line
+Lines of buckets that still hold several components, which get ``BANDS`` more
+bands each, are then compared in blocks: a task holds the lines of a bucket, or
+a cell of ``CELL`` by ``CELL`` of a larger one, as parities of their shingles in
+``BITS`` bins, and pairs become rows only if the parities that differ leave the
+threshold in reach. What differs there is in one of the sets alone, so no pair
+that reaches it is left out, and rows are as many as bucket members, not pairs.
+Each pair is verified by exact Jaccard on the lines' shingles. Union-find joins
+the links, and of each component the line at the first place (document id, line
 number) stays.
 
 Defined results: lines without other characters than white space are never
@@ -41,10 +42,10 @@ from pyspark.sql import Window
 
 from civicspark.llm.common import fresh, materialize, q, small
 from civicspark.llm.graph import components
-from civicspark.llm.ngram_join import least_shared, sketch
 from civicspark.llm.textnum import mix, row_sets
 
-SHINGLE, BANDS, ROWS, THRESHOLD, SEEN, CHUNK, ORDER_BITS = 7, 10, 4, 80, 200_000, 1 << 17, 20
+SHINGLE, BANDS, ROWS, THRESHOLD, SEEN, CHUNK = 7, 10, 4, 80, 200_000, 1 << 17
+BITS, CELL, AT_ONCE = 2048, 1024, 1 << 14
 
 
 def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +90,15 @@ def signatures(h: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def band_keys(h: np.ndarray, at: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
+    """One row of the keys of bands ``first``, ``first + 1``, ... for each line."""
+    sig = signatures(h, at, bands * rows).reshape(len(at) - 1, bands, rows)
+    key = np.broadcast_to(np.arange(first, first + bands, dtype=np.uint64), (len(at) - 1, bands)).copy()
+    for k in range(rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+    return key
+
+
 def split_lines(text: str) -> Iterator[tuple[int, str]]:
     """Number and normal form of each line that has a character."""
     for k, line in enumerate(text.split("\n")):
@@ -122,10 +132,7 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             fresh_rows = np.zeros(len(nodes), bool)
             fresh_rows[new] = True
             h, at = _hashes([said[k] for k in new], shingle)
-            sig = signatures(h, at, bands * rows).reshape(len(new), bands, rows)
-            key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(new), bands)).copy()
-            for k in range(rows):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+            key = band_keys(h, at, bands, rows)
             ends = np.concatenate([[0], np.cumsum(fresh_rows * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.reshape(-1).view(np.int64)))
             take = pa.array(owner, pa.int64())
@@ -180,43 +187,75 @@ def _line_sets(batches: Iterator[pa.RecordBatch], column: int, shingle: int):
             lo = hi
 
 
-def prefix_pairs(said: DataFrame, labels: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """(g, h): heads, in order, of all pairs of lines of different labels that
-    may reach the threshold. Of two sets that must share ``k`` members, the
-    first ``n - k + 1`` of one and the first ``m - k + 1`` of the other meet in
-    any order of the shingles. The order is rare-first by a count sketch, so a
-    shingle of many lines counts only in lines made up of such. A shingle whose
-    slot was counted once is in one line and is left out. ``labels``: (node,
-    head, mine), ``mine`` the label's 64-bit hash."""
-    order = said.sparkSession.sparkContext.broadcast(sketch(said.select("said"), shingle, ORDER_BITS, _line_sets))
-    shift = np.uint64(64 - ORDER_BITS)
-    schema = "head long, mine long, n long, place array<int>, token array<long>"
-
+def line_shapes(said: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(node, n, odd, keys, bands) of each line of ``said``: the set's size, the
+    parities of its members in ``BITS`` bins, the keys of its bands and then of
+    as many by another hash, and the latter as an array."""
     def read(batches):
-        weight = np.frombuffer(order.value, np.uint8)
-        for b, lo, hi, h, rows in _line_sets(batches, 2, shingle):
-            n, place, token = [], [], []
-            for s in row_sets(h, rows):
-                heavy = weight[(s >> shift).astype(np.int64)]
-                key = (heavy.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                k = len(s) - -(-threshold * len(s) // 100) + 1
-                key = np.sort(np.partition(key, k - 1)[:k])
-                at = np.flatnonzero((key >> np.uint64(56)) > 8)  # 8 log2(1 + 1): counted once
-                n.append(len(s))
-                place.append(at.astype(np.int32))
-                token.append(key[at].view(np.int64))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in place])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(place))),
-                                              pa.ListArray.from_arrays(ends, pa.array(np.concatenate(token)))], names=["head", "mine", "n", "place", "token"])
-
-    lists = materialize(labels.join(said, "node").select("head", "mine", "said").mapInArrow(read, schema), "line-prefixes")
-    tokens = lists.select("head", "mine", "n", F.explode(F.arrays_zip("place", "token")).alias("t")).select("head", "mine", "n", "t.place", "t.token")
-    n, m = F.col("x.n"), F.col("y.n")
-    k = least_shared(n, m, threshold)
-    x, y = tokens.filter(F.col("place") <= F.col("n") - least_shared(F.col("n"), F.col("n"), threshold)).alias("x"), tokens.alias("y")
-    later = (n < m) | ((n == m) & (F.col("x.head") < F.col("y.head")))
-    pairs = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & later & (F.col("x.mine") != F.col("y.mine")) & (100 * n >= threshold * m) & (F.col("x.place") <= n - k) & (F.col("y.place") <= m - k))
-    return pairs.select(F.least("x.head", "y.head").alias("g"), F.greatest("x.head", "y.head").alias("h")).distinct()
+        for b, lo, hi, h, at in _line_sets(batches, 1, shingle):
+            sets = list(row_sets(h, at))
+            odd = [np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes() for s in sets]
+            key = band_keys(mix(h ^ np.uint64(0x632BE59BD9B4E019)), at, bands, rows, bands)
+            keys = [k.tobytes() for k in np.concatenate([band_keys(h, at, bands, rows), key], axis=1)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary()), pa.array(keys, pa.binary()), lists], names=["node", "n", "odd", "keys", "bands"])
+
+    return materialize(said.select("node", "said").mapInArrow(read, "node binary, n long, odd binary, keys binary, bands array<long>"), "line-shapes")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole cells, from rows in the order of their cells (the first three columns)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            cell = np.column_stack([c.to_numpy() for c in b.columns[:3]])
+            before = [[c[-1].as_py() for c in held[-1].columns[:3]]] if held else cell[:1]
+            new = np.flatnonzero((cell != np.concatenate([before, cell[:-1]])).any(axis=1))
+            if len(new):
+                if held or new[-1]:
+                    yield pa.Table.from_batches([*held, b.slice(0, new[-1])])
+                held, b = [], b.slice(new[-1])
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(members: DataFrame, threshold: int) -> DataFrame:
+    """(g, h): heads, in order, of the pairs of a bucket's lines of different
+    labels that may reach the threshold, each from the first bucket that both
+    are in. ``members``: (band, c, head, mine, n, odd, keys), ``c`` the lines of
+    the bucket, ``mine`` the label's 64-bit hash, ``keys`` the line's buckets."""
+    stripes = F.ceil(F.col("c") / CELL)
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("head"), stripes)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), stripes - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "head", "mine", "n", "odd", "keys")
+    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def compare(batches):
+        for t in _cells(batches):
+            band, low, high, own, head, mine, n = (t.column(k).to_numpy() for k in range(7))
+            odd, keys = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint64).reshape(t.num_rows, -1) for k in (7, 8))
+            new = (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            edges = np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if low[lo] == high[lo]:
+                    x, y = np.triu_indices(hi - lo, 1)
+                else:  # pairs of two stripes; those of one have a cell of their own
+                    mask = own[lo:hi] == low[lo]
+                    x, y = (k.reshape(-1) for k in np.meshgrid(np.flatnonzero(mask), np.flatnonzero(~mask)))
+                x, y = x + lo, y + lo
+                near = (mine[x] != mine[y]) & (100 * np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
+                x, y = x[near], y[near]
+                apart = n[x] + n[y] + 2 * (-threshold * (n[x] + n[y]) // (100 + threshold))  # the sizes less twice the fewest common members
+                for k in range(0, len(x), AT_ONCE):
+                    i, j = x[k:k + AT_ONCE], y[k:k + AT_ONCE]
+                    good = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= apart[k:k + AT_ONCE]
+                    i, j = i[good], j[good]
+                    here = keys[i, (keys[i] == keys[j]).argmax(axis=1)].view(np.int64) == band[lo]
+                    if here.any():
+                        g, h = head[i[here]], head[j[here]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g, h)), pa.array(np.maximum(g, h))], names=["g", "h"])
+
+    return dealt.mapInArrow(compare, "g long, h long")
 
 
 def verified(pairs: DataFrame, said: DataFrame, shingle: int, threshold: int) -> DataFrame:
@@ -255,8 +294,9 @@ def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     places = materialize(lines.groupBy("node").agg(F.min("head").alias("head"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-places")
 
     order = Window.partitionBy("band").orderBy("head")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     keys = lines.select("head", F.explode("bands").alias("band"))
-    buckets = keys.select("band", "head", F.first("head").over(order).alias("star"), F.lag("head").over(order).alias("before"), F.last("head").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("last"))
+    buckets = keys.select("band", "head", F.min("head").over(whole).alias("star"), F.lag("head").over(order).alias("before"), F.max("head").over(whole).alias("last"))
     buckets = materialize(buckets.filter("star <> last and (before is null or before <> head)"), "line-buckets")
     named = materialize(places.select("head", "node").join(small(buckets.select("head").distinct(), 24), "head", "left_semi"), "line-names")
 
@@ -271,12 +311,17 @@ def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
 
     with_label = named.join(small(labels, 40), "node", "left").select("head", "node", F.xxhash64(F.coalesce("label", "node")).alias("mine"))
     marked = materialize(buckets.select("band", "head").join(with_label, "head"), "line-buckets")
+    mixed = lambda rows: rows.groupBy("band").agg(F.min("mine").alias("l"), F.max("mine").alias("h"), F.count(F.lit(1)).alias("c")).filter("l <> h").select("band", "c")
     # of up to three lines, the first step has tried all pairs
-    mixed = marked.groupBy("band").agg(F.min("mine").alias("l"), F.max("mine").alias("h"), F.count(F.lit(1)).alias("n")).filter("l <> h and n > 3").select("band")
-    opened = materialize(marked.join(mixed, "band", "left_semi").select("node", "head", "mine").distinct(), "line-open")
+    marked = materialize(marked.join(mixed(marked).filter("c > 3"), "band"), "line-open")
+    opened = materialize(marked.select("node", "head", "mine").distinct(), "line-open")
     if not opened.isEmpty():
         said = line_texts(opened.select("node"), docs, places)
-        rest = prefix_pairs(said, opened, shingle, threshold).join(first.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")), ["g", "h"], "left_anti")
+        shapes = opened.join(line_shapes(said, shingle, bands, rows), "node")
+        again = materialize(shapes.select("head", "mine", F.explode("bands").alias("band")), "line-again")
+        members = marked.select("band", "c", "head").unionByName(again.join(mixed(again), "band").select("band", "c", "head"))
+        rest = block_pairs(members.join(shapes.select("head", "mine", "n", "odd", "keys"), "head"), threshold)
+        rest = rest.join(first.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")), ["g", "h"], "left_anti")
         more = verified(materialize(nodes_of(rest), "pairs"), said, shingle, threshold)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
@@ -285,7 +330,7 @@ def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     kept = linked.groupBy("label").agg(F.min("first").alias("kept"))
     busy = linked.join(kept, "label").select("node", "kept").unionByName(
         places.filter("n > 1").join(small(labels, 40), "node", "left_anti").select("node", F.col("first").alias("kept")))
-    lost = lines.select("doc_id", "mark", "line", "node", place.alias("place")).join(small(materialize(busy, "line-kept"), 96), "node").filter(F.col("place") != F.col("kept"))
+    lost = lines.select("doc_id", "mark", "line", "node").join(small(materialize(busy, "line-kept"), 96), "node").filter(place != F.col("kept"))
     return lost.groupBy("doc_id", "mark").agg(F.collect_list("line").alias("lost"))
 
 

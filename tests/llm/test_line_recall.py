@@ -59,3 +59,28 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
     out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4))
     assert {r.doc_id for r in out.filter("n_lost > 0").collect()} == set(range(150, 170))
     assert sum(seen) < 3000  # of 14,365
+
+
+def test_near_misses_are_not_verified_pair_by_pair(spark, monkeypatch):
+    """Variants of one line, most of them too far apart to link, in buckets of
+    all sizes: the lines of brute force go, and few more pairs than link are
+    verified."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    base, lines = [word() for _ in range(80)], []
+    for k in range(160):
+        changed = set(rng.sample(range(80), 2 if k % 10 == 0 else 5))
+        lines.append(" ".join(word() if i in changed else w for i, w in enumerate(base)))
+    linked = {(i, j): jaccard(lines[i], lines[j]) >= 0.8 for i in range(len(lines)) for j in range(i)}
+    least = list(range(len(lines)))
+    for _ in lines:
+        for (i, j), link in linked.items():
+            if link:
+                least[i] = least[j] = min(least[i], least[j])
+    assert 5 < len(set(least)) < 155 and sum(linked.values()) < 0.1 * len(linked)
+    seen, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(line_dedup, "CELL", 32)
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4))
+    assert {r.doc_id for r in out.filter("n_lost > 0").collect()} == {i for i, m in enumerate(least) if m < i}
+    assert len(seen) == 2 and seen[1] < 0.2 * len(linked)
