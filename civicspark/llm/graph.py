@@ -13,12 +13,10 @@ def components(links: DataFrame) -> DataFrame:
     node of the component. Each round points every node's neighbours, and
     then the node itself, to the smallest node it knows (large and small
     star), with the sums per node taken before the shuffle; rounds end when
-    no link changes. State is a table in the shared folder, the driver sees
-    only a count and a check sum."""
+    every link points from a node to its label. State is a table in the shared
+    folder, the driver sees only whether there is a row that does not."""
     pairs = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    mark = _mark(pairs)
-    while True:
+    while not _settled(pairs):
         both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -26,13 +24,11 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         pairs = materialize(small.filter("u <> v").distinct(), "links")
-        now = _mark(pairs)
-        if now == mark:
-            break
-        mark = now
-    labels = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    return materialize(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "components")
+    labels = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
+    return materialize(pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(labels), "components")
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(pairs: DataFrame) -> bool:
+    """True if no node points to two others, and none that is pointed to points on."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")), F.struct(F.col("v").alias("node"), F.lit(0).alias("n")))).alias("x")).select("x.node", "x.n")
+    return ends.groupBy("node").agg(F.sum("n").alias("out"), F.min("n").alias("least")).filter("out > 1 OR out > 0 AND least = 0").isEmpty()

@@ -156,10 +156,9 @@ def line_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return docs.mapInArrow(read, schema)
 
 
-def line_texts(nodes: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(node, said) of the lines ``nodes``, read again at their first places."""
-    want = places.join(small(nodes, 40), "node", "left_semi")
-    want = want.groupBy(F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("lines"))
+def line_texts(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, head, said) of the lines ``named`` (node, first), read again at their first places."""
+    want = named.groupBy(F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "node")).alias("lines"))
     want = materialize(want, "wanted")
     size = want.agg(F.sum(F.size("lines") * 48 + 64)).first()[0] or 0  # a row holds all wanted lines of a document
     want = F.broadcast(want) if size <= 32 << 20 else want
@@ -171,9 +170,10 @@ def line_texts(nodes: DataFrame, docs: DataFrame, places: DataFrame) -> DataFram
             for text, line, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 said = dict(split_lines(text))
                 out.update((n, said[k]) for k, n in zip(line, node))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.string())], names=["node", "said"])
+            heads = pa.array(np.frombuffer(b"".join(out), np.int64)[::2].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), heads, pa.array(list(out.values()), pa.string())], names=["node", "head", "said"])
 
-    return materialize(rows.mapInArrow(read, "node binary, said string").dropDuplicates(["node"]), "lines")
+    return materialize(rows.mapInArrow(read, "node binary, head long, said string").dropDuplicates(["node"]), "lines")
 
 
 def _line_sets(batches: Iterator[pa.RecordBatch], column: int, shingle: int):
@@ -188,19 +188,21 @@ def _line_sets(batches: Iterator[pa.RecordBatch], column: int, shingle: int):
 
 
 def line_shapes(said: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(node, n, odd, keys, bands) of each line of ``said``: the set's size, the
-    parities of its members in ``BITS`` bins, the keys of its bands and then of
-    as many by another hash, and the latter as an array."""
+    """(head, mine, n, odd, keys, bands) of each line of ``said`` (head, mine,
+    said): the set's size, the parities of its members in ``BITS`` bins, the
+    keys of its bands and then of as many by another hash, and the latter as an
+    array."""
     def read(batches):
-        for b, lo, hi, h, at in _line_sets(batches, 1, shingle):
+        for b, lo, hi, h, at in _line_sets(batches, 2, shingle):
             sets = list(row_sets(h, at))
             odd = [np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes() for s in sets]
             key = band_keys(mix(h ^ np.uint64(0x632BE59BD9B4E019)), at, bands, rows, bands)
             keys = [k.tobytes() for k in np.concatenate([band_keys(h, at, bands, rows), key], axis=1)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary()), pa.array(keys, pa.binary()), lists], names=["node", "n", "odd", "keys", "bands"])
+            own = [c.slice(lo, hi - lo) for c in b.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary()), pa.array(keys, pa.binary()), lists], names=["head", "mine", "n", "odd", "keys", "bands"])
 
-    return materialize(said.select("node", "said").mapInArrow(read, "node binary, n long, odd binary, keys binary, bands array<long>"), "line-shapes")
+    return materialize(said.select("head", "mine", "said").mapInArrow(read, "head long, mine long, n long, odd binary, keys binary, bands array<long>"), "line-shapes")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -259,8 +261,8 @@ def block_pairs(members: DataFrame, threshold: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, said: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The (a, b) of the written ``pairs`` whose lines reach the threshold.
-    ``said``: (node, said) of their lines."""
+    """The nodes (a, b) of the pairs (g, h) of heads whose lines reach the
+    threshold. ``said``: (node, head, said) of their lines."""
     def check(batches):
         for b in batches:
             good: list[bool] = []
@@ -282,8 +284,19 @@ def verified(pairs: DataFrame, said: DataFrame, shingle: int, threshold: int) ->
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    x, y = said.select(F.col("node").alias("a"), F.col("said").alias("x")), said.select(F.col("node").alias("b"), F.col("said").alias("y"))
-    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "verified")
+    x, y = (said.select(F.col("head").alias(head), F.col("node").alias(node), F.col("said").alias(text)) for head, node, text in (("g", "a", "x"), ("h", "b", "y")))
+    return materialize(pairs.join(x, "g").join(y, "h").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "verified")
+
+
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) of the components after the links ``more`` (a, b) are
+    added: the old components are the nodes of the union-find, not the lines."""
+    of = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left")
+    of = materialize(of.select("node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("new")), "line-ends")
+    x, y = of.select(F.col("node").alias("a"), F.col("label").alias("x")), of.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    joined = components(more.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    alone = of.filter("new").select("node", "label")  # linked now for the first time
+    return materialize(labels.unionByName(alone).join(small(joined, 40), "label", "left").select("node", F.coalesce("now", "label").alias("label")), "components")
 
 
 def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
@@ -298,15 +311,10 @@ def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     keys = lines.select("head", F.explode("bands").alias("band"))
     buckets = keys.select("band", "head", F.min("head").over(whole).alias("star"), F.lag("head").over(order).alias("before"), F.max("head").over(whole).alias("last"))
     buckets = materialize(buckets.filter("star <> last and (before is null or before <> head)"), "line-buckets")
-    named = materialize(places.select("head", "node").join(small(buckets.select("head").distinct(), 24), "head", "left_semi"), "line-names")
-
-    def nodes_of(pairs: DataFrame) -> DataFrame:
-        x, y = named.select(F.col("head").alias("g"), F.col("node").alias("a")), named.select(F.col("head").alias("h"), F.col("node").alias("b"))
-        return pairs.join(x, "g").join(y, "h").select("a", "b")
-
+    named = materialize(places.select("head", "node", "first").join(small(buckets.select("head").distinct(), 24), "head", "left_semi"), "line-names")
     first = materialize(buckets.filter("before is not null").select(F.explode(F.array_distinct(F.array("star", "before"))).alias("g"), F.col("head").alias("h")).distinct(), "line-pairs")
-    pairs = materialize(nodes_of(first), "pairs")
-    links = verified(pairs, line_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, places), shingle, threshold)
+    said = line_texts(named, docs)  # every line of a bucket is in a pair
+    links = verified(first, said, shingle, threshold)
     labels = components(links)
 
     with_label = named.join(small(labels, 40), "node", "left").select("head", "node", F.xxhash64(F.coalesce("label", "node")).alias("mine"))
@@ -314,17 +322,17 @@ def lost_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     mixed = lambda rows: rows.groupBy("band").agg(F.min("mine").alias("l"), F.max("mine").alias("h"), F.count(F.lit(1)).alias("c")).filter("l <> h").select("band", "c")
     # of up to three lines, the first step has tried all pairs
     marked = materialize(marked.join(mixed(marked).filter("c > 3"), "band"), "line-open")
-    opened = materialize(marked.select("node", "head", "mine").distinct(), "line-open")
+    opened = materialize(marked.select("node", "mine").distinct(), "line-open")
     if not opened.isEmpty():
-        said = line_texts(opened.select("node"), docs, places)
-        shapes = opened.join(line_shapes(said, shingle, bands, rows), "node")
+        said = materialize(said.join(small(opened, 40), "node"), "lines")
+        shapes = line_shapes(said, shingle, bands, rows)
         again = materialize(shapes.select("head", "mine", F.explode("bands").alias("band")), "line-again")
         members = marked.select("band", "c", "head").unionByName(again.join(mixed(again), "band").select("band", "c", "head"))
         rest = block_pairs(members.join(shapes.select("head", "mine", "n", "odd", "keys"), "head"), threshold)
         rest = rest.join(first.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")), ["g", "h"], "left_anti")
-        more = verified(materialize(nodes_of(rest), "pairs"), said, shingle, threshold)
+        more = verified(rest, said, shingle, threshold)
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            labels = relabelled(labels, more)
 
     linked = places.join(small(labels, 40), "node")
     kept = linked.groupBy("label").agg(F.min("first").alias("kept"))

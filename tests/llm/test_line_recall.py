@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from civicspark.llm import line_dedup
+from civicspark.llm import graph, line_dedup
 
 CLASSES = {"short": (24, 48), "middle": (80, 160), "long": (300, 600)}
 
@@ -84,3 +84,43 @@ def test_near_misses_are_not_verified_pair_by_pair(spark, monkeypatch):
     out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4))
     assert {r.doc_id for r in out.filter("n_lost > 0").collect()} == {i for i, m in enumerate(least) if m < i}
     assert len(seen) == 2 and seen[1] < 0.2 * len(linked)
+
+
+def test_lines_are_read_once_and_components_are_joined_by_label(spark, monkeypatch):
+    """The second step takes the texts of the first, and its links join the
+    first step's components, not their lines."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    base, lines = [word() for _ in range(80)], []
+    for k in range(120):
+        changed = set(rng.sample(range(80), 2 if k % 10 == 0 else 5))
+        lines.append(" ".join(word() if i in changed else w for i, w in enumerate(base)))
+    reads, sizes, read, join = [], [], line_dedup.line_texts, line_dedup.components
+    monkeypatch.setattr(line_dedup, "line_texts", lambda *a: reads.append(1) or read(*a))
+    monkeypatch.setattr(line_dedup, "components", lambda links: sizes.append(links.count()) or join(links))
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4))
+    least = list(range(len(lines)))
+    linked = [(i, j) for i in range(len(lines)) for j in range(i) if jaccard(lines[i], lines[j]) >= 0.8]
+    for _ in lines:
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
+    assert {r.doc_id for r in out.filter("n_lost > 0").collect()} == {i for i, m in enumerate(least) if m < i}
+    assert len(reads) == 1 and len(sizes) == 2 and sizes[0] + sizes[1] <= len(linked)
+
+
+def test_new_links_join_old_components(spark):
+    links = lambda rows: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in rows], "a binary, b binary")
+    labels = line_dedup.components(links([(9, 3), (3, 7), (20, 21)]))
+    got = {r.node[0]: r.label[0] for r in line_dedup.relabelled(labels, links([(7, 21), (30, 31), (31, 20), (40, 41)])).collect()}
+    assert got == {**dict.fromkeys((3, 7, 9, 20, 21, 30, 31), 3), 40: 40, 41: 40}
+
+
+def test_settled_links_take_no_round(spark, monkeypatch):
+    """Stars are written once and read off; a path takes rounds, each at most once more than needed."""
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or write(df, name))
+    star = spark.createDataFrame([(1, k) for k in range(2, 9)] + [(11, 10), (12, 12)], "a long, b long")
+    assert {tuple(r) for r in graph.components(star).collect()} == {(k, 1) for k in range(1, 9)} | {(10, 10), (11, 10)}
+    assert written == ["links", "components"]
+    path = spark.createDataFrame([(k + 1, k) for k in range(1, 60)], "a long, b long")
+    assert {tuple(r) for r in graph.components(path).collect()} == {(k, 1) for k in range(1, 61)}
