@@ -109,7 +109,8 @@ def merge_rows(part: DataFrame, inferred: tuple[str | None, bool], table: str, s
     empty = part.select(*keep).join(rows.select(*RESPONSE).distinct(), list(RESPONSE), "left_anti")
     rows = rows.unionByName(empty.withColumn("row_id", row_id(F.lit(MARKER))), allowMissingColumns=True)
     rows, versions = conform(rows, stored_versions(spark, table, before=epoch))
-    newest = rows.groupBy("url").agg(F.max("run_id").alias("__new"))
+    # each response has a row or a marker, so the bodies need not be parsed for this
+    newest = part.groupBy("url").agg(F.max("run_id").alias("__new"))
     old = read_versions(spark, table, versions, versions[-1])
     if old is not None:
         old = old.filter(_any_of(touched, partition_by))
