@@ -107,6 +107,15 @@ def test_no_task_of_a_heavy_key_stands_out(spark):
     assert len(per) == 20 * 2 and per[-1] <= 4 * per[len(per) // 2] and sum(per) == 2 * 10_000
 
 
+@pytest.mark.parametrize("null_keys", ["pair", "single"])
+def test_pairs_of_a_heavy_key_fill_all_partitions(spark, null_keys):
+    """AQE would merge their partitions by bytes, however many pairs the rows make."""
+    a, b = spark.range(600).selectExpr("'x' AS k", "id AS a"), spark.range(300).selectExpr("if(id % 5 = 0, NULL, 'x') AS k", "id AS b")
+    got = UN.merge_outer_heavy(a, b, share=0.1, rows_per_task=20, null_keys=null_keys)
+    per = {r.p: r["count"] for r in got.filter("a IS NOT NULL AND b IS NOT NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    assert sum(per.values()) == 600 * 240 and len(per) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_shared_columns_get_suffixes(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(1, "y"), (2, "z")], "k int, v string")
     got = UN.merge_outer_heavy(a, b, ["k"], share=0.5)

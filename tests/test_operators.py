@@ -236,6 +236,18 @@ def test_pairs_of_a_key_are_dealt_over_cells(spark):
     assert "xxhash64" in plan and "strategy=merge" in plan
 
 
+def test_cells_of_many_keys_meet_in_all_partitions(spark):
+    """Cells are numbered through all keys, so pairs meet by that number alone, in as many tasks as there are shuffle partitions."""
+    left = spark.range(900).select(F.expr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE -7 END").alias("k"), F.col("id").alias("l"))
+    right = spark.range(450).select(F.expr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 5 ELSE id + 1000 END").alias("__r_k"), F.col("id").alias("r"))
+    a, b = UN.deal_pairs(left, right, ["k"], ["__r_k"], cell_rows=40)
+    assert a.filter("__dealt").select("k", "__a", "__b").distinct().count() == a.filter("__dealt").select("__cell").distinct().count() == 2 * 8 * 4
+    met = UN.meet_in_cells(a.filter("__dealt"), b.filter("__dealt"))
+    rows = met.select("l", "r", F.col("k").eqNullSafe(F.col("__r_k")).alias("same"), F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == len({(x.l, x.r) for x in rows}) == 2 * 300 * 150 and all(x.same for x in rows)
+    assert len({x.p for x in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_columnar_body_is_unpacked_once(spark, tmp_path):
     """Filters on the unpacked body must not bring its parse along, once for each time they name it."""
     bodies = ['{"a":[1,2],"b":["x","y"]}', '{"a":[1],"b":[]}', '{"a":[{"c":1}]}', '[{"a":1}]', "5", None]
